@@ -9,9 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .mixing import mixture_plan
 from .packing import pack
+from .quality_rules import quality_digest, quality_ledger
 from .token_files import token_file_digest
 from .warc import warc_round_trip
+from .workspace import Workspace
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -25,6 +28,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = Workspace(spark, "quality").save(quality_ledger(_table(spark, sf_dir, "documents")))
+    return quality_digest(ledger)
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, similarity=Fraction(85, 100))
 
@@ -37,11 +45,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_plan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
+    "op3_quality_rules": op3_quality_rules,
     "op4_minhash": op4_minhash,
     "op7_warc": op7_warc,
     "op9_packing": op9_packing,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -8,26 +8,25 @@ the ledger and never reads a text again.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 
 #: Rules by bit, each true where a document fails. The first two are the base rules.
-RULES: dict[str, str] = {
-    "few_words": "n_words < 50",
-    "repeated_words": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "10 * n_symbols > n_words",
-    "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
-    "word_length": "word_chars < 2 * n_words OR word_chars > 15 * n_words",
-    "shouting": "100 * n_upper > 50 * word_chars",
-    "exclamations": "100 * n_exclamations > 30 * n_words",
+RULES: dict[str, Callable[[Column], Column]] = {
+    "few_words": lambda m: m["n_words"] < 50,
+    "repeated_words": lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"],
+    "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
+    "repeated_lines": lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"],
+    "word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
+    "shouting": lambda m: 100 * m["n_upper"] > 50 * m["word_chars"],
+    "exclamations": lambda m: 100 * m["n_exclamations"] > 30 * m["n_words"],
 }
 BASE = ("few_words", "repeated_words")
 
@@ -84,35 +83,52 @@ def _without(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
+def _row(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: expressions and filters on it never repeat its work."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _with_ledger(docs: DataFrame) -> DataFrame:
+    """``docs`` with the struct column ``_ledger`` (helper columns begin with an underscore)."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.filter(F.split("_text", "\n"), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
+    split = _row(docs.withColumn("_text", text), "_split", F.struct(F.filter(F.split("_text", BLANK), lambda w: w != "").alias("words"), lines.alias("lines")))
+    words, lines = F.col("_split.words"), F.col("_split.lines")
+    measures = {
+        "n_words": F.size(words),
+        "word_chars": F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")),
+        "n_symbols": _without(F.col("_text"), SYMBOLS),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": _repeated_words(words),
+        "n_upper": F.regexp_count("_text", F.lit(r"\p{Lu}")),
+        "n_exclamations": _without(F.col("_text"), "!"),
+    }
+    measured = _row(split, "_m", F.struct(*(m.cast("long").alias(name) for name, m in measures.items())))
+    bits = [F.when(rule(F.col("_m")), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
+    ledger = F.struct(*(F.col(f"_m.{name}") for name in measures), sum(bits[1:], bits[0]).cast("long").alias("failures"))
+    return measured.withColumn("_ledger", ledger)
+
+
 def quality_ledger(docs: DataFrame) -> DataFrame:
     """Measurements and failed rules of each document (doc_id, text): one row a row.
 
     Null and empty texts have no words, so they fail ``few_words``. Repeated rows and null
     doc_ids are measured like any other; other columns are not looked at.
     """
-    text = F.coalesce("text", F.lit(""))
-    words = docs.select("doc_id", text.alias("text")).withColumn("words", F.filter(F.split("text", BLANK), lambda w: w != ""))
-    lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
-    lined = words.withColumn("lines", lines)
-    measured = lined.select(
-        "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        _without(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
-        F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        _without(F.col("text"), "!").cast("long").alias("n_exclamations"),
-    )
-    bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
-    return measured.withColumn("failures", sum(bits[1:], bits[0]).cast("long"))
-
-
-def fails(policy: Policy, without: str | None = None) -> Column:
+    return _with_ledger(docs.select("doc_id", "text")).select("doc_id", "_ledger.*")
+
+
+def passing(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and ``policy``, with their own columns."""
+    judged = _with_ledger(docs).where(~fails(Policy("base", BASE), "_ledger.failures") & ~fails(policy, "_ledger.failures"))
+    return judged.select(*docs.columns)
+
+
+def fails(policy: Policy, failures: str = "failures", without: str | None = None) -> Column:
     """Whether a ledger row fails ``policy``, with one rule left out if named."""
     mask = policy.mask & ~(1 << list(RULES).index(without) if without else 0)
-    return F.col("failures").bitwiseAND(F.lit(mask)) != 0
+    return F.col(failures).bitwiseAND(F.lit(mask)) != 0
 
 
 def apply_policies(ledger: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
@@ -132,8 +148,8 @@ def ablations(ledger: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> Dat
             F.lit(p.version).alias("version"),
             F.lit(r).alias("rule"),
             _total(F.col("failures").bitwiseAND(F.lit(1 << list(RULES).index(r))) != 0).alias("failing"),
-            _total(fails(p) & ~fails(p, r)).alias("rejected_alone"),
-            _total(~fails(p, r)).alias("kept_without"),
+            _total(fails(p) & ~fails(p, without=r)).alias("rejected_alone"),
+            _total(~fails(p, without=r)).alias("kept_without"),
         )
         for p in policies
         for r in p.rules

@@ -8,22 +8,39 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
+from .cotrain import quality_scores
+from .embed_dedup import near_vectors
 from .minhash import near_duplicates
 from .mixing import mixture_plan
 from .packing import pack
 from .quality_rules import quality_digest, quality_ledger
+from .separator_scan import count_tokens
 from .token_files import token_file_digest
+from .url_filter import Rule, filter_urls
 from .warc import warc_round_trip
 from .workspace import Workspace
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+SEPARATOR_ID = 49407  # <|endoftext|>
+URL_RULES = (
+    Rule("block", "net", "/"),
+    Rule("allow", "example.net", "/en/"),
+    Rule("block", "example.com", "/de/"),
+    Rule("allow", "org", "/fr/"),
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
@@ -37,10 +54,22 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, similarity=Fraction(85, 100))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), similarity=0.9)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), SEPARATOR_ID)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
 
@@ -50,12 +79,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash": op4_minhash,
+    "op5_embeddings": op5_embeddings,
+    "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}

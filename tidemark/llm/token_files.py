@@ -31,8 +31,11 @@ MANIFEST = "part int, file string, width int, n_docs long, n_tokens long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_token_files(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int, special_as_text: bool = False) -> DataFrame:
-    """Writes the ids of ``docs`` (doc_id, text) in ascending doc_id order; returns the manifest with bases.
+def write_token_files(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int, special_as_text: bool = False, ordered: bool = True) -> DataFrame:
+    """Writes the ids of ``docs`` (doc_id, text); returns the manifest with bases.
+
+    ordered: whether documents go by ascending doc_id, for which texts are shuffled; else each task
+    writes the rows it reads.
 
     Columns: part, file (URI without suffix), width (bytes of an id), n_docs, n_tokens, base
     (ids in earlier files). A null or empty text is a document of ``end_id`` alone; repeated
@@ -63,8 +66,10 @@ def write_token_files(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: in
         row = [TaskContext.get().partitionId(), f"{folder}/{path.rsplit('/', 1)[1]}", size, len(lengths), sum(lengths)]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["part", "file", "width", "n_docs", "n_tokens"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    manifest = ws.save(ordered.mapInArrow(write, MANIFEST))
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    if ordered:
+        rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    manifest = ws.save(rows.mapInArrow(write, MANIFEST))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     manifest = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

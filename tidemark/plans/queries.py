@@ -1,10 +1,426 @@
-"""Registered queries of the change-tracking operators, each beside its DuckDB counterpart."""
+"""Registered queries of the change-tracking operators, each beside its DuckDB counterpart.
+
+The test tables hold no listings. In their place a listing is an event's user, a source an event type
+and a run a stretch of time; ``NOW`` is fixed so that results can be repeated.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import collections as C
+from tidemark.functions import dates as D
+from tidemark.functions import numbers as M
+from tidemark.functions import text as T
+from tidemark.operators import archive, freshness, health, jobs, lifecycle, reconcile
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+NOW = "2025-02-15 00:00:00"
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str) -> Callable[[Query], Query]:
+    """Registers a query with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def now() -> Column:
+    return F.lit(NOW).cast("timestamp_ntz")
+
+
+# Change capture and lifecycle
+
+
+@query("""
+    SELECT event_id, user_id, event_type FROM (
+        SELECT *, lag(event_type) OVER w AS earlier, row_number() OVER w AS nth FROM events
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+    WHERE nth = 1 OR event_type IS DISTINCT FROM earlier""")
+def snapshot_on_change(spark, sf_dir):
+    kept = lifecycle.snapshots_on_change(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    return kept.select("event_id", "user_id", "event_type")
+
+
+@query("""
+    SELECT user_id, event_id, event_type, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def latest_per_key(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    return lifecycle.latest_per_key(events, ["user_id"], ["ts", "event_id"]).drop("ts")
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    run = F.date_diff(F.to_date("ts"), F.lit("2020-01-01").cast("date")).cast("long")
+    every = events.select(F.lit("all").alias("source_id"), run.alias("run"), F.lit(True).alias("counts")).distinct()
+    seen = events.where(F.col("event_type").isin("view", "error"))
+    seen = seen.select(F.lit("all").alias("source_id"), F.col("user_id").alias("listing"), run.alias("run"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("pending"))
+    return lifecycle.listing_history(seen, every)
+
+
+_HISTORY_SQL = """
+    WITH e AS (SELECT *, date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS run FROM events),
+    sightings AS (SELECT user_id AS listing, run, event_id AS seq, event_type = 'error' AS pending FROM e WHERE event_type IN ('view', 'error')),
+    firsts AS (SELECT listing, min(run) AS first_run FROM sightings GROUP BY listing),
+    missed AS (SELECT f.listing, r.run FROM firsts f JOIN (SELECT DISTINCT run FROM e) r ON r.run > f.first_run
+        WHERE NOT EXISTS (SELECT 1 FROM sightings s WHERE s.listing = f.listing AND s.run = r.run)),
+    ev AS (SELECT listing, run, seq, true AS seen, pending FROM sightings UNION ALL SELECT listing, run, NULL, false, false FROM missed),
+    e1 AS (SELECT *, sum(seen::int) OVER (PARTITION BY listing ORDER BY run, seq NULLS FIRST ROWS UNBOUNDED PRECEDING) AS sight FROM ev),
+    e2 AS (SELECT *, sum((NOT seen)::int) OVER (PARTITION BY listing, sight ORDER BY run, seq NULLS FIRST ROWS UNBOUNDED PRECEDING) AS misses FROM e1),
+    e3 AS (SELECT *, coalesce(sum((misses = 3)::int) OVER (PARTITION BY listing ORDER BY run, seq NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM e2 WHERE misses <= 3),
+    e4 AS (SELECT *, sum(seen::int) OVER (PARTITION BY listing, life ORDER BY run, seq NULLS FIRST ROWS UNBOUNDED PRECEDING) AS idx FROM e3),
+    e5 AS (SELECT *, max((seen AND pending AND idx >= 2)::int) OVER (PARTITION BY listing, life ORDER BY run, seq NULLS FIRST ROWS UNBOUNDED PRECEDING) AS had FROM e4),
+    e6 AS (SELECT *, CASE WHEN seen AND (life = 0 OR had = 1) THEN CASE WHEN pending THEN 'pending' ELSE 'available' END
+        WHEN seen THEN 'relisted' WHEN misses = 3 THEN 'gone' END AS own FROM e5),
+    e7 AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY listing ORDER BY run, seq NULLS FIRST ROWS UNBOUNDED PRECEDING) AS status FROM e6),
+    h AS (SELECT *, lag(status) OVER w AS previous, row_number() OVER w = 1 AS is_first FROM e7 WINDOW w AS (PARTITION BY listing ORDER BY run, seq NULLS FIRST))
+"""
+
+
+@query(_HISTORY_SQL + """
+    SELECT listing, last(status ORDER BY run, seq NULLS FIRST) AS status, last(misses ORDER BY run, seq NULLS FIRST)::BIGINT AS misses,
+        min(run) AS first_seen, max(run) FILTER (WHERE seen) AS last_seen, max(run) AS last_verified FROM h GROUP BY listing""")
+def listing_lifecycle(spark, sf_dir):
+    return lifecycle.current_listings(_history(spark, sf_dir)).drop("source_id")
+
+
+@query(_HISTORY_SQL + """
+    SELECT listing, run, seq, 0 AS step, NULL::VARCHAR AS from_status, 'available' AS to_status FROM h WHERE is_first
+    UNION ALL
+    SELECT listing, run, seq, 1, CASE WHEN is_first THEN 'available' ELSE previous END, status FROM h
+    WHERE CASE WHEN is_first THEN 'available' ELSE previous END <> status""")
+def status_events(spark, sf_dir):
+    return lifecycle.status_events(_history(spark, sf_dir)).drop("source_id")
+
+
+# Run health and schedule
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    run = F.expr("unix_micros(cast(ts AS timestamp)) div 10800000000")
+    return health.run_counts(events.select(F.col("event_type").alias("source_id"), run.alias("run"), F.col("user_id").alias("listing")))
+
+
+_RUNS_SQL = """
+    runs AS (SELECT event_type AS source_id, epoch_us(ts) // 10800000000 AS run, count(DISTINCT user_id) AS listings, count(*) AS sightings
+        FROM events GROUP BY ALL)"""
+
+
+@query(f"WITH {_RUNS_SQL} SELECT * FROM runs")
+def run_counts(spark, sf_dir):
+    return _runs(spark, sf_dir)
+
+
+_VERDICTS_SQL = f"""WITH RECURSIVE {_RUNS_SQL},
+    numbered AS (SELECT source_id, run, listings AS n, row_number() OVER (PARTITION BY source_id ORDER BY run) AS nth FROM runs),
+    fold AS (
+        SELECT source_id, run, n, nth, NULL::DOUBLE AS recent_median, n >= 2 AS healthy, CASE WHEN n >= 2 THEN [n] ELSE [] END AS recent FROM numbered WHERE nth = 1
+        UNION ALL
+        SELECT source_id, run, n, nth, med, good, CASE WHEN good THEN list_prepend(n, recent)[1:5] ELSE recent END FROM (
+            SELECT x.source_id, x.run, x.n, x.nth, f.recent, list_median(f.recent)::DOUBLE AS med,
+                x.n >= 2 AND NOT coalesce(list_median(f.recent) >= 4 AND x.n < 0.5 * list_median(f.recent), false) AS good
+            FROM fold f JOIN numbered x ON x.source_id = f.source_id AND x.nth = f.nth + 1))"""
+
+
+@query(_VERDICTS_SQL + " SELECT source_id, run, n, recent_median, healthy FROM fold")
+def run_health(spark, sf_dir):
+    runs = _runs(spark, sf_dir).withColumn("n", F.col("listings"))
+    limits = {"expected_min": F.lit(2), "expected_max": F.lit(None).cast("long")}
+    return health.assess_runs(runs.withColumns(limits)).drop("problems")
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source per user: errors are failed runs, views unhealthy ones, the rest good ones."""
+    events = table(spark, sf_dir, "events")
+    at, status = F.struct("ts", "event_id"), F.expr("CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'unhealthy' ELSE 'ok' END")
+    runs = events.select(F.col("user_id").alias("source_id"), "ts", "event_id", status.alias("status"), F.struct("ts", "event_id").alias("run"))
+    last = runs.groupBy("source_id").agg(
+        F.max("ts").alias("last_run_at"),
+        F.max_by("status", at).alias("last_status"),
+        F.max(F.when(F.col("status") == "ok", F.col("ts"))).alias("last_success_at"),
+    )
+    return last.join(health.consecutive_failures(runs), "source_id").withColumns({
+        "enabled": F.expr("source_id % 10 <> 0"),
+        "disabled_reason": F.lit(None).cast("string"),
+        "last_error": F.lit(None).cast("string"),
+        "interval_minutes": F.expr("cast(60 + source_id % 7 * 60 AS int)"),
+    })
+
+
+_SOURCES_SQL = f"""WITH e AS (SELECT *, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'unhealthy' ELSE 'ok' END AS status FROM events),
+    good AS (SELECT user_id, max((ts, event_id)) FILTER (WHERE status <> 'failed') AS done FROM e GROUP BY user_id),
+    s AS (SELECT e.user_id AS source_id, max(ts) AS last_run_at, last(status ORDER BY ts, event_id) AS last_status,
+            max(ts) FILTER (WHERE status = 'ok') AS last_success_at, count(*) FILTER (WHERE done IS NULL OR (ts, event_id) > done) AS consecutive_failures,
+            e.user_id % 10 <> 0 AS enabled, 60 + e.user_id % 7 * 60 AS interval_minutes
+        FROM e JOIN good USING (user_id) GROUP BY e.user_id),
+    d AS (SELECT *, last_success_at IS NULL OR TIMESTAMP '{NOW}' > last_success_at + to_minutes(CAST(interval_minutes * 3 AS BIGINT)) AS old FROM s)"""
+
+
+@query(_SOURCES_SQL + """ SELECT source_id, CASE WHEN NOT enabled THEN 'disabled' WHEN last_status = 'failed' THEN 'failing' WHEN last_status = 'unhealthy' THEN 'degraded'
+        WHEN old THEN 'stale' ELSE 'ok' END AS state,
+        concat_ws('; ', CASE WHEN NOT enabled THEN 'kill switch off' WHEN last_status = 'failed' THEN 'last run failed' WHEN last_status = 'unhealthy' THEN 'last run failed health checks' END,
+            CASE WHEN enabled AND old THEN 'no successful run since ' || coalesce(strftime(last_success_at, '%Y-%m-%dT%H:%M:%S')
+                || CASE WHEN epoch_us(last_success_at) % 1000000 = 0 THEN '' ELSE strftime(last_success_at, '.%f') END || 'Z', 'ever') END) AS reasons FROM d""")
+def source_state(spark, sf_dir):
+    return health.source_health(_sources(spark, sf_dir), now()).select("source_id", "state", F.concat_ws("; ", "reasons").alias("reasons"))
+
+
+@query(_SOURCES_SQL + """ SELECT source_id, consecutive_failures, CASE WHEN enabled THEN last_run_at
+        + to_minutes(CAST(least(interval_minutes * 2 ** least(consecutive_failures, 4), 1440) AS BIGINT)) END AS next_due_at FROM d""")
+def next_due(spark, sf_dir):
+    return health.source_health(_sources(spark, sf_dir), now()).select("source_id", "consecutive_failures", "next_due_at")
+
+
+@query(_SOURCES_SQL + f""" SELECT source_id FROM d WHERE enabled AND last_run_at
+        + to_minutes(CAST(least(interval_minutes * 2 ** least(consecutive_failures, 4), 1440) AS BIGINT)) <= TIMESTAMP '{NOW}'""")
+def due_sources(spark, sf_dir):
+    return health.due_sources(_sources(spark, sf_dir), now())
+
+
+# Archive and retention
+
+
+@query("""
+    SELECT sha256(text) AS sha256, octet_length(encode(first(text)))::BIGINT AS size, first(lang ORDER BY doc_id) AS content_type, min(doc_id) AS fetch_id
+    FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)""")
+def raw_blob_dedupe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fetches = docs.select(F.col("doc_id").alias("fetch_id"), F.col("text").cast("binary").alias("body"), F.col("lang").alias("content_type"))
+    first = archive.fetch_log(fetches).where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min("fetch_id").alias("fetch_id"))
+    return archive.new_blobs(fetches).drop("body").join(first, "sha256")
+
+
+@query("""
+    WITH d AS (SELECT o_orderkey, o_orderdate, CAST(o_orderdate AS DATE) AS day, isoyear(o_orderdate) AS y, week(o_orderdate) AS w FROM orders),
+    r AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY o_orderdate DESC, o_orderkey DESC) AS dn, dense_rank() OVER (ORDER BY day DESC) AS dr,
+        row_number() OVER (PARTITION BY y, w ORDER BY o_orderdate DESC, o_orderkey DESC) AS wn, dense_rank() OVER (ORDER BY y DESC, w DESC) AS wr FROM d)
+    SELECT o_orderkey, (dn = 1 AND dr <= 14) OR (wn = 1 AND wr <= 8) AS keep FROM r""")
+def retention_keep(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return archive.retention(orders, "o_orderdate", "o_orderkey").select("o_orderkey", "keep")
+
+
+# Functions
+
+
+_TEXT_SQL = r"""
+    WITH a AS (SELECT page_id, html, regexp_replace(html, '(?i)<br\s*/?>|</p>|</li>', chr(10), 'g') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<li[^>]*>', '- ', 'g'), '<[^>]+>', '', 'g') AS t FROM a),
+    c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)),
+        '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM b),
+    d AS (SELECT page_id, regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '[ \t\x{00a0}]+', ' ', 'g') AS t FROM c),
+    e AS (SELECT page_id, regexp_replace(t, '\n\s*\n\s*\n+', chr(10) || chr(10), 'g') AS t FROM d)"""
+
+
+@query(_TEXT_SQL + r" SELECT page_id, nullif(regexp_replace(t, '^\s+|\s+$', '', 'g'), '') AS text FROM e")
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_to_text("html").alias("text"))
+
+
+@query(r"""
+    WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1)) AS t FROM pages),
+    j AS (SELECT page_id, regexp_replace(regexp_replace(t, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM i)
+    SELECT p.page_id, coalesce(items, '') AS items, coalesce(n, 0) AS n FROM pages p LEFT JOIN
+        (SELECT page_id, string_agg(t, '|' ORDER BY t) AS items, count(*) AS n FROM j WHERE t <> '' GROUP BY page_id) USING (page_id)""")
+def html_list_items(spark, sf_dir):
+    items = T.list_items("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.concat_ws("|", F.sort_array(items)).alias("items"), F.size(items).cast("long").alias("n"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+@query("""
+    SELECT c_custkey, 'name=' || c_name || CASE WHEN c_mktsegment <> 'BUILDING' THEN ';segment=' || c_mktsegment ELSE '' END AS entries FROM customer""")
+def kv_to_map_filter(spark, sf_dir):
+    pairs = F.array(*(F.struct(F.lit(k).alias("Key"), v.alias("Value")) for k, v in (
+        ("segment", F.lit("replaced")), ("name", F.col("c_name")), ("imageUrl", F.lit("volatile")),
+        ("segment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise("")),
+    )))
+    kept = C.filled(C.without_keys(C.entries_to_map(pairs), ["imageUrl"]))
+    text = F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(";", text).alias("entries"))
+
+
+@query("SELECT p_partkey, round(p_retailprice, 2) AS price, CAST(round_even(round(p_retailprice, 2), 0) AS INT) AS whole, NULL::DOUBLE AS bad FROM part")
+def parse_number(spark, sf_dir):
+    money = F.concat(F.lit(" $"), F.format_number(F.round("p_retailprice", 2), 2))
+    parsed = (M.to_number(money).alias("price"), M.to_integer(money).alias("whole"), M.to_number(F.concat(money, F.lit("d"))).alias("bad"))
+    return table(spark, sf_dir, "part").select("p_partkey", *parsed)
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS long_form, CAST(o_orderdate AS DATE) AS short_form, CAST(o_orderdate AS DATE) AS iso_form, NULL::DATE AS never FROM orders")
+def parse_us_date(spark, sf_dir):
+    day = F.col("o_orderdate")
+    long, short = F.date_format(day, "EEEE, MMMM d, yyyy"), F.date_format(day, "M/d/yyyy")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", D.parse_us_date(long).alias("long_form"), D.parse_us_date(short).alias("short_form"),
+        D.parse_date(F.date_format(day, "yyyy-MM-dd HH:mm")).alias("iso_form"), D.parse_us_date(F.lit("12/31/9999")).alias("never"),
+    )
+
+
+@query("SELECT p_partkey, p_name AS street, CASE WHEN length(p_type) <= 8 THEN p_type ELSE CAST(p_size AS VARCHAR) END AS unit FROM part")
+def split_suffix(spark, sf_dir):
+    suffix = F.when(F.length("p_type") <= 8, F.col("p_type")).otherwise(F.col("p_size").cast("string"))
+    split = T.split_unit(F.concat("p_name", F.lit(" - "), suffix, F.lit(" ")))
+    return table(spark, sf_dir, "part").select("p_partkey", split.alias("s")).select("p_partkey", "s.street", "s.unit")
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, concat_ws(', ', CASE WHEN l_returnflag = 'R' THEN 'returned' END, CASE WHEN l_linestatus = 'O' THEN 'open' END,
+        CASE WHEN l_discount > 0.05 THEN 'discounted' END, CASE WHEN l_quantity >= 25 THEN 'bulk' END) AS flags FROM lineitem""")
+def flags_to_list(spark, sf_dir):
+    flags = {
+        "returned": F.expr("if(l_returnflag = 'R', 'Yes', 'no')"),
+        "open": F.col("l_linestatus") == "O",
+        "discounted": F.expr("if(l_discount > 0.05, '1', null)"),
+        "bulk": F.expr("if(l_quantity >= 25, 'TRUE', 'false')"),
+    }
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(", ", C.flag_names(flags)).alias("flags"))
+
+
+@query("""
+    SELECT c_custkey, concat_ws(', ', c_name, n_name, r_name) AS address FROM customer
+    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def compose_address(spark, sf_dir):
+    customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    joined = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    padded = F.concat(F.lit("  "), F.col("n_name"), F.lit("\t"))
+    return joined.select("c_custkey", T.compose(", ", "c_name", F.lit(" "), padded, "r_name").alias("address"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS host FROM pages")
+def url_host(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.authority("url").alias("host"))
+
+
+@query("SELECT event_id, user_id, sha256('{\"user_id\":' || user_id || ',\"event_type\":\"' || event_type || '\"}') AS content_hash FROM events")
+def content_hash(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", C.content_hash(["user_id", "event_type"]).alias("content_hash"))
+
+
+# Reconciliation
+
+
+@query("""
+    WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS seg FROM customer WHERE c_custkey % 3 <> 0),
+    b AS (SELECT c_custkey, c_mktsegment AS seg FROM customer WHERE c_custkey % 4 <> 0)
+    SELECT c_custkey, CASE WHEN b.c_custkey IS NULL THEN 'created' WHEN a.c_custkey IS NULL THEN 'orphaned' WHEN a.seg IS NOT DISTINCT FROM b.seg THEN 'unchanged' ELSE 'updated' END AS change
+    FROM a FULL JOIN b USING (c_custkey)""")
+def config_diff(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    defined = customer.where("c_custkey % 3 <> 0").withColumn("c_mktsegment", F.expr("if(c_custkey % 5 = 0, 'CHANGED', c_mktsegment)"))
+    return reconcile.config_diff(defined, customer.where("c_custkey % 4 <> 0"), "c_custkey", ["c_mktsegment"])
+
+
+@query("""
+    SELECT 'k' || n_nationkey AS key, CASE WHEN c IS NULL THEN n_name ELSE 'own' || c END AS value FROM nation
+    LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1 HAVING count(*) % 2 = 0) ON n_nationkey = c_nationkey""")
+def settings_overlay(spark, sf_dir):
+    defaults = table(spark, sf_dir, "nation").select(F.concat(F.lit("k"), "n_nationkey").alias("key"), F.col("n_name").alias("value"))
+    counts = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").groupBy("c_nationkey").agg(F.count("*").alias("c")).where("c % 2 = 0")
+    stored = counts.select(F.concat(F.lit("k"), "c_nationkey").alias("key"), F.concat(F.lit("own"), "c").alias("value"))
+    return reconcile.overlay(defaults, stored)
+
+
+# Jobs
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job per order: a priority is its kind, odd customers have no source, status O is queued, P running."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"),
+        F.expr("if(o_custkey % 2 = 0, cast(o_custkey AS string), null)").alias("source_id"),
+        F.expr("concat('{\"a\":', o_custkey % 3, ', \"b\": 1}')").alias("params"),
+        F.expr("CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'succeeded' END").alias("status"),
+        F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("started_at"),
+        F.expr("if(o_orderstatus = 'F', o_orderdate + interval 90 seconds, null)").alias("finished_at"),
+        F.expr("if(o_orderkey % 2 = 0, o_orderdate + interval 10 minutes, null)").alias("heartbeat_at"),
+    )
+
+
+_JOBS_SQL = """jobs AS (SELECT o_orderkey AS id, o_orderpriority AS kind, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS source_id, o_custkey % 3 AS a,
+        CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'succeeded' END AS status, o_orderdate AS made, o_custkey FROM orders)"""
+
+
+@query(f"WITH {_JOBS_SQL}" + """
+    SELECT o.o_orderkey AS request_id, min(j.id) AS job_id FROM orders o LEFT JOIN jobs j ON j.status IN ('queued', 'running') AND j.kind = o.o_orderpriority AND j.a = o.o_custkey % 3
+        AND j.source_id IS NOT DISTINCT FROM CASE WHEN o.o_custkey % 2 = 0 THEN CAST(o.o_custkey AS VARCHAR) END
+    WHERE o.o_orderstatus = 'F' GROUP BY o.o_orderkey""")
+def enqueue_dedupe(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderpriority").alias("kind"),
+        F.expr("if(o_custkey % 2 = 0, cast(o_custkey AS string), null)").alias("source_id"),
+        F.expr("concat('{\"b\":1,\"a\":', o_custkey % 3, '}')").alias("params"),
+    )
+    return jobs.enqueue(asked, _jobs(spark, sf_dir)).select("request_id", "job_id")
+
+
+@query(f"WITH {_JOBS_SQL}" + """,
+    done AS (SELECT l_orderkey AS id, count(*) AS total, count(*) FILTER (WHERE l_linestatus = 'F') AS done FROM lineitem GROUP BY 1),
+    p AS (SELECT id, status, total, done, CASE WHEN status = 'succeeded' THEN 90.0 ELSE epoch(TIMESTAMP '2025-02-15 00:00:00' - made) END::DOUBLE AS elapsed_seconds FROM jobs JOIN done USING (id))
+    SELECT id, CASE WHEN status = 'succeeded' THEN 100.0 ELSE round_even(least(100.0, 100.0 * done / total), 1) END::DOUBLE AS percent, elapsed_seconds,
+        CASE WHEN status = 'running' AND done > 0 THEN round_even(elapsed_seconds / done * (total - done), 0) END::DOUBLE AS eta_seconds FROM p""")
+def job_progress(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id"))
+    counted = lines.agg(F.count("*").alias("total"), F.count_if(F.col("l_linestatus") == "F").alias("done"))
+    timed = jobs.progress(_jobs(spark, sf_dir).join(counted, "id"), now())
+    return timed.select("id", "percent", F.col("elapsed_seconds").cast("double"), F.col("eta_seconds").cast("double"))
+
+
+@query(f"WITH {_JOBS_SQL}" + """ SELECT id FROM jobs WHERE status = 'running' AND coalesce(CASE WHEN id % 2 = 0 THEN made + INTERVAL 10 MINUTE END, made)
+        < (SELECT max(made) FROM jobs) - INTERVAL 15 MINUTE""")
+def stale_jobs(spark, sf_dir):
+    log = _jobs(spark, sf_dir)
+    return jobs.stale(log, F.lit(log.agg(F.max("created_at")).first()[0])).select("id")
+
+
+@query(f"WITH {_JOBS_SQL}" + """ SELECT id, CASE WHEN id % 3 <> 0 THEN status WHEN status = 'queued' THEN 'cancelled' WHEN status = 'running' THEN 'cancel_requested' ELSE status END AS status
+        FROM jobs WHERE id <= 300""")
+def cancel_jobs(spark, sf_dir):
+    return jobs.cancel(_jobs(spark, sf_dir).where("id <= 300"), list(range(0, 301, 3)), now()).select("id", "status")
+
+
+@query(f"WITH {_JOBS_SQL}" + """ SELECT id, kind, status FROM (SELECT * FROM jobs ORDER BY id DESC LIMIT 500) WHERE status IN ('queued', 'running')""")
+def recent_topk(spark, sf_dir):
+    return jobs.active_of(jobs.recent(_jobs(spark, sf_dir), 500)).select("id", "kind", "status")
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events QUALIFY nth <= 5")
+def last_n_events(spark, sf_dir):
+    return jobs.last_events(table(spark, sf_dir, "events"), 5, "user_id", ["ts", "event_id"]).select("user_id", "event_id", F.col("nth").cast("long"))
+
+
+@query("""
+    WITH lim AS (SELECT max(ts) AS latest FROM events),
+    last_ok AS (SELECT user_id, max(ts) AS fetched FROM events WHERE event_type <> 'error' GROUP BY user_id),
+    prev AS (SELECT user_id, first(event_type ORDER BY event_id) AS t, last(event_type ORDER BY event_id) AS n FROM events GROUP BY user_id)
+    SELECT user_id AS listing, coalesce(t = n AND latest - fetched < INTERVAL 24 HOUR, false) AS fresh FROM prev LEFT JOIN last_ok USING (user_id), lim""")
+def detail_freshness(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    url = F.concat(F.lit("https://example.org/"), F.col("user_id"))
+    summary = lambda order: F.to_json(F.struct(order("event_type", "event_id").alias("type")))
+    per_user = events.groupBy(F.col("user_id").alias("listing"))
+    records = per_user.agg(summary(F.max_by).alias("summary")).withColumn("url", F.concat(F.lit("https://example.org/"), F.col("listing")))
+    previous = per_user.agg(summary(F.min_by).alias("summary"))
+    fetches = events.select(F.col("event_id").alias("id"), url.alias("url"), F.expr("if(event_type = 'error', 500, 200)").alias("http_status"), F.col("ts").alias("fetched_at"))
+    fetches = fetches.withColumn("id", F.expr("unix_micros(cast(fetched_at AS timestamp))"))
+    last = F.lit(events.agg(F.max("ts")).first()[0])
+    return freshness.detail_freshness(records, previous, fetches, last).select("listing", "fresh")

@@ -39,7 +39,7 @@ def backoff_minutes(interval: Column | str, failures: Column | str) -> Column:
 
 def percent(status: Column | str, done: Column | str, total: Column | str) -> Column:
     """Progress in percent; 100 once succeeded, null without a total."""
-    part = F.bround(F.least(F.lit(100.0), F.lit(100.0) * _col(done) / F.nullif(_col(total), F.lit(0))), 1)
+    part = F.when(_col(total) != 0, F.bround(F.least(F.lit(100.0), F.lit(100.0) * _col(done) / F.nullif(_col(total), F.lit(0))), 1))
     return F.when(_col(status) == "succeeded", F.lit(100.0)).otherwise(part)
 
 

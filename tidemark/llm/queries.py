@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from . import sql
 from .cotrain import quality_scores
 from .embed_dedup import near_vectors
 from .minhash import near_duplicates
@@ -92,4 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": sql.URLS,
+    "op3_quality_rules": sql.QUALITY,
+    "op4_minhash": sql.MINHASH,
+    "op5_embeddings": sql.EMBEDDINGS,
+}

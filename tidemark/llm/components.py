@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
+_ROWS = 512
+
 
 def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """Component of every node of ``edges`` (src, dst): columns node, component (its smallest node).
@@ -41,3 +46,22 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
         found = found.join(step, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent"))
     found = ws.save(found)
     return found.join(found.groupBy("parent").agg(F.min("node").alias("component")), "parent").select("node", "component")
+
+
+def linked_groups(linked: np.ndarray) -> Iterator[np.ndarray]:
+    """Components of two nodes or more of a symmetric link matrix."""
+    left = linked.any(axis=1)
+    while left.any():
+        start = left.argmax()
+        seen = np.zeros(len(linked), bool)
+        seen[start] = True
+        edge = np.array([start])
+        while len(edge):
+            found = np.zeros(len(linked), bool)
+            for k in range(0, len(edge), _ROWS):
+                found |= linked[edge[k : k + _ROWS]].any(axis=0)
+            found &= ~seen
+            seen |= found
+            edge = np.flatnonzero(found)
+        left &= ~seen
+        yield np.flatnonzero(seen)

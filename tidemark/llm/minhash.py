@@ -1,43 +1,42 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 1. One pass over the texts gives each document its set of word shingles (64-bit hashes),
-   a key of the whole set and a signature of ``coordinates`` minima. Documents with equal sets
+   a key of the whole set and a signature of ``COORDINATES`` minima. Documents with equal sets
    form a class; only its first document goes on, however many copies there are.
 2. Classes are posted under each (coordinate, value). A pair above the match threshold t shares
    t postings, so values that one class alone has can be skipped, classes with fewer than t others
    have no partner, and of the rest the f - t + 1 rarest postings (the prefix) meet
    every partner. The long lists, those of passages that many documents share, fall
-   outside it: they are skipped and only counted by comparing signatures.
-3. A prefix list is not expanded into pairs. First every member meets the list's first member.
-   Members of lists that are still in more than one component then meet their best
-   matches elsewhere, and at last all matches in other components; comparison is by blocks of
-   signatures, and a long list is dealt out by pairs of blocks.
-4. Pairs with t matches or more are confirmed on the full sets, and links are closed
-   into components after each step.
-
-t is the largest threshold that a pair at the wanted similarity misses with a probability below
-``MISS``.
+   outside it: they are skipped and only counted, from the signatures. Of lists with the same
+   members one is enough.
+3. Matches are counted inside each list, and pairs with t or more are retained as a spanning forest, never
+   one by one. The components of these forests hold every similar pair.
+4. Inside each component full sets are compared, which confirms the links, again kept as a spanning forest;
+   their components are the result.
+
+Lists and components are dealt out by pairs of blocks, so a group that a third of all documents
+belong to is many tasks of bounded size. t is the largest threshold that a pair at the wanted
+similarity misses with a probability of at most ``MISS``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, linked_groups
 from .workspace import Workspace
 
 COORDINATES, MISS = 48, 1e-6
-_WORDS, _BLOCK, _FAN, _STEP = 500_000, 1024, 4, 4096
+_WORDS, _BLOCK, _STEP, _COLUMNS = 500_000, 1024, 4096, 8192
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary"
 
@@ -121,58 +120,106 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def prefix_postings(classes: DataFrame, ws: Workspace, threshold: int) -> DataFrame:
-    """Postings (value_key, rep) of each class's prefix, in lists of two or more."""
+    """Postings (list_id, rep) of each class's prefix, in lists of two or more, no two with the same members."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(batch.num_rows, -1)
-            keys = values.astype(np.int64) | (np.arange(values.shape[1], dtype=np.int64) << 32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), values.shape[1]))], ["value_key", "rep"])
+            values = coordinate_values(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(values.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), values.shape[1]))], ["value_key", "rep"])
 
     postings = ws.save(classes.select("rep", "signature").mapInArrow(post, "value_key long, rep long"))
     shared = ws.save(postings.groupBy("value_key").agg(F.count("*").alias("n")).where("n > 1"))
     ranked = postings.join(shared, "value_key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "value_key"))).alias("found"))
     rest = F.size("found") - threshold + 1
-    prefix = ws.save(ranked.where(rest > 0).select("rep", F.explode(F.slice("found", F.lit(1), rest)).alias("p")).select("rep", F.col("p.value_key").alias("value_key")))
+    prefix = ws.save(ranked.where(rest > 0).select("rep", F.explode(F.slice("found", F.lit(1), rest)).alias("p")).select("rep", F.col("p.value_key").alias("list_id")))
     ws.drop(postings)
-    meeting = prefix.groupBy("value_key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return ws.save(prefix.join(meeting, "value_key").select("value_key", "rep"))
+    marks = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("low"), F.max("rep").alias("high")]
+    lists = prefix.groupBy("list_id").agg(*marks).where("n > 1").groupBy("n", "x", "low", "high").agg(F.min("list_id").alias("list_id"))
+    return ws.save(prefix.join(lists.select("list_id"), "list_id").select("list_id", "rep"))
+
+
+def coordinate_values(signatures: pa.Array) -> np.ndarray:
+    """A row per signature: its (coordinate, value) pairs as one number each."""
+    values = np.frombuffer(b"".join(signatures.to_pylist()), "<u4").reshape(len(signatures), -1) if len(signatures) else np.empty((0, 1), "<u4")
+    return values.astype(np.int64) | (np.arange(values.shape[1], dtype=np.int64) << 32)
+
 
+def deal(members: DataFrame, group: str) -> DataFrame:
+    """Members of groups (group, rep) with the pair of blocks (one, two) to be compared; each member once per other block."""
+    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(F.col(group).alias("member_of"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep")
 
-def block_matches(members: DataFrame, threshold: int, fan: int | None) -> DataFrame:
-    """Pairs (a, b) of one list, in different components, with ``threshold`` matches; of each row the best ``fan`` only if set.
 
-    members: value_key, rep, component, signature. Lists longer than a block are dealt out by pairs of blocks.
+def overlap_forest(dealt: DataFrame, sets: DataFrame, column: str, read: Callable[[pa.Array], list[np.ndarray]], enough: Callable[..., np.ndarray]) -> DataFrame:
+    """Spanning forest (src, dst) of the links inside each dealt group.
+
+    Members meet their sets (``column`` of ``sets``, by rep) and are brought together by group and pair of
+    blocks; ``enough(shared, sizes_a, sizes_b)`` says which numbers of shared elements are links.
     """
-    sizes = members.groupBy("value_key").agg(F.count("*").alias("n"), F.count_distinct("component").alias("parts")).where("parts > 1")
-    n_blocks = F.ceil(F.col("n") / _BLOCK).cast("int")
-    dealt = members.join(sizes, "value_key").withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), n_blocks - 1))
-    dealt = dealt.withColumn("other", other).select("value_key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "component", "signature")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        one = group["block"] == group["one"].iat[0]
-        a, b = group[one], group if group["one"].iat[0] == group["two"].iat[0] else group[~one]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        left, right = (np.frombuffer(b"".join(g["signature"]), "<u4").reshape(len(g), -1) for g in (a, b))
-        right = np.ascontiguousarray(right.T)
-        ids, others, part = a["rep"].to_numpy(), b["rep"].to_numpy(), b["component"].to_numpy()
-        firsts, seconds = [], []
-        for k, component in enumerate(a["component"]):
-            count = np.zeros(len(others), np.uint8)
-            for c in range(left.shape[1]):
-                count += right[c] == left[k, c]
-            near = np.flatnonzero((count >= threshold) & (part != component))
-            if fan and len(near) > fan:
-                near = near[np.argsort(count[near])[-fan:]]
-            firsts.append(np.minimum(ids[k], others[near]))
-            seconds.append(np.maximum(ids[k], others[near]))
-        return pd.DataFrame({"a": np.concatenate(firsts), "b": np.concatenate(seconds)})
-
-    return dealt.groupBy("value_key", "one", "two").applyInPandas(compare, "a long, b long").distinct()
+    key = ["member_of", "one", "two"]
+    together = dealt.join(sets.select("rep", column), "rep").repartition(*key).sortWithinPartitions(*key).select(*key, "block", "rep", column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, 3):
+            block, rep, elements = group.column("block").to_numpy(), group.column("rep").to_numpy(), read(group.column(column).combine_chunks())
+            one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
+            a = np.flatnonzero(block == one)
+            b = a if one == two else np.flatnonzero(block == two)
+            if len(rep) < 2 or not len(a) or not len(b):
+                continue
+            sizes = np.array([len(e) for e in elements])
+            linked = np.zeros((len(rep), len(rep)), bool)
+            linked[np.ix_(a, b)] = enough(shared_elements(elements, a, b), sizes[a][:, None], sizes[b][None])
+            linked |= linked.T
+            np.fill_diagonal(linked, False)
+            edges = [(rep[g].min(), r) for g in linked_groups(linked) for r in rep[g] if r != rep[g].min()]
+            if edges:
+                src, dst = np.array(edges, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    return together.mapInArrow(run, "src long, dst long").distinct()
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of equal values in the first columns of sorted batches; holds one run and one batch at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        starts = [0, *new.tolist(), batch.num_rows]
+        if held and any(held[-1].column(k)[-1].as_py() != columns[k][0] for k in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for at, end in zip(starts[:-1], starts[1:], strict=True):
+            if at:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def shared_elements(elements: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of elements that the sets of rows ``a`` and rows ``b`` share, by products of 0/1 matrices."""
+    row = np.repeat(np.arange(len(elements)), [len(e) for e in elements])
+    _, column, count = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    common = count > 1
+    place = np.cumsum(common) - 1
+    keep = common[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(common.sum()), _COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + _COLUMNS])
+        has = np.zeros((len(elements), min(_COLUMNS, int(common.sum()) - start)), np.float32)
+        has[row[lo:hi], column[lo:hi] - start] = 1
+        shared += has[a] @ has[b].T
+    return shared.astype(np.int64)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -184,56 +231,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction = Frac
     document, linked by any of their texts.
     """
     ws = Workspace(docs.sparkSession, "minhash")
-    threshold = match_threshold(similarity)
+    threshold, n, d = match_threshold(similarity), similarity.numerator, similarity.denominator
     sketches = ws.save(sketch(docs, words))
     linkable = sketches.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = ws.save(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")))
-    lists = prefix_postings(classes, ws, threshold)
-    links = docs.sparkSession.createDataFrame([], "src long, dst long")
-    component = docs.sparkSession.createDataFrame([], "node long, component long")
-    if not lists.isEmpty():
-        partners = lists.select(F.col("rep").alias("doc_id")).distinct()
-        sets = ws.save(full_sets(docs.select("doc_id", "text").join(partners, "doc_id", "left_semi"), words))
-        sizes = classes.select("rep", "size", "signature")
-        for step in ("first", "best", "all"):
-            if step == "first":
-                pivots = lists.groupBy("value_key").agg(F.min("rep").alias("a"))
-                pairs = lists.join(pivots, "value_key").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
-                pairs = with_matches(pairs, sizes).where(F.col("matches") >= threshold)
-            else:
-                placed = lists.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-                several = placed.groupBy("value_key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-                members = placed.join(several.select("value_key"), "value_key").join(classes.select("rep", "signature"), "rep")
-                pairs = block_matches(ws.save(members), threshold, _FAN if step == "best" else None)
-            found = ws.save(confirm(ws.save(pairs.select("a", "b")), sets, similarity))
-            if found.isEmpty():
-                continue
-            links = ws.save(links.union(found))
-            component = ws.save(connected_components(links, ws))
+    classes = ws.save(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+
+    lists = deal(prefix_postings(classes, ws, threshold), "list_id")
+    candidates = ws.save(overlap_forest(lists, classes, "signature", lambda c: list(coordinate_values(c)), lambda shared, a, b: shared >= threshold))
+    close = ws.save(connected_components(candidates, ws))
+
+    wanted = close.select(F.col("node").alias("doc_id"))
+    sets = ws.save(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), words).withColumnRenamed("doc_id", "rep"))
+    members = deal(close.select(F.col("component").alias("near"), F.col("node").alias("rep")), "near")
+    links = ws.save(overlap_forest(members, sets, "shingles", as_sets, lambda shared, a, b: shared * d >= (a + b - shared) * n))
+    component = ws.save(connected_components(links, ws))
+
     named = classes.select("set_key", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("linked"))
     placed = sketches.join(named, "set_key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "doc_id")).alias("component_id")
     return placed.select("doc_id", "n_shingles", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def with_matches(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Adds to pairs (a, b) the number of coordinates in which their signatures agree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(batch.num_rows, -1) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a == b).sum(axis=1), pa.int64())], ["a", "b", "matches"])
-
-    one, two = (classes.select(F.col("rep").alias(k), F.col("signature").alias(f"s{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, matches long")
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
-    """Links (src, dst): the pairs whose full sets are similar enough, in whole numbers."""
-    one, two = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    both = pairs.join(one, "a").join(two, "b")
-    n, d = similarity.numerator, similarity.denominator
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    both = both.where(small * d >= large * n).withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("common") * d >= (F.size("sa") + F.size("sb") - F.col("common")) * n).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+def as_sets(column: pa.ListArray) -> list[np.ndarray]:
+    values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+    return np.split(values, ends[:-1])

@@ -101,4 +101,5 @@ def count_tokens(docs: DataFrame, tokenizer: str, separator: int, block: int = B
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), row["part"], np.int32)), pa.array(np.arange(len(ids))), ids], ["part", "place", "doc_id"])
 
     named = files.repartition(max(1, files.count())).mapInArrow(names, "part int, place long, doc_id long")
-    return counted.join(named, ["part", "place"], "left").select("doc_id", "doc_index", "start", "n_tokens", "closed")
+    # a row per document, though its manifest is small: never a side to broadcast
+    return counted.join(named.hint("merge"), ["part", "place"], "left").select("doc_id", "doc_index", "start", "n_tokens", "closed")

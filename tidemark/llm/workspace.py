@@ -7,6 +7,7 @@ at most the tasks it was running.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -16,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """URI of the cluster's shared folder; a temporary one only where none is configured (tests)."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return sc.getCheckpointDir().rstrip("/")
+        named = sc.getCheckpointDir()
+    path = sc._jvm.org.apache.hadoop.fs.Path(named)
+    uri = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()  # a bare path is on Spark's default file system
+    return re.sub(r"^file:/+", "file:///", uri).rstrip("/")
 
 
 class Workspace:

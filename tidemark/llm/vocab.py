@@ -2,48 +2,82 @@
 
 ``WordEncoder`` encodes each distinct blank-delimited chunk once and joins the cached
 ids. That equals encoding the whole text for a tokenizer whose pre-tokens never cross
-white space, such as one that drops it (``tests/llm/test_vocab.py`` compares the two).
+white space, such as one that drops it (``tests/llm/test_tokens.py`` compares the two).
 """
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
 _TAIL = ".,;:!?"
-_CHUNKS, _CORES = 300_000, 600_000
+_CHUNKS, _CORES = 120_000, 200_000
+
+
+def _byte_level() -> dict[int, str]:
+    """Latin-1 characters as byte-level tokenizers spell their UTF-8 bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spelled = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(256)}
+
+
+class _Cores(dict):
+    """Ids of letters without punctuation, of punctuation, and of whatever is neither."""
+
+    def __init__(self, tokenizer: Tokenizer, code: str):
+        self._tokenizer, self._model, self._code, self._spelling = tokenizer, tokenizer.model, code, _byte_level()
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) > _CORES:
+            self.clear()
+        if text.isalpha() and text.islower() and max(text) < "Ā":  # one pre-token of letters: only the model is left to apply
+            ids = [t.id for t in self._model.tokenize(text if text.isascii() else text.translate(self._spelling))]
+        else:
+            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+        self[text] = coded = array(self._code, ids).tobytes()
+        return coded
+
+
+class _Chunks(dict):
+    """Ids of blank-delimited chunks."""
+
+    def __init__(self, cores: _Cores):
+        self._cores = cores
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > _CHUNKS:
+            self.clear()
+        core = chunk.rstrip(_TAIL)
+        if len(core) < len(chunk) and core.isalpha():
+            coded = self._cores[core] + self._cores[chunk[len(core) :]]
+        else:
+            coded = self._cores[chunk] if chunk else b""
+        self[chunk] = coded
+        return coded
 
 
 class WordEncoder:
-    """Encodes texts to little-endian unsigned ids of ``width`` bytes.
+    """Encodes texts to little-endian unsigned ids of the narrowest width that holds the vocabulary.
 
     special_as_text: whether the strings of special tokens in a text are ordinary text.
     The caches are emptied when full, so memory stays bounded whatever the vocabulary.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = special_as_text
-        self._model = self._tokenizer.model
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = special_as_text
         self._raw_marker = None if special_as_text else "<|"
-        self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._chunks: dict[str, bytes] = {"": b""}
-        self._cores: dict[str, bytes] = {"": b""}
+        narrow = tokenizer.get_vocab_size() <= 1 << 16
+        self.dtype = np.dtype("<u2" if narrow else "<u4")
+        self._chunks = _Chunks(_Cores(tokenizer, "H" if narrow else "I"))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; none for a null or blank one."""
-        split = [self._split(t) if t else [] for t in texts]
-        wanted = set().union(*split).difference(self._chunks) if split else set()
-        if wanted:
-            if len(self._chunks) > _CHUNKS:
-                self._chunks = {"": b""}
-                wanted = set().union(*split)
-                wanted.discard("")
-            self._learn(wanted)
         get = self._chunks.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, self._split(text))) if text else b"" for text in texts]
 
     def _split(self, text: str) -> list[str]:
         if not text.isascii():
@@ -55,23 +89,6 @@ class WordEncoder:
             return _blanks(text)
         return _blanks(text.lower())  # of Latin-1 text, lower() is what the tokenizer's own step does
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self._cores) > _CORES:
-            self._cores = {"": b""}
-        parts = {}
-        for chunk in chunks:
-            core = chunk.rstrip(_TAIL)
-            parts[chunk] = (core, chunk[len(core) :]) if core.isalpha() else (chunk, "")
-        new = {p for pair in parts.values() for p in pair}.difference(self._cores)
-        words = [w for w in new if w.isascii() and w.isalpha() and w.islower()]
-        for w in words:  # one pre-token of letters: only the model is left to apply
-            self._cores[w] = np.array([t.id for t in self._model.tokenize(w)], self.dtype).tobytes()
-        others = list(new.difference(words))
-        for w, e in zip(others, self._tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self._cores[w] = np.array(e.ids, self.dtype).tobytes()
-        cores = self._cores
-        self._chunks.update({c: cores[a] + cores[b] if b else cores[a] for c, (a, b) in parts.items()})
-
 
 def _blanks(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")

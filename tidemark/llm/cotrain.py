@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import bound_batches
+
 #: Bounds of the labelled sample and of the unlabelled pool, in documents, taken in hash order.
 LABELLED, POOL = 8_000, 8_000
 ROUNDS, SURE, PER_ROUND, HELD_OUT, LEAST_LABELS = 5, 0.98, 500, 0.25, 10
@@ -191,6 +193,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     empty texts are measured as such. Rows are scored one by one, so repeats score alike.
     """
     kind = "struct<p_text: double, p_meta: double, score: double, kept: boolean>"
+    bound_batches(docs.sparkSession)
     model = train(docs, labels)
     if model is None:
         return docs.withColumn("quality_score", F.lit(None).cast(kind)).withColumn("quality_score", F.expr("named_struct('p_text', quality_score.p_text, 'p_meta', quality_score.p_meta, 'score', quality_score.score, 'kept', true)"))

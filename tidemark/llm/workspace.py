@@ -15,6 +15,8 @@ from urllib.parse import urlparse
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = 1000
+
 
 def shared_root(spark: SparkSession) -> str:
     """URI of the cluster's shared folder; a temporary one only where none is configured (tests)."""
@@ -28,6 +30,13 @@ def shared_root(spark: SparkSession) -> str:
     return re.sub(r"^file:/+", "file:///", uri).rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows in this session, since a row may be a very long text."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+
+
 class Workspace:
     """A folder of its own for one run of one operator."""
 
@@ -35,6 +44,7 @@ class Workspace:
         self.spark = spark
         self.uri = f"{shared_root(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
         self._tables = 0
+        bound_batches(spark)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` as Parquet and returns the table, which cuts its lineage."""

@@ -44,10 +44,11 @@ def planted(dim=32, groups=40, seed=0):
     return rows
 
 
-@pytest.mark.parametrize(("cell", "block"), [(1024, 4096), (20, 4096), (20, 16)])
+@pytest.mark.parametrize(("cell", "block"), [(1024, 8192), (20, 8192), (20, 16)])
 def test_links_and_recall(spark, monkeypatch, cell, block):
     monkeypatch.setattr(embed_dedup, "CELL", cell)
-    monkeypatch.setattr(embed_dedup, "_BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "_LEFT", block // 8)
+    monkeypatch.setattr(embed_dedup, "_RIGHT", block)
     rows = planted()
     wanted = brute_force(rows, 0.9)
     got = {r["vec_id"]: r for r in embed_dedup.near_vectors(spark.createDataFrame([(k, v.tolist(), 1) for k, v in rows.items()], VECTORS)).collect()}

@@ -8,7 +8,7 @@ a direction u that is not chosen against us, its share along one axis has a devi
 which gives the margin at ``Z`` deviations (never more than sqrt(1 - t^2), beyond which no
 pair can lie). Recall against brute force is measured in ``tests/llm/test_embed_dedup.py``.
 
-Cells are dealt out by pairs of blocks, so a cell that a third of all vectors share is many
+Cells are dealt out by pairs of blocks of members, so a cell that a third of all vectors share is many
 tasks. A task returns link counts and a spanning forest of the links, never the pairs.
 """
 
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, linked_groups
 from .workspace import Workspace
 
 SAMPLE, CELL, MAX_CELLS, ROUNDS, Z = 20_000, 1024, 1024, 12, 3.0
-_BLOCK, _STEP = 4096, 512
+_LEFT, _RIGHT, _STEP = 1024, 8192, 512
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -81,56 +81,55 @@ def assign(classes: DataFrame, centroids: np.ndarray, margin: float) -> DataFram
                 taken = step.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), *taken.columns], ["cell", "home", "rep", "n", "embedding"])
 
-    return classes.select("rep", "n", F.col("embedding").cast("array<double>")).mapInArrow(run, "cell int, home boolean, rep long, n long, embedding array<double>")
-
-
-def linked_groups(linked: np.ndarray) -> Iterator[np.ndarray]:
-    """Components of two nodes or more of a symmetric link matrix."""
-    left = linked.any(axis=1)
-    while left.any():
-        start = left.argmax()
-        seen = np.zeros(len(linked), bool)
-        seen[start] = True
-        edge = np.array([start])
-        while len(edge):
-            found = np.zeros(len(linked), bool)
-            for k in range(0, len(edge), _STEP):
-                found |= linked[edge[k : k + _STEP]].any(axis=0)
-            found &= ~seen
-            seen |= found
-            edge = np.flatnonzero(found)
-        left &= ~seen
-        yield np.flatnonzero(seen)
+    kind = classes.schema["embedding"].dataType.simpleString()
+    return classes.select("rep", "n", "embedding").mapInArrow(run, f"cell int, home boolean, rep long, n long, embedding {kind}")
 
 
 def compare_blocks(placed: DataFrame, similarity: float) -> DataFrame:
-    """Links within cells: rows (rep, other, links), a link count without other or a forest edge without links."""
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "home", "rep", "n", "embedding")
+    """Links within cells: rows (rep, other, links), a link count without other or a forest edge without links.
+
+    Members that are at home (the left side) are compared with all members (the right side). Each side of a
+    cell is dealt into blocks, and a task compares one left block with one right block.
+    """
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / _LEFT).cast("int").alias("lefts"), F.ceil(F.count("*") / _RIGHT).cast("int").alias("rights"))
+    dealt = placed.join(sizes, "cell").withColumns({"one": F.pmod(F.xxhash64("rep"), "lefts").cast("int"), "two": F.pmod(F.xxhash64("rep", F.lit(1)), "rights").cast("int")})
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = F.when(F.col("home"), F.transform(every("rights"), lambda k: F.struct(F.lit(True).alias("left"), F.col("one"), k.alias("two"))))
+    right = F.transform(every("lefts"), lambda k: F.struct(F.lit(False).alias("left"), k.alias("one"), F.col("two")))
+    sides = F.explode(F.concat(F.coalesce(left, F.slice(right, 1, 0)), right))
+    dealt = dealt.select("cell", sides.alias("s"), "home", "rep", "n", "embedding").select("cell", "s.*", "home", "rep", "n", "embedding")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        vectors = unit(np.array(group["embedding"].to_list()))
-        block, home, n, rep = (group[c].to_numpy() for c in ("block", "home", "n", "rep"))
-        linked = np.zeros((len(group), len(group)), bool)
-        for at in range(0, len(group), _STEP):
-            rows = slice(at, at + _STEP)
-            near = vectors[rows] @ vectors.T >= similarity
-            near &= home[rows, None] | home[None]
-            if group["one"].iat[0] != group["two"].iat[0]:
-                near &= block[rows, None] != block[None]
-            linked[rows] = near
-        np.fill_diagonal(linked, False)
-        linked |= linked.T
-        counts = np.array([n[row].sum() for row in linked], np.int64) if linked.any() else np.zeros(len(n), np.int64)
-        some = counts > 0
-        edges = [(rep[g].min(), r) for g in linked_groups(linked) for r in rep[g] if r != rep[g].min()]
+        a, b = group[group["left"]], group[~group["left"]]
+        none = pd.DataFrame({"rep": [], "other": pd.array([], "Int64"), "links": []}).astype({"rep": "int64", "links": "int64"})
+        if not len(a) or not len(b):
+            return none
+        x, y = (unit(np.stack(g["embedding"].to_numpy())) for g in (a, b))
+        ids, others, n, m = a["rep"].to_numpy(), b["rep"].to_numpy(), a["n"].to_numpy(), b["n"].to_numpy()
+        linked = np.zeros((len(a), len(b)), bool)
+        for at in range(0, len(a), _STEP):
+            linked[at : at + _STEP] = x[at : at + _STEP] @ y.T >= similarity
+        place = {r: k for k, r in enumerate(others.tolist())}
+        for k, r in enumerate(ids.tolist()):
+            if r in place:
+                linked[k, place[r]] = False
+        rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+        if not len(rows):
+            return none
+        linked = linked[np.ix_(rows, columns)]
+        ids, others, n, m, visitor = ids[rows], others[columns], n[rows], m[columns], ~b["home"].to_numpy()[columns]
+        nodes = np.unique(np.concatenate([ids, others]))
+        square = np.zeros((len(nodes), len(nodes)), bool)
+        square[np.ix_(np.searchsorted(nodes, ids), np.searchsorted(nodes, others))] = linked
+        square |= square.T
+        edges = [(nodes[g[0]], r) for g in linked_groups(square) for r in nodes[g[1:]]]
         src, dst = np.array(edges, np.int64).reshape(-1, 2).T
+        counted = np.concatenate([ids, others[visitor]])
+        links = np.concatenate([[m[row].sum() for row in linked], [n[row].sum() for row in linked.T[visitor]]]).astype(np.int64)
         return pd.DataFrame({
-            "rep": np.concatenate([rep[some], src]),
-            "other": pd.array([None] * int(some.sum()) + dst.tolist(), dtype="Int64"),
-            "links": np.concatenate([counts[some], np.zeros(len(src), np.int64)]),
+            "rep": np.concatenate([counted, src]),
+            "other": pd.array([None] * len(counted) + dst.tolist(), dtype="Int64"),
+            "links": np.concatenate([links, np.zeros(len(src), np.int64)]),
         })
 
     return dealt.groupBy("cell", "one", "two").applyInPandas(compare, "rep long, other long, links long")
@@ -145,12 +144,12 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.9, margin: float | No
     are kept. Rows that repeat are linked; rows with the same vec_id are one node.
     """
     spark, ws = vectors.sparkSession, Workspace(vectors.sparkSession, "vectors")
-    vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    vectors = vectors.select(F.col("vec_id").cast("long"), "embedding")
     classes = ws.save(usable(vectors).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").toPandas()["embedding"]
     if not len(sample):
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = unit(np.array(sample.to_list()))
+    sample = unit(np.stack(sample.to_numpy()))
     if margin is None:
         side = np.sqrt(1 - similarity**2)
         margin = min(side, Z * side / similarity / np.sqrt(sample.shape[1]))

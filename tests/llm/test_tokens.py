@@ -139,6 +139,27 @@ def test_large_histograms_reach_the_bound():
     assert sum(n for _, n in plan) <= -(-int(lengths.sum()) // 512) * 1.005
 
 
+@pytest.mark.parametrize(
+    ("histogram", "most"),
+    [({2100: 400, 1000: 400}, 400), ({1400: 500, 1500: 501, 1366: 333}, 667), ({2100: 300, 1400: 500, 1000: 400, 700: 200, 600: 900}, 618)],
+)
+def test_plan_reaches_an_lp_bound_above_the_volume(histogram, most):
+    counts = np.zeros(4097, np.int64)
+    for v, n in histogram.items():
+        counts[v] = n
+    _, prices, bound = packing.solve_lp(counts, 4096)
+    assert bound > 1.02 * (counts @ np.arange(4097)) / 4096
+    assert counts @ prices >= bound * packing.price_configs(prices, 4096)[0][4096] * (1 - 1e-9)
+    plan = packing.plan_packing(histogram, 4096)
+    used = Counter()
+    for config, n in plan:
+        assert sum(config) <= 4096
+        for v in config:
+            used[v] += n
+    assert used == histogram and bound - 1e-6 <= sum(n for _, n in plan) <= most
+    assert packing.solve_lp(counts, 4096)[2] <= most
+
+
 def test_empty_tables(documents, tokenizer_path):
     none = documents.limit(0)
     assert packing.pack(none, tokenizer_path, END).count() == 0

@@ -3,6 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,36 @@ def test_sources_stay_within_a_block_of_their_weights(spark, weights):
             assert abs(served[s] - w * (r["mix_slot"] + 1)) < 1
 
 
+def test_no_source_drifts_from_the_weights_passed_in(spark):
+    weights = {f"s{k:02}": (0.9 if k == 0 else 0.1 / 19) for k in range(20)}
+    docs = sources(spark, {s: 2700 if s == "s00" else 15 for s in weights})
+    served, slots = Counter(), sorted((r["mix_slot"], r["source"]) for r in M.mix_sources(docs, weights, block_chars=100).select("source", "mix_slot").collect())
+    last = min(max(t for t, x in slots if x == s) for s in weights)
+    assert last > 2000
+    for t, s in slots:
+        if t > last:
+            break
+        served[s] += 1
+        assert all(abs(served[x] - w * (t + 1)) < 1 + 1e-9 for x, w in weights.items())
+
+
+def test_many_sources_keep_their_weights():
+    rng = np.random.default_rng(0)
+    n = [int(x) for x in rng.integers(1, 1 << 40, 20_000)]
+    q = sum(n)
+    placed = list(M.earliest_deadline_first([(w, 5) for w in n]))
+    assert len(placed) == len({p[:2] for p in placed}) == len({p[4] for p in placed}) == 100_000
+    assert all(r == j * q // n[k] and d == -(-(j + 1) * q // n[k]) and r <= t < d for k, j, r, d, t in placed)
+    assert list(M.earliest_deadline_first([])) == []
+
+
+def test_sources_without_weight_follow(spark):
+    docs = sources(spark, {"a": 20, "b": 10, "c": 5, "d": 5})
+    slots = {s: sorted(r["mix_slot"] for r in M.mix_sources(docs, {"a": 2.0, "b": 1.0}, block_chars=100).where(F.col("source") == s).collect()) for s in "abcd"}
+    assert sorted(sum(slots.values(), [])) == sorted(set(sum(slots.values(), []))) and len(sum(slots.values(), [])) == 40
+    assert max(slots["a"] + slots["b"]) < min(slots["c"] + slots["d"])
+
+
 def test_blocks_are_filled_in_order(spark):
     docs = spark.createDataFrame([(k, "x" * (k % 7 * 10), "s") for k in range(200)], "doc_id long, text string, source string")
     rows = M.mix_sources(docs, block_chars=100).orderBy("mix_start", "mix_chars").collect()

@@ -1,26 +1,29 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source, laid end to end, fill blocks of ``block_chars`` characters. With a share
-of n slots in a cycle of Q, block j of a source is released at slot floor(jQ/n) and due at
-slot ceil((j+1)Q/n); at each slot the released block with the earliest deadline goes next.
-Shares sum to Q, so every deadline is met and no source is ever a whole block ahead of or
-behind its weight. Blocks repeat the schedule of one cycle, which a fold over its slots
-makes; its size depends on the sources, not on the documents.
+Documents of a source, laid end to end, fill blocks of ``block_chars`` characters. Block j of a source
+of weight n, of q in all, is released at slot floor(jq/n) and due at slot ceil((j+1)q/n); at each slot the
+released block with the earliest deadline goes next. Weights sum to q, so every deadline is met
+and no source is ever a whole block ahead of or behind its weight, however long the run: n and q are
+the weights themselves in units of 2^-52 of their sum, and windows are exact integers.
+
+The driver schedules the blocks of the whole run with two heaps, from one number of characters a source:
+a source and a block cost it a heap entry each, in time by the logarithm of the number of sources.
 
 Sources that end early leave their slots empty, and the others go on in their proportions:
-nothing is dropped or repeated.
+nothing is dropped or repeated. Sources of weight zero follow when the others have ended, in equal shares.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from heapq import heapify, heappop, heappush
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-BLOCK_CHARS, CYCLE, POWER, SALTS = 1 << 16, 1000, 0.5, 256
+BLOCK_CHARS, CYCLE, POWER, SALTS, UNIT = 1 << 16, 1000, 0.5, 256, 1 << 52
 
 
 def source_key(source: Column | str = "source") -> Column:
@@ -35,38 +38,50 @@ def _salt() -> Column:
 
 
 def shares(totals: DataFrame, weights: Mapping[str, float] | None, cycle: int, power: float) -> DataFrame:
-    """Whole slots of a cycle for each source (key, chars): key, k, n, q; at least one slot each.
+    """The exact share n / q of each source (key, chars): key, chars, n, q.
 
-    Without ``weights`` a source weighs chars^power. Sources that ``weights`` does not name weigh nothing
-    and get the least share. The largest remainders are rounded up.
+    Without ``weights`` a source weighs chars^power. Sources that ``weights`` does not name weigh nothing; if none
+    weighs anything all weigh the same. No share depends on ``cycle``, as no cycle is repeated.
     """
     if weights is None:
         weight = F.pow(F.greatest(F.col("chars"), F.lit(1)).cast("double"), F.lit(float(power)))
     else:
         named = [x for s, w in weights.items() for x in (F.lit(f"={s}"), F.lit(float(w)))]
         weight = F.coalesce(F.create_map(*named)[F.col("key")], F.lit(0.0)) if named else F.lit(0.0)
-    every, by_rest = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy(F.desc("rest"), "key")
-    weighed = totals.withColumns({"weight": weight, "m": F.count("*").over(every)})
-    weighed = weighed.withColumns({"q": F.greatest(F.lit(cycle), 4 * F.col("m")), "all": F.sum("weight").over(every)})
-    exact = F.when(F.col("all") > 0, (F.col("q") - F.col("m")) * F.col("weight") / F.col("all")).otherwise((F.col("q") - F.col("m")) / F.col("m"))
-    cut = weighed.withColumn("exact", exact).withColumns({"n": F.lit(1) + F.floor("exact"), "rest": F.col("exact") - F.floor("exact")})
-    left = F.col("q") - F.sum("n").over(every)
-    cut = cut.withColumns({"left": left, "at": F.row_number().over(by_rest)})
-    return cut.select("key", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("key")) - 1).alias("k"), (F.col("n") + (F.col("at") <= F.col("left")).cast("int")).cast("long").alias("n"), F.col("q").cast("long").alias("q"))
-
-
-def cycle_schedule(shared: DataFrame) -> DataFrame:
-    """Earliest-deadline-first over one cycle: key, j, n, q, slot, one row a slot."""
-    sources = shared.agg(F.sort_array(F.collect_list(F.struct("k", "key", "n"))).alias("s"), F.max("q").alias("q"))
-    fold = """
-        aggregate(sequence(0L, q - 1), named_struct('done', transform(s, x -> 0L), 'plan', array_repeat(named_struct('k', 0, 'j', 0L), 0)),
-          (a, t) -> transform(array(array_min(transform(a.done, (d, i) ->
-              if(d < s[i].n AND d * q div s[i].n <= t, named_struct('due', ((d + 1) * q + s[i].n - 1) div s[i].n, 'k', i), null))).k),
-            k -> named_struct('done', transform(a.done, (d, i) -> if(i = k, d + 1, d)),
-                              'plan', concat(a.plan, array(named_struct('k', k, 'j', a.done[k])))))[0],
-          a -> a.plan)"""
-    slots = sources.where("size(s) > 0").select("s", "q", F.posexplode(F.expr(fold)).alias("slot", "p"))
-    return slots.select(F.expr("s[p.k].key").alias("key"), F.col("p.j").alias("j"), F.expr("s[p.k].n").alias("n"), "q", F.col("slot").cast("long").alias("slot"))
+    weighed = totals.withColumn("weight", weight)
+    weighed = weighed.crossJoin(F.broadcast(weighed.agg(F.sum("weight").alias("all"), F.count("*").alias("m"))))
+    exact = F.when(F.col("all") > 0, F.col("weight") / F.col("all")).otherwise(1 / F.col("m"))
+    cut = weighed.withColumn("n", F.when(exact > 0, F.greatest(F.lit(1), F.round(exact * UNIT))).otherwise(0).cast("long"))
+    return cut.crossJoin(F.broadcast(cut.agg(F.sum("n").alias("q")))).select("key", "chars", "n", "q")
+
+
+def earliest_deadline_first(sources: list[tuple[int, int]], start: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
+    """Places the blocks of sources (weight, blocks) from slot ``start``: source, block, release, deadline, slot."""
+    q = sum(n for n, _ in sources)
+    waiting, ready, slot = [(0, k, 0) for k, (_, blocks) in enumerate(sources) if blocks], [], 0
+    heapify(waiting)
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
+        while waiting and waiting[0][0] <= slot:
+            release, k, j = heappop(waiting)
+            heappush(ready, (-(-(j + 1) * q // sources[k][0]), k, j, release))
+        due, k, j, release = heappop(ready)
+        yield k, j, start + release, start + due, start + slot
+        slot += 1
+        if j + 1 < sources[k][1]:
+            heappush(waiting, ((j + 1) * q // sources[k][0], k, j + 1))
+
+
+def schedule_blocks(shared: DataFrame, block_chars: int, ws: Workspace) -> DataFrame:
+    """The place of every block in the run: key, block, release, deadline, slot. A source has one block at least."""
+    rows = shared.selectExpr("key", "n", f"chars div {block_chars} + 1 AS blocks").orderBy("key").collect()
+    placed, after = [], 0
+    for group, equal in (([r for r in rows if r["n"]], False), ([r for r in rows if not r["n"]], True)):
+        for k, *place in earliest_deadline_first([(1 if equal else r["n"], r["blocks"]) for r in group], after):
+            placed.append((group[k]["key"], *place))
+        after = placed[-1][-1] + 1 if placed else 0
+    return ws.save(shared.sparkSession.createDataFrame(placed, "key string, block long, release long, deadline long, slot long"))
 
 
 PLACE = ("chars", "block", "release", "deadline", "slot", "start")
@@ -86,24 +101,18 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     docs = docs.withColumns({"mix_chars": F.length(F.coalesce("text", F.lit(""))).cast("long"), "mix_key": source_key(), "mix_salt": _salt()})
     parts = ws.save(docs.groupBy(F.col("mix_key").alias("key"), F.col("mix_salt").alias("salt")).agg(F.sum("mix_chars").alias("chars")))
     earlier = Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    schedule = ws.save(cycle_schedule(shares(parts.groupBy("key").agg(F.sum("chars").alias("chars")), weights, cycle, power)))
+    schedule = schedule_blocks(shares(parts.groupBy("key").agg(F.sum("chars").alias("chars")), weights, cycle, power), block_chars, ws)
     bases = parts.select("key", "salt", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("mix_base"))
-    bases = ws.save(bases.join(schedule.select("key", F.col("n").alias("mix_n"), F.col("q").alias("mix_q")).distinct(), "key"))
-    bases = bases.withColumnsRenamed({"key": "mix_key", "salt": "mix_salt"})
-    slots = schedule.select(F.col("key").alias("mix_key"), F.col("j").alias("mix_j"), F.col("slot").alias("mix_at"))
+    bases = ws.save(bases).withColumnsRenamed({"key": "mix_key", "salt": "mix_salt"})
+    slots = schedule.withColumnsRenamed({"key": "mix_key", "block": "mix_block", **{c: f"mix_{c}" for c in ("release", "deadline", "slot")}})
 
     inside = Window.partitionBy("mix_key", "mix_salt").orderBy("doc_id", "mix_chars").rowsBetween(Window.unboundedPreceding, -1)
     placed = docs.withColumn("mix_start", F.coalesce(F.sum("mix_chars").over(inside), F.lit(0)))
     placed = placed.join(bases, ["mix_key", "mix_salt"]).withColumn("mix_start", F.col("mix_base") + F.col("mix_start"))
-    placed = placed.withColumn("mix_block", F.expr(f"mix_start div {block_chars}")).withColumn("mix_j", F.expr("mix_block % mix_n"))
-    placed = placed.join(slots, ["mix_key", "mix_j"])
-    first = F.expr("mix_block div mix_n * mix_q")
-    placed = placed.withColumns({
-        "mix_release": first + F.expr("mix_j * mix_q div mix_n"),
-        "mix_deadline": first + F.expr("((mix_j + 1) * mix_q + mix_n - 1) div mix_n"),
-        "mix_slot": first + F.col("mix_at"),
-    })
-    return placed.drop("mix_key", "mix_salt", "mix_base", "mix_j", "mix_n", "mix_q", "mix_at")
+    placed = placed.withColumn("mix_block", F.expr(f"mix_start div {block_chars}"))
+    placed = placed.join(F.broadcast(slots), ["mix_key", "mix_block"])  # a row per block, about 70 bytes for 64 KiB of text
+    added = [f"mix_{c}" for c in ("chars", "start", "block", "release", "deadline", "slot")]
+    return placed.select(*(c for c in docs.columns if c not in ("mix_key", "mix_salt", "mix_chars")), *added)
 
 
 def mixture_plan(docs: DataFrame) -> DataFrame:

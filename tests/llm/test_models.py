@@ -60,6 +60,17 @@ def test_links_and_recall(spark, monkeypatch, cell, block):
     assert all(r["kept"] == (r["component_id"] == k) for k, r in got.items())
 
 
+def test_no_link_is_lost_where_vectors_have_few_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CELL", 20)
+    rng = np.random.default_rng(5)
+    few = rng.normal(size=(700, 4)) * [2, 1, 1, 0.5]
+    near = few[:300] + rng.normal(size=(300, 4)) * 0.3
+    rows = dict(enumerate((np.vstack([few, near]) @ rng.normal(size=(4, 64)) * 0.1).astype(np.float32)))
+    wanted = brute_force(rows, 0.9)
+    got = embed_dedup.near_vectors(spark.createDataFrame([(k, v.tolist(), 1) for k, v in rows.items()], VECTORS)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == wanted
+
+
 def test_odd_vectors_link_with_nothing(spark):
     nan, inf = math.nan, math.inf
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [1e-30, 1e-31])]

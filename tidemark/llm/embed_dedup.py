@@ -2,11 +2,12 @@
 
 Equal vectors form a class and are compared once. Centroids are fitted on a bounded sample (``SAMPLE``
 classes in hash order); every class is then assigned to its nearest cell, its home. A pair that the
-border of two cells separates is met as well: a vector also visits each later cell whose border with
-its home is nearer than ``margin``. A vector y with cos(x, y) = t is t x + sqrt(1 - t^2) u; for
-a direction u that is not chosen against us, its share along one axis has a deviation of 1/sqrt(dim),
-which gives the margin at ``Z`` deviations (never more than sqrt(1 - t^2), beyond which no
-pair can lie). Recall against brute force is measured in ``tests/llm/test_embed_dedup.py``.
+border of two cells separates is met as well: with t the similarity, a vector also visits each
+later cell that can hold a vector at t or more. Two exact bounds say which cannot: a vector farther than
+sqrt(1 - t^2) from the border with its home has no such partner beyond it, and neither has one whose
+angle to the other centroid exceeds acos(t) plus the largest angle of that cell's own vectors. Nothing is
+lost, whatever the vectors; how many visits remain depends on them. For directions without structure
+almost every cell is visited, and the comparisons grow with the square of the vectors.
 
 Cells are dealt out by pairs of blocks of members, so a cell that a third of all vectors share is many
 tasks. A task returns link counts and a spanning forest of the links, never the pairs.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .components import connected_components, linked_groups
 from .workspace import Workspace
 
-SAMPLE, CELL, MAX_CELLS, ROUNDS, Z = 20_000, 1024, 1024, 12, 3.0
+SAMPLE, CELL, MAX_CELLS, ROUNDS, ROOM = 20_000, 1024, 1024, 12, 1e-6
 _LEFT, _RIGHT, _STEP = 1024, 8192, 512
 
 
@@ -61,13 +62,37 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.where(F.size("embedding") == (length["n"] if length else 0))
 
 
-def assign(classes: DataFrame, centroids: np.ndarray, margin: float) -> DataFrame:
-    """Each class (rep, n, embedding) in its home cell and, as a visitor, in later cells within the margin."""
+def radii(classes: DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """The largest angle between a cell's centroid and a class that is at home there; negative for an empty cell."""
+    shared = classes.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(shared.value), np.inf)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _STEP):
+                step = batch.slice(at, _STEP)
+                near = unit(step.column(0).flatten().to_numpy().reshape(step.num_rows, -1)) @ shared.value.T
+                np.minimum.at(least, near.argmax(axis=1), near.max(axis=1))
+        cell = np.flatnonzero(np.isfinite(least))
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(least[cell])], ["cell", "least"])
+
+    radius = np.full(len(centroids), -np.inf)
+    for r in classes.select("embedding").mapInArrow(run, "cell int, least double").groupBy("cell").agg(F.min("least").alias("least")).collect():
+        radius[r["cell"]] = np.arccos(np.clip(r["least"], -1, 1))
+    return radius
+
+
+def assign(classes: DataFrame, centroids: np.ndarray, similarity: float) -> DataFrame:
+    """Each class (rep, n, embedding) in its home cell and, as a visitor, in later cells where a partner can be."""
     spread = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
-    shared = classes.sparkSession.sparkContext.broadcast((centroids, spread))
+    side = np.sqrt(1 - similarity**2) + ROOM
+    radius = radii(classes, centroids)
+    reach = np.cos(np.clip(np.arccos(similarity) + radius + ROOM, 0, np.pi)) - ROOM
+    reach[~np.isfinite(radius)] = np.inf  # an empty cell
+    shared = classes.sparkSession.sparkContext.broadcast((centroids, spread, reach))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, spread = shared.value
+        centroids, spread, reach = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, _STEP):
                 step = batch.slice(at, _STEP)
@@ -75,7 +100,7 @@ def assign(classes: DataFrame, centroids: np.ndarray, margin: float) -> DataFram
                 near = unit(vectors) @ centroids.T
                 home = near.argmax(axis=1)
                 gap = near[np.arange(len(home)), home][:, None] - near
-                visits = (gap <= margin * spread[home]) & (np.arange(len(centroids)) > home[:, None])
+                visits = (gap <= side * spread[home]) & (near >= reach) & (np.arange(len(centroids)) > home[:, None])
                 visits[np.arange(len(home)), home] = True
                 row, cell = np.nonzero(visits)
                 taken = step.take(pa.array(row))
@@ -135,7 +160,7 @@ def compare_blocks(placed: DataFrame, similarity: float) -> DataFrame:
     return dealt.groupBy("cell", "one", "two").applyInPandas(compare, "rep long, other long, links long")
 
 
-def near_vectors(vectors: DataFrame, similarity: float = 0.9, margin: float | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, similarity: float = 0.9) -> DataFrame:
     """Links and groups of ``vectors`` (vec_id, embedding) with a cosine of ``similarity`` or more.
 
     Returns a row per row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id
@@ -150,11 +175,8 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.9, margin: float | No
     if not len(sample):
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = unit(np.stack(sample.to_numpy()))
-    if margin is None:
-        side = np.sqrt(1 - similarity**2)
-        margin = min(side, Z * side / similarity / np.sqrt(sample.shape[1]))
     cells = int(np.clip(classes.count() / CELL, 1, min(MAX_CELLS, len(sample))))
-    placed = ws.save(assign(classes, spherical_kmeans(sample, cells), margin))
+    placed = ws.save(assign(classes, spherical_kmeans(sample, cells), similarity))
     found = ws.save(compare_blocks(placed, similarity))
     groups = connected_components(found.where("other IS NOT NULL").select(F.col("rep").alias("src"), F.col("other").alias("dst")), ws)
     links = found.where("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))

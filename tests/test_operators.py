@@ -158,6 +158,9 @@ def test_job_transitions(spark):
         JOB,
     )
     assert [r["status"] for r in jobs.cancel(log, [1, 2, 4], now()).orderBy("id").collect()] == ["cancelled", "cancel_requested", "running", "succeeded"]
+    requests = log.select("id").where("id IN (1, 2, 4)").union(log.selectExpr("id + 1000")).union(log.select("id").where("id = 1"))
+    assert jobs.cancel(log, requests, now()).columns == log.columns
+    assert [r["status"] for r in jobs.cancel(log, requests, now()).orderBy("id").collect()] == ["cancelled", "cancel_requested", "running", "succeeded"]
     assert [r["id"] for r in jobs.stale(log, now()).collect()] == [3]
     assert [r["status"] for r in jobs.interrupt_stale(log, now()).orderBy("id").collect()] == ["queued", "running", "interrupted", "succeeded"]
     timed = jobs.progress(log, now()).orderBy("id").collect()

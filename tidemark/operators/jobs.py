@@ -49,12 +49,17 @@ def progress(jobs: DataFrame, now: Column) -> DataFrame:
     return timed.withColumn("eta_seconds", eta_seconds("status", "done", "total", "elapsed_seconds"))
 
 
-def cancel(jobs: DataFrame, ids: Sequence[int], now: Column) -> DataFrame:
-    """A queued job asked to stop is cancelled, a running one is told to; others stay as they are."""
-    asked = F.col("id").isin(*ids)
+def cancel(jobs: DataFrame, ids: Sequence[int] | DataFrame, now: Column) -> DataFrame:
+    """A queued job asked to stop is cancelled, a running one is told to; others stay as they are.
+
+    The requests are a few ids, or a table (id) of any size in which ids may repeat or name no job.
+    """
+    columns, asked = jobs.columns, F.col("id").isin(*ids) if not isinstance(ids, DataFrame) else F.col("_asked").isNotNull()
+    if isinstance(ids, DataFrame):
+        jobs = jobs.join(ids.select("id", F.lit(True).alias("_asked")).distinct(), "id", "left")
     queued, running = asked & (F.col("status") == "queued"), asked & (F.col("status") == "running")
     status = F.when(queued, "cancelled").when(running, "cancel_requested").otherwise(F.col("status"))
-    return jobs.withColumns({"finished_at": F.when(queued, now).otherwise(F.col("finished_at")), "status": status})
+    return jobs.withColumns({"finished_at": F.when(queued, now).otherwise(F.col("finished_at")), "status": status}).select(*columns)
 
 
 def stale(jobs: DataFrame, now: Column, minutes: int = STALE_MINUTES) -> DataFrame:

@@ -395,7 +395,8 @@ def stale_jobs(spark, sf_dir):
 @query(f"WITH {_JOBS_SQL}" + """ SELECT id, CASE WHEN id % 3 <> 0 THEN status WHEN status = 'queued' THEN 'cancelled' WHEN status = 'running' THEN 'cancel_requested' ELSE status END AS status
         FROM jobs WHERE id <= 300""")
 def cancel_jobs(spark, sf_dir):
-    return jobs.cancel(_jobs(spark, sf_dir).where("id <= 300"), list(range(0, 301, 3)), now()).select("id", "status")
+    requests = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"))
+    return jobs.cancel(_jobs(spark, sf_dir), requests, now()).where("id <= 300").select("id", "status")  # the ids that the SQL lists
 
 
 @query(f"WITH {_JOBS_SQL}" + """ SELECT id, kind, status FROM (SELECT * FROM jobs ORDER BY id DESC LIMIT 500) WHERE status IN ('queued', 'running')""")

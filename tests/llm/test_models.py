@@ -122,6 +122,28 @@ def test_an_informative_view_teaches_and_a_blind_one_does_not():
     assert np.abs(q - 0.5).max() < 0.48
 
 
+def test_all_unlabelled_documents_teach():
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 400)
+    text, meta = np.column_stack([y * 8 + rng.normal(size=400)] * 2), rng.normal(size=(400, 2))
+    pool_y = rng.integers(0, 2, 30_000)
+    pool = [np.column_stack([pool_y * 8 + rng.normal(size=30_000)] * 2), rng.normal(size=(30_000, 2))]
+    rare = np.arange(30_000) >= 29_990  # the last ten alone have this mark
+    pool[1] = np.column_stack([pool[1], rare])
+    pool_y[rare], pool[0][rare] = 0, 0.0
+    model = cotrain.co_train([text, np.column_stack([meta, np.zeros(400)])], y, pool)
+    assert model.meta.model.weights[2] < 0
+
+
+def test_the_sums_of_tasks_are_those_of_all_documents(spark):
+    rows, _ = corpus(n=60)
+    docs = spark.createDataFrame([*rows, (None, None, None, None, None)], DOCS).repartition(3)
+    packed = docs.select(cotrain._measure()("text", "lang", "source", "n_chars").alias("x"))
+    wanted = [np.array([f(r) for r in docs.collect()], float) for f in (lambda r: cotrain.text_view(r["text"]), lambda r: cotrain.meta_view(r["lang"], r["source"], r["n_chars"]))]
+    both = lambda text, meta: np.concatenate([[len(text)], text.sum(axis=0), meta.sum(axis=0)])
+    assert np.allclose(cotrain._summed(packed)(both), both(*wanted))
+
+
 def test_without_labels_every_document_is_kept(spark):
     rows, _ = corpus(n=20)
     docs = spark.createDataFrame(rows, DOCS)

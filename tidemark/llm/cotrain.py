@@ -1,9 +1,11 @@
 """Quality classifier by co-training a text view and a metadata view.
 
 The text view measures the content; the metadata view sees language, source and length as the
-table states them. Both are logistic models on a bounded sample of labelled documents. Over rounds,
-each labels pool documents that it is sure of, by calibrated probability, for the other to
-learn from; a view that carries no information is never sure and so teaches nothing. The calibrated views
+table states them. Both are logistic models on a bounded sample of labelled documents. Over rounds, each
+labels all unlabelled documents that it is sure of, by calibrated probability, for the other to
+learn from; a view that carries no information is never sure and so teaches nothing. Tasks return sums of
+gradients and Hessians only, so no document that a view is sure of is left out. Pseudo-labels are weighed to keep
+the classes of the labels in proportion, and to weigh no more than the labels in all. The calibrated views
 are combined by a logistic model on held-out labels, which then scores every document.
 """
 
@@ -12,20 +14,24 @@ from __future__ import annotations
 import math
 import string
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import bound_batches
+from .workspace import Workspace, bound_batches
 
-#: Bounds of the labelled sample and of the unlabelled pool, in documents, taken in hash order.
-LABELLED, POOL = 8_000, 8_000
-ROUNDS, SURE, PER_ROUND, HELD_OUT, LEAST_LABELS = 5, 0.98, 500, 0.25, 10
+#: Bound of the labelled sample, in documents, taken in hash order. Unlabelled documents are all used.
+LABELLED = 8_000
+#: PASSES over the unlabelled documents a round at most; a step below ENOUGH ends the round.
+ROUNDS, PASSES, ENOUGH, SURE, HELD_OUT, LEAST_LABELS = 5, 8, 1e-3, 0.98, 0.25, 10
 THRESHOLD = 0.5
-_SOURCES, _LANGS = 32, 16
+_SOURCES, _LANGS, _TEXT = 32, 16, 11
 _UPPER, _LOWER, _DIGITS, _SYMBOLS = (s.encode() for s in (string.ascii_uppercase, string.ascii_lowercase, string.digits, "#*$%&|<>"))
 
 
@@ -121,62 +127,138 @@ class CoTrained:
         return p, q, self.combination.predict(np.column_stack([logit(p), logit(q)]))
 
 
-def co_train(views: list[np.ndarray], labels: np.ndarray, pools: list[np.ndarray], seed: int = 0) -> CoTrained | None:
-    """Trains both views; None without enough labels of both kinds."""
+Fold = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
+
+
+def pseudo_sums(models: list[Logistic], teachers: list[View], text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+    """For each view and class: count, gradient and Hessian over the documents that the other view is sure of."""
+    views, sums = (text, meta), []
+    for k, model in enumerate(models):
+        taught, z, p = teachers[1 - k].predict(views[1 - k]), model._design(views[k]), model.predict(views[k])
+        for value, sure in ((0, 1 - taught >= SURE), (1, taught >= SURE)):
+            zs, ps = z[sure], p[sure]
+            sums += [np.array([len(zs)]), zs.T @ (ps - value), ((zs * (ps * (1 - ps))[:, None]).T @ zs).ravel()]
+    return np.concatenate(sums)
+
+
+def learn(models: list[Logistic], teachers: list[View], views: list[np.ndarray], labels: np.ndarray, fold: Fold) -> list[Logistic] | None:
+    """Both views fitted to the labels and to what the other is sure of, by Newton's method; None if neither is sure."""
+    models = [replace_weights(m, m.weights) for m in models]
+    share = labels.mean()
+    for _ in range(PASSES):
+        sums, at, largest, taught = fold(partial(pseudo_sums, models, teachers)), 0, 0.0, False
+        for k, (model, x) in enumerate(zip(models, views, strict=True)):
+            d = len(model.weights)
+            parts = []
+            for _ in (0, 1):
+                parts.append((sums[at], sums[at + 1 : at + 1 + d], sums[at + 1 + d : at + 1 + d + d * d].reshape(d, d)))
+                at += 1 + d + d * d
+            zeros, ones = parts[0][0], parts[1][0]
+            if not zeros or not ones:
+                continue
+            taught = True
+            weights = np.array([min(1.0, ones * (1 - share) / share / zeros), min(1.0, zeros * share / (1 - share) / ones)])
+            weights *= min(1.0, len(labels) / (weights @ [zeros, ones]))
+            z, p = model._design(x), model.predict(x)
+            penalty = np.diag([*[model.ridge] * (d - 1), 1e-6])
+            slope = z.T @ (p - labels) + penalty @ model.weights + sum(w * g for w, (_, g, _) in zip(weights, parts, strict=True))
+            curve = (z * (p * (1 - p))[:, None]).T @ z + penalty + sum(w * h for w, (_, _, h) in zip(weights, parts, strict=True))
+            step = np.linalg.solve(curve, slope)
+            models[k] = replace_weights(model, model.weights - step)
+            largest = max(largest, np.abs(step).max())
+        if not taught:
+            return None
+        if largest < ENOUGH:
+            break
+    return models
+
+
+def replace_weights(model: Logistic, weights: np.ndarray) -> Logistic:
+    """A copy with the same scaling of features and other weights."""
+    other = Logistic(model.ridge)
+    other.mean, other.scale, other.weights = model.mean, model.scale, weights
+    return other
+
+
+def co_train(views: list[np.ndarray], labels: np.ndarray, pools: list[np.ndarray] | Fold, seed: int = 0) -> CoTrained | None:
+    """Trains both views; None without enough labels of both kinds.
+
+    ``pools`` are the unlabelled documents in both views, or a function that sums a function of
+    such arrays over all of them.
+    """
     if min((labels == 0).sum(), (labels == 1).sum()) < LEAST_LABELS:
         return None
     held = np.random.default_rng(seed).random(len(labels)) < HELD_OUT
     if len(set(labels[held])) < 2 or len(set(labels[~held])) < 2:
         held[:] = False
     check = held if held.any() else ~held
-    taught: list[dict[int, int]] = [{}, {}]  # pool documents that the other view labelled
-    for k in range(ROUNDS + 1):
-        trained = []
-        for view, pool, extra in zip(views, pools, taught, strict=True):
-            rows = np.fromiter(extra, int, len(extra))
-            x = np.vstack([view[~held], pool[rows]])
-            y = np.concatenate([labels[~held], np.fromiter(extra.values(), int, len(extra))])
-            model = Logistic().fit(x, y)
-            trained.append(View(model, Logistic(1e-3).fit(logit(model.predict(view[check]))[:, None], labels[check])))
-        if k == ROUNDS or not len(pools[0]):
+    fold = pools if callable(pools) else lambda f: f(*pools)
+    models = [Logistic().fit(view[~held], labels[~held]) for view in views]
+    calibrated = lambda: [View(m, Logistic(1e-3).fit(logit(m.predict(v[check]))[:, None], labels[check])) for m, v in zip(models, views, strict=True)]
+    trained = calibrated()
+    for _ in range(ROUNDS):
+        if (learnt := learn(models, trained, [v[~held] for v in views], labels[~held], fold)) is None:
             break
-        for teacher, pool, pupil in zip(trained, pools, taught[::-1], strict=True):
-            p = teacher.predict(pool)
-            share = labels.mean()
-            for value, sure, most in ((1, p, share), (0, 1 - p, 1 - share)):
-                order = np.argsort(-sure, kind="stable")
-                fresh = [i for i in order[sure[order] >= SURE].tolist() if i not in pupil]
-                pupil.update(dict.fromkeys(fresh[: max(1, round(PER_ROUND * most))], value))
+        models = learnt
+        trained = calibrated()
     both = np.column_stack([logit(t.predict(v[check])) for t, v in zip(trained, views, strict=True)])
     return CoTrained(*trained, Logistic(1e-3).fit(both, labels[check]))
 
 
+def _views(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The views of documents whose measurements ``_measure`` packed."""
+    x = np.frombuffer(b"".join(packed), float).reshape(len(packed), _TEXT + 4)
+    meta, every = np.zeros((len(x), _LANGS + _SOURCES + 2)), np.arange(len(x))
+    meta[every, x[:, _TEXT].astype(int)] = 1.0
+    meta[every, x[:, _TEXT + 1].astype(int)] = 1.0
+    meta[:, -2:] = x[:, -2:]
+    return x[:, :_TEXT], meta
+
+
+def _summed(pool: DataFrame) -> Fold:
+    """Sums over a table of packed measurements: a row of sums a task comes back."""
+
+    def fold(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = f(*_views([]))
+            for batch in batches:
+                total += f(*_views(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        rows = [np.frombuffer(r["sums"]) for r in pool.select("x").mapInArrow(run, "sums binary").collect()]
+        return sum(rows) if rows else f(*_views([]))
+
+    return fold
+
+
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """A model from the documents that ``labels`` (doc_id, quality 0/1) names and a pool of others.
+    """A model from a sample of the documents that ``labels`` (doc_id, quality 0/1) names and all the others.
 
-    Labels other than 0 and 1 are ignored; a document with both is labelled 0.
+    Labels other than 0 and 1 are ignored; a document with both is labelled 0. Rows without a doc_id are unlabelled.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    labelled = first(known.join(ids, "doc_id", "left_semi"), LABELLED)
-    pool = first(ids.join(known, "doc_id", "left_anti"), POOL).select("doc_id", F.lit(None).cast("int").alias("quality"))
-    chosen = F.broadcast(labelled.select("doc_id", F.col("quality").cast("int").alias("quality")).union(pool))  # LABELLED + POOL rows at most
-    table = docs.select("doc_id", "text", "lang", "source", "n_chars").join(chosen, "doc_id")
-    rows = table.select("doc_id", "quality", _measure()("text", "lang", "source", F.col("n_chars").cast("long")).alias("x")).toPandas()
+    ws = Workspace(docs.sparkSession, "cotrain")
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    measured = ws.save(docs.select("doc_id", _measure()("text", "lang", "source", F.col("n_chars").cast("long")).alias("x")))
+    found = known.join(measured.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = F.broadcast(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))
+    rows = measured.join(chosen, "doc_id").select("doc_id", "quality", "x").toPandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
     if not len(rows):
         return None
-    text, meta = (np.array([x[k] for x in rows["x"]], float) for k in ("text", "meta"))
-    is_labelled = rows["quality"].notna().to_numpy()
-    views, pools = [text[is_labelled], meta[is_labelled]], [text[~is_labelled], meta[~is_labelled]]
-    return co_train(views, rows["quality"][is_labelled].to_numpy(int), pools)
+    pool = ws.save(measured.join(known, "doc_id", "left_anti").select("x"))
+    return co_train(list(_views([bytes(x) for x in rows["x"]])), rows["quality"].to_numpy(int), _summed(pool))
 
 
 def _measure():
-    @F.pandas_udf("text array<double>, meta array<double>")
-    def measure(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"text": [text_view(t) for t in text], "meta": [meta_view(*row) for row in zip(_none(lang), _none(source), n_chars, strict=True)]})
+    """Both views of a document as doubles: the text view, the places of the ones for language and source, the length."""
+
+    @F.pandas_udf("binary")
+    def measure(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
+        packed = []
+        for t, row in zip(text, zip(_none(lang), _none(source), n_chars, strict=True), strict=True):
+            meta = meta_view(*row)
+            packed.append(np.array([*text_view(t), meta.index(1.0), meta.index(1.0, _LANGS), *meta[-2:]], float).tobytes())
+        return pd.Series(packed, dtype=object)
 
     return measure
 

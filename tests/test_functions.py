@@ -1,6 +1,7 @@
 """Functions on literals, one case for every trap that the formats set."""
 
 import datetime as dt
+import html
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,14 @@ def test_every_entity_needs_the_full_unescape(spark):
     assert value(spark, T.unescape(text("&eacute;&#233;&#xe9;"))) == "ééé"
 
 
+def test_every_entity_is_a_character_by_default(spark):
+    entities = "&eacute;&#8217;&hellip;&ndash;&#x2014;&amp;eacute; &lt;b&gt; &notit; &bogus;"
+    wanted = html.unescape(entities)
+    assert value(spark, T.html_to_text(text(f"<p>{entities}</p>"))) == wanted
+    assert value(spark, T.list_items(text(f"<li>{entities}</li><li>&nbsp;</li><li>a</li>"))) == [wanted, "a"]
+    assert value(spark, T.list_items(text(None))) == []
+
+
 def test_text_pieces(spark):
     assert value(spark, T.list_items(text("<ul><li> a <b>c</b></li><li></li><li\n>d</li></ul>"))) == ["a c", "d"]
     assert value(spark, T.compose(", ", text(" a "), text(None), text(""), text("b"))) == "a, b"

@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.cotrain import score_quality
 from tidemark.llm.minhash import near_duplicates
@@ -20,7 +21,7 @@ from tidemark.llm.quality_rules import passing
 from tidemark.llm.workspace import Workspace
 
 TOKENIZER, END_ID, SEQUENCE = "word_bpe_49k.json", 1, 4096
-SHINGLE_WORDS, SIMILARITY = 5, Fraction(4, 5)
+SHINGLE_WORDS, SIMILARITY, ROW = 5, Fraction(4, 5), "_dedup_row"
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -37,10 +38,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    judged = near_duplicates(docs, SHINGLE_WORDS, SIMILARITY)
-    dropped = Workspace(spark, "dropped").save(judged.where("NOT kept").select("doc_id").distinct())
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The first document of each group of near-duplicates: the row with the smallest doc_id, one row even if ids repeat or are null."""
+    ws = Workspace(spark, "dedup")
+    rows = ws.save(docs.withColumn(ROW, F.monotonically_increasing_id()))  # written, so that a row keeps its key
+    judged = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY)
+    judged = ws.save(judged.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW))
+    first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias(ROW))
+    dropped = ws.save(judged.select(ROW).join(first, ROW, "left_anti"))
+    return rows.join(dropped, ROW, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -181,6 +181,13 @@ def test_pipeline_equals_its_stages(spark, sf_dir, encode):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "near_dedup", "mixture", "packing"]
 
 
+def test_a_group_ends_with_one_row(spark):
+    one, two = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(7, one), (7, one), (None, one), (None, one), (9, one), (None, two), (None, two), (5, two + " end"), (8, None), (8, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, one), (5, two + " end"), (8, None), (8, None)], key=str)
+
+
 def test_stages_take_empty_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -165,3 +165,38 @@ def test_empty_tables(documents, tokenizer_path):
     assert packing.pack(none, tokenizer_path, END).count() == 0
     assert token_files.token_file_digest(none, tokenizer_path, END).count() == 0
     assert separator_scan.count_tokens(none, tokenizer_path, 49407).count() == 0
+
+
+@pytest.mark.parametrize("capacity", [64, 4096])
+@settings(max_examples=25, deadline=None)
+@given(data=st.data())
+def test_no_plan_is_worse_than_best_fit(capacity, data):
+    lengths = data.draw(st.lists(st.integers(capacity // 12, capacity), min_size=1, max_size=80))
+    plan, bound = packing.plan_and_bound(dict(Counter(lengths)), capacity)
+    alone = packing.best_fit(dict(Counter(lengths)), capacity).total()
+    assert bound <= sum(n for _, n in plan) <= alone
+
+
+@pytest.mark.parametrize(("histogram", "most"), [({2049: 5000, 1024: 5000}, 5000), ({1400: 3000, 1360: 3000, 2700: 1000}, 3167)])
+def test_plans_within_one_of_the_lp(histogram, most):
+    plan, bound = packing.plan_and_bound(histogram, 4096)
+    assert bound <= sum(n for _, n in plan) <= most and bound >= most - 1 - most * packing.GAP
+
+
+def test_the_weights_matter(monkeypatch):
+    lengths = np.random.default_rng(3).integers(90, 190, 3000)
+    counts = np.bincount(lengths, minlength=337)[:337]
+    _, _, bound = packing.solve_lp(counts, 336)
+    monkeypatch.setattr(packing, "RATE", 0.0)
+    _, _, flat = packing.solve_lp(counts, 336)
+    assert flat == pytest.approx(counts @ np.arange(337) / 336) and bound > 1.005 * flat
+
+
+def test_long_texts_are_packed_whole(spark, tokenizer_path, encode):
+    text = "The quick brown fox, 12 times. " * 20000
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "short"), (None, None)], "doc_id long, text string"), tokenizer_path, END).collect()
+    ids = [*encode(text), END]
+    mine = sorted((r for r in rows if r["doc_id"] == 1), key=lambda r: r["piece"])
+    assert [(r["start"], r["length"]) for r in mine] == [(s, min(4096, len(ids) - s)) for s in range(0, len(ids), 4096)]
+    assert all(r["ids_crc32"] == crc(ids[r["start"] : r["start"] + r["length"]]) for r in mine)
+    check_packing(rows, 4096)

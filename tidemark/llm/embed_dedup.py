@@ -1,13 +1,15 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products, one representative a group.
 
-Equal vectors form a class and are compared once. Centroids are fitted on a bounded sample (``SAMPLE``
-classes in hash order); every class is then assigned to its nearest cell, its home. A pair that the
+Equal vectors form a class and are compared once. Vectors of different lengths have no cosine, so each length has
+cells of its own. Centroids are fitted on a bounded sample (``SAMPLE`` classes of a length in hash order, eight
+for each cell at least); every class is then assigned to its nearest cell, its home. A pair that the
 border of two cells separates is met as well: with t the similarity, a vector also visits each
 later cell that can hold a vector at t or more. Two exact bounds say which cannot: a vector farther than
 sqrt(1 - t^2) from the border with its home has no such partner beyond it, and neither has one whose
 angle to the other centroid exceeds acos(t) plus the largest angle of that cell's own vectors. Nothing is
-lost, whatever the vectors; how many visits remain depends on them. For directions without structure
-almost every cell is visited, and the comparisons grow with the square of the vectors.
+lost, whatever the vectors (``tests/llm/test_models.py`` compares with brute force); how many visits remain
+depends on them. For directions without structure almost every cell is visited, and the comparisons grow with the
+square of the vectors.
 
 Cells are dealt out by pairs of blocks of members, so a cell that a third of all vectors share is many
 tasks. A task returns link counts and a spanning forest of the links, never the pairs.
@@ -16,6 +18,7 @@ tasks. A task returns link counts and a spanning forest of the links, never the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from .components import connected_components, linked_groups
 from .workspace import Workspace
 
-SAMPLE, CELL, MAX_CELLS, ROUNDS, ROOM = 20_000, 1024, 1024, 12, 1e-6
-_LEFT, _RIGHT, _STEP = 1024, 8192, 512
+SAMPLE, CELL, ROUNDS, ROOM = 20_000, 4096, 12, 1e-6
+_LEFT, _RIGHT, _STEP, _DRAWN = 4096, 8192, 512, 8
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -54,57 +57,98 @@ def spherical_kmeans(vectors: np.ndarray, cells: int, seed: int = 0) -> np.ndarr
     return centroids
 
 
+class Cells(NamedTuple):
+    """The cells of vectors of one length: the number of the first, and unit centroids (none if there is one cell)."""
+
+    first: int
+    centroids: np.ndarray | None
+
+    def home(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines with the centroids, and the nearest cell."""
+        near = unit(vectors) @ self.centroids.T if self.centroids is not None else np.ones((len(vectors), 1))
+        return near, near.argmax(axis=1)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows with an id and a finite, non-zero vector of the commonest length."""
+    """Rows with an id and a finite, non-zero vector."""
     good = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
-    good = good.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0))
-    length = good.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
-    return good.where(F.size("embedding") == (length["n"] if length else 0))
+    return good.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0))
+
+
+def fit_cells(classes: DataFrame, sample: int, cell: int) -> dict[int, Cells]:
+    """Cells for each length of vector, with about ``cell`` classes each as far as the sample allows."""
+    first, fitted = 0, {}
+    for size, n in sorted(map(tuple, classes.groupBy(F.size("embedding").alias("size")).count().collect())):
+        cells, centroids = -(-n // cell), None
+        if cells > 1:
+            drawn = classes.where(F.size("embedding") == size)
+            if n > 4 * sample:  # about twice the sample goes on to the sort
+                drawn = drawn.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30)) < (2 * sample << 30) // n)
+            drawn = drawn.orderBy(F.xxhash64("rep")).limit(sample).select("embedding").toPandas()["embedding"]
+            cells = min(cells, max(1, len(drawn) // _DRAWN))
+            centroids = spherical_kmeans(unit(np.stack(drawn.to_numpy())), cells) if cells > 1 else None
+        fitted[size] = Cells(first, centroids)
+        first += cells
+    return fitted
+
+
+def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, pa.RecordBatch]]:
+    """Rows of one vector length at a time: the length, the vectors (column ``embedding``) as a matrix, and the rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _STEP):
+            step = batch.slice(at, _STEP)
+            sizes = step.column("embedding").value_lengths().to_numpy()
+            for size in np.unique(sizes):
+                rows = step.take(pa.array(np.flatnonzero(sizes == size)))
+                yield int(size), rows.column("embedding").flatten().to_numpy().reshape(rows.num_rows, size), rows
+
+
+def radii(classes: DataFrame, fitted: dict[int, Cells]) -> dict[int, float]:
+    """The largest angle between a cell's centroid and a class that is at home there; empty cells are left out."""
+    shared = classes.sparkSession.sparkContext.broadcast(fitted)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, float] = {}
+        for size, vectors, _ in by_length(batches):
+            cells = shared.value[size]
+            if cells.centroids is not None:
+                near, home = cells.home(vectors)
+                for cell in np.unique(home):
+                    number = cells.first + int(cell)
+                    least[number] = min(least.get(number, 1.0), float(near[home == cell, cell].min()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int32()), pa.array(list(least.values()), pa.float64())], ["cell", "least"])
 
-def radii(classes: DataFrame, centroids: np.ndarray) -> np.ndarray:
-    """The largest angle between a cell's centroid and a class that is at home there; negative for an empty cell."""
-    shared = classes.sparkSession.sparkContext.broadcast(centroids)
+    found = classes.select("embedding").mapInArrow(run, "cell int, least double").groupBy("cell").agg(F.min("least").alias("least")).collect()
+    return {r["cell"]: float(np.arccos(np.clip(r["least"], -1, 1))) for r in found}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = np.full(len(shared.value), np.inf)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _STEP):
-                step = batch.slice(at, _STEP)
-                near = unit(step.column(0).flatten().to_numpy().reshape(step.num_rows, -1)) @ shared.value.T
-                np.minimum.at(least, near.argmax(axis=1), near.max(axis=1))
-        cell = np.flatnonzero(np.isfinite(least))
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(least[cell])], ["cell", "least"])
-
-    radius = np.full(len(centroids), -np.inf)
-    for r in classes.select("embedding").mapInArrow(run, "cell int, least double").groupBy("cell").agg(F.min("least").alias("least")).collect():
-        radius[r["cell"]] = np.arccos(np.clip(r["least"], -1, 1))
-    return radius
-
-
-def assign(classes: DataFrame, centroids: np.ndarray, similarity: float) -> DataFrame:
+
+def assign(classes: DataFrame, fitted: dict[int, Cells], similarity: float) -> DataFrame:
     """Each class (rep, n, embedding) in its home cell and, as a visitor, in later cells where a partner can be."""
-    spread = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
     side = np.sqrt(1 - similarity**2) + ROOM
-    radius = radii(classes, centroids)
-    reach = np.cos(np.clip(np.arccos(similarity) + radius + ROOM, 0, np.pi)) - ROOM
-    reach[~np.isfinite(radius)] = np.inf  # an empty cell
-    shared = classes.sparkSession.sparkContext.broadcast((centroids, spread, reach))
+    radius = radii(classes, fitted) if any(c.centroids is not None for c in fitted.values()) else {}
+    reaches = {}
+    for size, cells in fitted.items():
+        if cells.centroids is not None:
+            angle = np.array([radius.get(cells.first + k, -np.inf) for k in range(len(cells.centroids))])
+            reach = np.cos(np.clip(np.arccos(similarity) + angle + ROOM, 0, np.pi)) - ROOM
+            reaches[size] = np.where(np.isfinite(angle), reach, np.inf)  # an empty cell is out of reach
+    shared = classes.sparkSession.sparkContext.broadcast((fitted, reaches))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, spread, reach = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, _STEP):
-                step = batch.slice(at, _STEP)
-                vectors = step.column(2).flatten().to_numpy().reshape(step.num_rows, -1)
-                near = unit(vectors) @ centroids.T
-                home = near.argmax(axis=1)
-                gap = near[np.arange(len(home)), home][:, None] - near
-                visits = (gap <= side * spread[home]) & (near >= reach) & (np.arange(len(centroids)) > home[:, None])
-                visits[np.arange(len(home)), home] = True
-                row, cell = np.nonzero(visits)
-                taken = step.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), *taken.columns], ["cell", "home", "rep", "n", "embedding"])
+        fitted, reaches = shared.value
+        for size, vectors, rows in by_length(batches):
+            cells = fitted[size]
+            near, home = cells.home(vectors)
+            every = np.arange(len(home))
+            visits = np.zeros(near.shape, bool)
+            if cells.centroids is not None:
+                gap = near[every, home][:, None] - near
+                spread = np.sqrt(np.maximum(2 - 2 * cells.centroids[home] @ cells.centroids.T, 0)) + ROOM  # distance of centroids
+                visits = (gap <= side * spread) & (near >= reaches[size]) & (np.arange(near.shape[1]) > home[:, None])
+            visits[every, home] = True
+            row, cell = np.nonzero(visits)
+            taken = rows.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array((cells.first + cell).astype(np.int32)), pa.array(home[row] == cell), *taken.columns], ["cell", "home", "rep", "n", "embedding"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
     return classes.select("rep", "n", "embedding").mapInArrow(run, f"cell int, home boolean, rep long, n long, embedding {kind}")
@@ -160,29 +204,28 @@ def compare_blocks(placed: DataFrame, similarity: float) -> DataFrame:
     return dealt.groupBy("cell", "one", "two").applyInPandas(compare, "rep long, other long, links long")
 
 
-def near_vectors(vectors: DataFrame, similarity: float = 0.9) -> DataFrame:
+def near_vectors(vectors: DataFrame, similarity: float = 0.9, sample: int = SAMPLE, cell: int | None = None) -> DataFrame:
     """Links and groups of ``vectors`` (vec_id, embedding) with a cosine of ``similarity`` or more.
 
     Returns a row per row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id
-    reachable), kept (vec_id = component_id). Vectors that are null, empty, zero, of another length than most, or hold
-    null or non-finite components link with nothing; rows without a vec_id too, which have no component and
-    are kept. Rows that repeat are linked; rows with the same vec_id are one node.
+    reachable), kept (vec_id = component_id). Vectors that are null, empty, zero or hold null or non-finite components
+    link with nothing; vectors of different lengths do not link. Rows without a vec_id link with nothing, have no
+    component and are kept. Rows that repeat are linked; rows with the same vec_id are one node. An empty table gives no rows.
+
+    sample: classes of a length that the centroids are fitted on; a larger corpus wants a larger one, since there are
+    no more cells than an eighth of it. cell: classes to a cell.
     """
-    spark, ws = vectors.sparkSession, Workspace(vectors.sparkSession, "vectors")
+    ws = Workspace(vectors.sparkSession, "vectors")
     vectors = vectors.select(F.col("vec_id").cast("long"), "embedding")
     classes = ws.save(usable(vectors).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    sample = classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").toPandas()["embedding"]
-    if not len(sample):
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = unit(np.stack(sample.to_numpy()))
-    cells = int(np.clip(classes.count() / CELL, 1, min(MAX_CELLS, len(sample))))
-    placed = ws.save(assign(classes, spherical_kmeans(sample, cells), similarity))
+    placed = ws.save(assign(classes, fit_cells(classes, sample, cell or CELL), similarity))
     found = ws.save(compare_blocks(placed, similarity))
     groups = connected_components(found.where("other IS NOT NULL").select(F.col("rep").alias("src"), F.col("other").alias("dst")), ws)
     links = found.where("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     named = classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     named = ws.save(named.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
-    keyed = vectors.withColumn("key", F.when(F.col("vec_id").isNotNull(), F.col("embedding")))
-    rows = keyed.join(named.withColumnRenamed("embedding", "key"), "key", "left")
-    rows = rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    can_link = "vec_id IS NOT NULL AND embedding IS NOT NULL"
+    linked = vectors.where(can_link).join(named, "embedding", "left").select("vec_id", "n_links", "component_id")
+    alone = vectors.where(f"NOT ({can_link})").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rows = linked.union(alone).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -114,6 +114,33 @@ def test_many_sources_keep_their_weights():
     assert list(M.earliest_deadline_first([])) == []
 
 
+def brute_edf(weights, blocks):
+    """Slot by slot: the released block with the earliest deadline."""
+    q, done, slot, out = sum(weights), [0] * len(weights), 0, []
+    while any(d < b for d, b in zip(done, blocks, strict=True)):
+        released = [(-(-(d + 1) * q // w), k) for k, (w, d, b) in enumerate(zip(weights, done, blocks, strict=True)) if d < b and d * q // w <= slot]
+        if released:
+            _, k = min(released)
+            out.append((k, done[k], slot))
+            done[k] += 1
+        slot += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_every_slot_equals_a_simulation(seed):
+    rng = np.random.default_rng(seed)
+    weights, blocks = [int(x) for x in rng.integers(1, 50, 7)], [int(x) for x in rng.integers(0, 40, 7)]
+    assert [(k, j, t) for k, j, _, _, t in M.earliest_deadline_first(list(zip(weights, blocks, strict=True)))] == brute_edf(weights, blocks)
+
+
+def test_blocks_grow_until_the_schedule_is_bounded(spark):
+    docs = sources(spark, {"a": 300, "b": 200, "c": 150})
+    placed = M.mix_sources(docs, {"a": 0.5, "b": 0.3, "c": 0.2}, block_chars=100, blocks=100).select("source", "mix_block", "mix_slot").distinct().collect()
+    assert 60 <= len(placed) <= 103
+    assert M.mix_sources(docs, block_chars=100, blocks=1).select("source", "mix_block").distinct().count() == 3
+
+
 def test_sources_without_weight_follow(spark):
     docs = sources(spark, {"a": 20, "b": 10, "c": 5, "d": 5})
     slots = {s: sorted(r["mix_slot"] for r in M.mix_sources(docs, {"a": 2.0, "b": 1.0}, block_chars=100).where(F.col("source") == s).collect()) for s in "abcd"}

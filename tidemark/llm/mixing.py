@@ -7,7 +7,9 @@ and no source is ever a whole block ahead of or behind its weight, however long
 the weights themselves in units of 2^-52 of their sum, and windows are exact integers.
 
 The driver schedules the blocks of the whole run with two heaps, from one number of characters a source:
-a source and a block cost it a heap entry each, in time by the logarithm of the number of sources.
+a source and a block cost it a heap entry each, in time by the logarithm of the number of sources. Blocks are
+``block_chars`` long, doubled until all sources together have at most ``BLOCKS`` of them, so the schedule is
+bounded whatever the corpus; the guarantee is one block of that length.
 
 Sources that end early leave their slots empty, and the others go on in their proportions:
 nothing is dropped or repeated. Sources of weight zero follow when the others have ended, in equal shares.
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-BLOCK_CHARS, CYCLE, POWER, SALTS, UNIT = 1 << 16, 1000, 0.5, 256, 1 << 52
+BLOCK_CHARS, BLOCKS, CYCLE, POWER, UNIT = 1 << 16, 1 << 20, 1000, 0.5, 1 << 52
+#: Rows of a source that are sorted together, about, and the least number of such groups.
+GROUP_ROWS, SALTS = 20_000, 256
 
 
 def source_key(source: Column | str = "source") -> Column:
@@ -32,9 +36,10 @@ def source_key(source: Column | str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def _salt() -> Column:
-    """Spreads a source's documents, by a congruential step on the id."""
-    return F.expr(f"coalesce(pmod(pmod(doc_id, 2147483647) * 48271, 2147483647) % {SALTS}, 0)")
+def _salt(rows: int) -> Column:
+    """Spreads a source's documents, by a congruential step on the id; those without one by their text."""
+    salts = max(SALTS, -(-rows // GROUP_ROWS))
+    return F.expr(f"pmod(pmod(coalesce(doc_id, xxhash64(text)), 2147483647) * 48271, 2147483647) % {salts}")
 
 
 def shares(totals: DataFrame, weights: Mapping[str, float] | None, cycle: int, power: float) -> DataFrame:
@@ -73,6 +78,16 @@ def earliest_deadline_first(sources: list[tuple[int, int]], start: int = 0) -> I
             heappush(waiting, ((j + 1) * q // sources[k][0], k, j + 1))
 
 
+def block_length(shared: DataFrame, block_chars: int, blocks: int) -> int:
+    """``block_chars``, doubled until sources (key, chars) have at most ``blocks`` blocks, or one each."""
+    while True:
+        n, longest = shared.agg(F.sum(F.expr(f"chars div {block_chars}")), F.max("chars")).first()
+        if not longest or n <= blocks or block_chars > longest:
+            return block_chars
+        while n > blocks:  # the count falls by half or more
+            block_chars, n = block_chars * 2, n // 2
+
+
 def schedule_blocks(shared: DataFrame, block_chars: int, ws: Workspace) -> DataFrame:
     """The place of every block in the run: key, block, release, deadline, slot. A source has one block at least."""
     rows = shared.selectExpr("key", "n", f"chars div {block_chars} + 1 AS blocks").orderBy("key").collect()
@@ -84,44 +99,51 @@ def schedule_blocks(shared: DataFrame, block_chars: int, ws: Workspace) -> DataF
     return ws.save(shared.sparkSession.createDataFrame(placed, "key string, block long, release long, deadline long, slot long"))
 
 
-PLACE = ("chars", "block", "release", "deadline", "slot", "start")
+PLACE = ("chars", "start", "block", "release", "deadline", "slot")
+
+
+def placed_rows(docs: DataFrame, weights: Mapping[str, float] | None, block_chars: int, cycle: int, power: float, blocks: int) -> DataFrame:
+    """Two structs a row of ``docs``: ``row``, as it is, and ``mix``, its place. No name of a column can clash."""
+    ws = Workspace(docs.sparkSession, "mixing")
+    chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), source_key().alias("key"), _salt(docs.count()).alias("salt"), "doc_id", chars.alias("chars"))
+    parts = ws.save(rows.groupBy("key", "salt").agg(F.sum("chars").alias("chars")))
+    totals = parts.groupBy("key").agg(F.sum("chars").alias("chars"))
+    block_chars = block_length(totals, block_chars, blocks)
+    schedule = schedule_blocks(shares(totals, weights, cycle, power), block_chars, ws)
+    earlier = Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ws.save(parts.select("key", "salt", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("base")))
+
+    inside = Window.partitionBy("key", "salt").orderBy("doc_id", "chars").rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumn("within", F.coalesce(F.sum("chars").over(inside), F.lit(0)))
+    started = within.join(bases, ["key", "salt"]).withColumn("start", F.col("base") + F.col("within"))
+    started = started.withColumn("block", F.expr(f"start div {block_chars}"))
+    placed = started.join(F.broadcast(schedule), ["key", "block"])  # at most BLOCKS rows besides one a source
+    return placed.select("row", F.struct(*PLACE).alias("mix"))
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, cycle: int = CYCLE, power: float = POWER) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, cycle: int = CYCLE, power: float = POWER, blocks: int = BLOCKS) -> DataFrame:
     """``docs`` (doc_id, source, text, any others) with its place in the mixture.
 
-    Adds mix_chars, mix_block (of its source, where the document starts), mix_release, mix_deadline and
-    mix_slot of that block, and mix_start (characters of the source before it); columns of these names
+    Adds mix_chars, mix_start (characters of the source before the document), mix_block (of its source, where it
+    starts), mix_release, mix_deadline and mix_slot of that block; columns of these names
     are replaced. Order the mixture by mix_slot, then mix_start. Null texts have no characters; ties and
     repeated rows are placed one after another; rows with a null source are one source; an
     empty table gives no rows.
     """
-    ws = Workspace(docs.sparkSession, "mixing")
-    docs = docs.drop(*(f"mix_{c}" for c in (*PLACE, "key", "salt")))
-    docs = docs.withColumns({"mix_chars": F.length(F.coalesce("text", F.lit(""))).cast("long"), "mix_key": source_key(), "mix_salt": _salt()})
-    parts = ws.save(docs.groupBy(F.col("mix_key").alias("key"), F.col("mix_salt").alias("salt")).agg(F.sum("mix_chars").alias("chars")))
-    earlier = Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    schedule = schedule_blocks(shares(parts.groupBy("key").agg(F.sum("chars").alias("chars")), weights, cycle, power), block_chars, ws)
-    bases = parts.select("key", "salt", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("mix_base"))
-    bases = ws.save(bases).withColumnsRenamed({"key": "mix_key", "salt": "mix_salt"})
-    slots = schedule.withColumnsRenamed({"key": "mix_key", "block": "mix_block", **{c: f"mix_{c}" for c in ("release", "deadline", "slot")}})
-
-    inside = Window.partitionBy("mix_key", "mix_salt").orderBy("doc_id", "mix_chars").rowsBetween(Window.unboundedPreceding, -1)
-    placed = docs.withColumn("mix_start", F.coalesce(F.sum("mix_chars").over(inside), F.lit(0)))
-    placed = placed.join(bases, ["mix_key", "mix_salt"]).withColumn("mix_start", F.col("mix_base") + F.col("mix_start"))
-    placed = placed.withColumn("mix_block", F.expr(f"mix_start div {block_chars}"))
-    placed = placed.join(F.broadcast(slots), ["mix_key", "mix_block"])  # a row per block, about 70 bytes for 64 KiB of text
-    added = [f"mix_{c}" for c in ("chars", "start", "block", "release", "deadline", "slot")]
-    return placed.select(*(c for c in docs.columns if c not in ("mix_key", "mix_salt", "mix_chars")), *added)
+    placed = placed_rows(docs, weights, block_chars, cycle, power, blocks)
+    names = [f"mix_{c}" for c in PLACE]
+    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in names), *(F.col("mix")[c].alias(n) for c, n in zip(PLACE, names, strict=True)))
 
 
 def mixture_plan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, chars, block, release, deadline, slot, start."""
     placed = mix_sources(docs.select("doc_id", "source", "text"))
-    return placed.select("doc_id", "source", *(F.col(f"mix_{c}").alias(c) for c in PLACE))
+    return placed.select("doc_id", "source", *(F.col(f"mix_{c}").alias(c) for c in ("chars", "block", "release", "deadline", "slot", "start")))
 
 
 def in_mixture_order(docs: DataFrame) -> DataFrame:
-    """``docs`` in the order of the mixture: ranges of slots, one after another across the files written."""
-    order = ["mix_slot", "mix_start"]
-    return mix_sources(docs).repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    """``docs`` in the order of the mixture: ranges of slots, one after another across the files written. Columns stay as they are."""
+    order = ["mix.slot", "mix.start"]
+    placed = placed_rows(docs, None, BLOCK_CHARS, CYCLE, POWER, BLOCKS)
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")

@@ -57,16 +57,24 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeated_words(words: Column) -> Column:
-    """Words inside windows of three that the text has twice or more."""
+    """Words inside windows of three that the text has twice or more.
+
+    Windows are sorted by a hash; neighbours are twins if their hashes and then their words are equal.
+    """
     last = F.size(words) - WINDOW
 
     def window(i: Column) -> Column:
-        return F.struct(F.concat_ws(" ", *(F.get(words, i + k) for k in range(WINDOW))).alias("w"), i.alias("i"))
+        return F.struct(F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))).alias("h"), i.alias("i"))
 
     def again(found: Column) -> Column:
-        def twin(e: Column, i: Column) -> Column:
-            same = [F.get(found, i + k)["w"] == e["w"] for k in (-1, 1)]
-            return F.coalesce(same[0], F.lit(False)) | F.coalesce(same[1], F.lit(False))
+        def twin(e: Column, at: Column) -> Column:
+            def same(other: Column) -> Column:
+                equal = other["h"] == e["h"]
+                for k in range(WINDOW):
+                    equal &= F.get(words, other["i"] + k) == F.get(words, e["i"] + k)
+                return F.coalesce(equal, F.lit(False))
+
+            return same(F.get(found, at - 1)) | same(F.get(found, at + 1))
 
         return F.sort_array(F.transform(F.filter(found, twin), lambda e: e["i"]))
 
@@ -89,25 +97,25 @@ def _row(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _with_ledger(docs: DataFrame) -> DataFrame:
-    """``docs`` with the struct column ``_ledger`` (helper columns begin with an underscore)."""
-    text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split("_text", "\n"), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
-    split = _row(docs.withColumn("_text", text), "_split", F.struct(F.filter(F.split("_text", BLANK), lambda w: w != "").alias("words"), lines.alias("lines")))
-    words, lines = F.col("_split.words"), F.col("_split.lines")
+    """Two structs a row of ``docs``: ``row``, as it is, and ``ledger``. No name of a column can clash."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0)
+    split = _row(rows, "split", F.struct(F.filter(F.split("text", BLANK), lambda w: w != "").alias("words"), lines.alias("lines")))
+    words, lines = F.col("split.words"), F.col("split.lines")
     measures = {
         "n_words": F.size(words),
-        "word_chars": F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")),
-        "n_symbols": _without(F.col("_text"), SYMBOLS),
+        "word_chars": F.length(F.translate("text", " \t\n\x0b\x0c\r", "")),
+        "n_symbols": _without(F.col("text"), SYMBOLS),
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": _repeated_words(words),
-        "n_upper": F.regexp_count("_text", F.lit(r"\p{Lu}")),
-        "n_exclamations": _without(F.col("_text"), "!"),
+        "n_upper": F.regexp_count("text", F.lit(r"\p{Lu}")),
+        "n_exclamations": _without(F.col("text"), "!"),
     }
-    measured = _row(split, "_m", F.struct(*(m.cast("long").alias(name) for name, m in measures.items())))
-    bits = [F.when(rule(F.col("_m")), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
-    ledger = F.struct(*(F.col(f"_m.{name}") for name in measures), sum(bits[1:], bits[0]).cast("long").alias("failures"))
-    return measured.withColumn("_ledger", ledger)
+    measured = _row(split, "m", F.struct(*(m.cast("long").alias(name) for name, m in measures.items())))
+    bits = [F.when(rule(F.col("m")), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())]
+    ledger = F.struct(*(F.col(f"m.{name}") for name in measures), sum(bits[1:], bits[0]).cast("long").alias("failures"))
+    return measured.select("row", ledger.alias("ledger"))
 
 
 def quality_ledger(docs: DataFrame) -> DataFrame:
@@ -116,13 +124,13 @@ def quality_ledger(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words, so they fail ``few_words``. Repeated rows and null
     doc_ids are measured like any other; other columns are not looked at.
     """
-    return _with_ledger(docs.select("doc_id", "text")).select("doc_id", "_ledger.*")
+    return _with_ledger(docs.select("doc_id", "text")).select("row.doc_id", "ledger.*")
 
 
 def passing(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and ``policy``, with their own columns."""
-    judged = _with_ledger(docs).where(~fails(Policy("base", BASE), "_ledger.failures") & ~fails(policy, "_ledger.failures"))
-    return judged.select(*docs.columns)
+    """The rows of ``docs`` that pass the base rules and ``policy``, with their own columns, whatever their names."""
+    passed = ~fails(Policy("base", BASE), "ledger.failures") & ~fails(policy, "ledger.failures")
+    return _with_ledger(docs).where(passed).select("row.*")
 
 
 def fails(policy: Policy, failures: str = "failures", without: str | None = None) -> Column:

@@ -71,6 +71,36 @@ def test_no_link_is_lost_where_vectors_have_few_dimensions(spark, monkeypatch):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == wanted
 
 
+@pytest.mark.parametrize("kind", ["isotropic", "few", "clustered"])
+def test_every_link_is_found_in_many_cells(spark, kind):
+    rng = np.random.default_rng(7)
+    if kind == "isotropic":
+        base = rng.normal(size=(500, 48))
+        noise = rng.normal(size=(300, 48))
+    elif kind == "few":  # eight dimensions of 48; near copies differ in the first alone
+        plane = rng.normal(size=(8, 48))
+        base, noise = rng.normal(size=(500, 8)) @ plane, rng.normal(size=(300, 1)) @ plane[:1]
+    else:
+        base = rng.normal(size=(25, 48))[rng.integers(0, 25, 500)] + 0.3 * rng.normal(size=(500, 48))
+        noise = rng.normal(size=(300, 48))
+    noise *= (rng.uniform(0, 0.5, 300) * np.linalg.norm(base[:300], axis=1) / np.linalg.norm(noise, axis=1))[:, None]
+    rows = dict(enumerate(np.vstack([base, base[:300] + noise]).astype(np.float32)))
+    wanted = brute_force(rows, 0.9)
+    assert sum(n for n, _ in wanted.values()) >= 400
+    got = embed_dedup.near_vectors(spark.createDataFrame([(k, v.tolist(), 1) for k, v in rows.items()], VECTORS), cell=25).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == wanted
+
+
+def test_each_length_of_vector_links_with_its_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.normal(size=3 + k % 3)], 1) for k in range(60)]
+    rows += [(100 + k, v, 1) for k, v, _ in rows[:7]]
+    got = {r["vec_id"]: r for r in embed_dedup.near_vectors(spark.createDataFrame(rows, VECTORS), cell=4).collect()}
+    for size in (3, 4, 5):
+        wanted = brute_force({k: np.array(v, np.float32) for k, v, _ in rows if len(v) == size}, 0.9)
+        assert {k: (got[k]["n_links"], got[k]["component_id"]) for k in wanted} == wanted
+
+
 def test_odd_vectors_link_with_nothing(spark):
     nan, inf = math.nan, math.inf
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (10, [1e-30, 1e-31])]
@@ -196,7 +226,59 @@ def test_stages_take_empty_tables(spark, sf_dir):
 
 def test_stages_keep_clashing_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({"kept": F.lit(1), "slot": F.lit(2), "component_id": F.lit(3), "failures": F.lit(4)})
+    helpers = ["_m", "_text", "_split", "_ledger", "m", "split", "row", "ledger", "quality_score", "judged", "mix", "mix_key", "mix_j", "mix_base", "mix_slot", "key", "salt", "_dedup_row", "file", "at"]
+    docs = docs.withColumns({name: F.lit(10 + k) for k, name in enumerate(helpers)})
+    changed = " OR ".join(f"{name} <> {10 + k}" for k, name in enumerate(helpers))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         got = stage(spark, docs, sf_dir)
         assert got.columns == docs.columns and got.where("kept <> 1 OR slot <> 2 OR component_id <> 3 OR failures <> 4").count() == 0
+        assert got.count() and got.where(changed).count() == 0
     assert minhash.near_duplicates(docs).count() == docs.count() and packing.best_fit({}, 8) == Counter()
+
+
+def test_words_tell_what_counts_cannot(spark):
+    rng = np.random.default_rng(4)
+    common, good, bad = ([f"{p}{k:03}" for k in range(300)] for p in "cgb")
+    rows = []
+    for k in range(600):
+        words = [*rng.choice(common, 60), *rng.choice(bad if k % 4 == 0 else good, 25)]
+        rows.append((k, " ".join(rng.permutation(words).tolist()), "en", "s", 500))
+    labels = [(k, int(k % 4 > 0)) for k in range(600) if k % 3]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {r["doc_id"]: r["kept"] for r in cotrain.quality_scores(docs, spark.createDataFrame(labels, LABELS)).collect()}
+    unseen = [k for k in range(0, 600, 3)]
+    assert sum(got[k] == (k % 4 > 0) for k in unseen) >= 0.98 * len(unseen)
+    model, _ = cotrain.train(docs, spark.createDataFrame(labels, LABELS))
+    assert model.report["n"] > 20 and model.report["auc"] > 0.98 and model.report["log_loss"] < 0.2
+
+
+def test_a_document_is_scored_as_if_it_had_not_been_counted():
+    rng = np.random.default_rng(0)
+    places = [np.unique(rng.integers(0, cotrain.BUCKETS, 50)) for _ in range(20)]
+    y = rng.integers(0, 2, 20)
+    words = cotrain.Words.of(places, y)
+    others = cotrain.Words.of(places[1:], y[1:])
+    assert words.score_without(places[0], y[0]) == pytest.approx(others.score(places[0]))
+    assert words.score(np.empty(0, int)) == 0.0 and len(cotrain.word_places(None)) == 0
+
+
+def test_sequences_follow_the_mixture(spark, sf_dir, tokenizer_path, monkeypatch, tmp_path):
+    monkeypatch.setattr(packing, "STRETCH", 8)
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join(["word"] * int(rng.integers(5, 60))), "en", "ab"[k % 2], 1) for k in range(1500)]
+    spark.createDataFrame(rows, DOCS).repartition(4).write.parquet(str(tmp_path / "in"))
+    corpus_pipeline.mixture(spark, spark.read.parquet(str(tmp_path / "in")), "").write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    order = {r["doc_id"]: k for k, r in enumerate(sorted(mixed.select("doc_id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n")).collect(), key=lambda r: (r["f"], r["n"])))}
+    pieces = packing.pack(mixed, tokenizer_path, 1, 64).collect()
+    assert sorted(order) == sorted(r["doc_id"] for r in pieces)
+    plan, stretches = packing.plan_packing(dict(Counter(r["length"] for r in pieces)), 64), 0
+    total, holding = sum(n for _, n in plan), Counter(v for config, _ in plan for v in set(config))
+    stretches = total // 8
+    assert stretches > 20
+    numbers = {s: k for k, s in enumerate(sorted({r["sequence_id"] for r in pieces}))}
+    by_length = {v: sorted(order[r["doc_id"]] for r in pieces if r["length"] == v) for v in holding}
+    for r in pieces:  # a piece's place among its length is its sequence's place in the run, but for a stretch and a piece a configuration
+        mine = by_length[r["length"]]
+        share = numbers[r["sequence_id"]] / total
+        assert abs(mine.index(order[r["doc_id"]]) - share * len(mine)) <= 2 * holding[r["length"]] + 3 * len(mine) / stretches + 1

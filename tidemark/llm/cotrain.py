@@ -1,12 +1,14 @@
 """Quality classifier by co-training a text view and a metadata view.
 
-The text view measures the content; the metadata view sees language, source and length as the
-table states them. Both are logistic models on a bounded sample of labelled documents. Over rounds, each
+The text view measures the content: surface counts, and a naive Bayes score of the words and word pairs, hashed, that
+labelled documents hold. The metadata view sees language, source and length as the table states them. Both are
+logistic models on a bounded sample of labelled documents. Over rounds, each
 labels all unlabelled documents that it is sure of, by calibrated probability, for the other to
 learn from; a view that carries no information is never sure and so teaches nothing. Tasks return sums of
 gradients and Hessians only, so no document that a view is sure of is left out. Pseudo-labels are weighed to keep
-the classes of the labels in proportion, and to weigh no more than the labels in all. The calibrated views
-are combined by a logistic model on held-out labels, which then scores every document.
+the classes of the labels in proportion, and to weigh no more than the labels in all. Labels are dealt into four folds:
+one fits the views, one calibrates them, one fits the logistic model that combines the calibrated views, and
+the last is held out and measured.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +32,79 @@ from .workspace import Workspace, bound_batches
 #: Bound of the labelled sample, in documents, taken in hash order. Unlabelled documents are all used.
 LABELLED = 8_000
 #: PASSES over the unlabelled documents a round at most; a step below ENOUGH ends the round.
-ROUNDS, PASSES, ENOUGH, SURE, HELD_OUT, LEAST_LABELS = 5, 8, 1e-3, 0.98, 0.25, 10
+ROUNDS, PASSES, ENOUGH, SURE, LEAST_LABELS = 5, 8, 1e-3, 0.98, 10
+#: Ends of the folds that fit, calibrate and combine; the rest is held out.
+FOLDS = (0.55, 0.75, 0.9)
 THRESHOLD = 0.5
-_SOURCES, _LANGS, _TEXT = 32, 16, 11
+#: Places of hashed words and pairs, and their smoothing.
+BUCKETS, SMOOTH = 1 << 13, 1.0
+_SOURCES, _LANGS, _TEXT, _KNOWN, _SHORT, _FAN = 32, 16, 12, 200_000, 64, 64
 _UPPER, _LOWER, _DIGITS, _SYMBOLS = (s.encode() for s in (string.ascii_uppercase, string.ascii_lowercase, string.digits, "#*$%&|<>"))
 
 
-def text_view(text: str | None) -> list[float]:
-    """Measurements of a whole text; of an empty one, all zero."""
+class _Codes(dict):
+    def __missing__(self, word: bytes) -> int:
+        code = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= _SHORT:
+            if len(self) > _KNOWN:
+                self.clear()
+            self[word] = code
+        return code
+
+
+_codes = _Codes()
+
+
+def word_places(text: str | None) -> np.ndarray:
+    """The places of the words of a whole text, lower-cased, and of its pairs of neighbours; each once."""
+    words = (text or "").lower().encode("utf-8", "replace").split()
+    codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+    pairs = codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]
+    seen = np.zeros(BUCKETS, bool)
+    seen[(codes >> np.uint64(40)).astype(np.int64) % BUCKETS] = True
+    seen[(pairs >> np.uint64(40)).astype(np.int64) % BUCKETS] = True
+    return np.flatnonzero(seen)
+
+
+@dataclass
+class Words:
+    """Naive Bayes on the places that documents of either class hold: counts by class, and documents' places in all."""
+
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, places: list[np.ndarray], labels: np.ndarray) -> Words:
+        counts = np.zeros((2, BUCKETS))
+        for p, y in zip(places, labels, strict=True):
+            counts[y, p] += 1
+        return cls(counts)
+
+    def __post_init__(self) -> None:
+        rates = np.log(self.counts + SMOOTH) - np.log(self.counts.sum(axis=1, keepdims=True) + SMOOTH * BUCKETS)
+        self.weights = rates[1] - rates[0]
+
+    def score(self, places: np.ndarray) -> float:
+        """Mean log ratio of a document's places."""
+        return float(self.weights[places].mean()) if len(places) else 0.0
+
+    def score_without(self, places: np.ndarray, label: int) -> float:
+        """The same of a document that was counted, as if it had not been."""
+        if not len(places):
+            return 0.0
+        counts = self.counts[:, places].copy()
+        totals = self.counts.sum(axis=1)
+        counts[label] -= 1
+        totals[label] -= len(places)
+        rates = np.log(counts + SMOOTH) - np.log(totals + SMOOTH * BUCKETS)[:, None]
+        return float((rates[1] - rates[0]).mean())
+
+
+def text_view(text: str | None, words_seen: Words | None = None) -> list[float]:
+    """Measurements of a whole text, the score of its words last (0 without ``words_seen``); of an empty one, all zero."""
     data = (text or "").encode("utf-8", "replace")
     words = data.split()
     if not words:
-        return [0.0] * 11
+        return [0.0] * _TEXT
     n, chars = len(words), sum(map(len, words))
     count = lambda some: len(data) - len(data.translate(None, some))
     upper, lower = count(_UPPER), count(_LOWER)
@@ -58,6 +122,7 @@ def text_view(text: str | None) -> list[float]:
         1 - len(set(zip(words, words[1:], words[2:], strict=False))) / threes if n > 2 else 0.0,
         1 - len(set(lines)) / len(lines),
         max(map(len, words)) > 100,
+        words_seen.score(word_places(text)) if words_seen else 0.0,
     ]
 
 
@@ -121,6 +186,8 @@ class CoTrained:
     text: View
     meta: View
     combination: Logistic
+    #: Of the held-out fold: documents, area under the curve and log loss; empty if there is none.
+    report: dict[str, float]
 
     def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p, q = self.text.predict(text), self.meta.predict(meta)
@@ -188,21 +255,34 @@ def co_train(views: list[np.ndarray], labels: np.ndarray, pools: list[np.ndarray
     """
     if min((labels == 0).sum(), (labels == 1).sum()) < LEAST_LABELS:
         return None
-    held = np.random.default_rng(seed).random(len(labels)) < HELD_OUT
-    if len(set(labels[held])) < 2 or len(set(labels[~held])) < 2:
-        held[:] = False
-    check = held if held.any() else ~held
+    drawn = np.random.default_rng(seed).random(len(labels))
+    fit, check, join, held = (np.digitize(drawn, FOLDS) == k for k in range(4))
+    if any(len(set(labels[fold])) < 2 for fold in (fit, check, join)):  # too few labels to deal out
+        fit = check = join = np.ones(len(labels), bool)
+        held = ~fit
     fold = pools if callable(pools) else lambda f: f(*pools)
-    models = [Logistic().fit(view[~held], labels[~held]) for view in views]
+    models = [Logistic().fit(view[fit], labels[fit]) for view in views]
     calibrated = lambda: [View(m, Logistic(1e-3).fit(logit(m.predict(v[check]))[:, None], labels[check])) for m, v in zip(models, views, strict=True)]
     trained = calibrated()
     for _ in range(ROUNDS):
-        if (learnt := learn(models, trained, [v[~held] for v in views], labels[~held], fold)) is None:
+        if (learnt := learn(models, trained, [v[fit] for v in views], labels[fit], fold)) is None:
             break
         models = learnt
         trained = calibrated()
-    both = np.column_stack([logit(t.predict(v[check])) for t, v in zip(trained, views, strict=True)])
-    return CoTrained(*trained, Logistic(1e-3).fit(both, labels[check]))
+    both = np.column_stack([logit(t.predict(v[join])) for t, v in zip(trained, views, strict=True)])
+    model = CoTrained(*trained, Logistic(1e-3).fit(both, labels[join]), {})
+    if held.any():
+        model.report = measured(model.scores(*(v[held] for v in views))[2], labels[held])
+    return model
+
+
+def measured(scores: np.ndarray, labels: np.ndarray) -> dict[str, float]:
+    """Number of documents, area under the ROC curve (ties count half; nan with one class) and log loss."""
+    p = np.clip(scores, 1e-6, 1 - 1e-6)
+    ones, zeros = np.sort(scores[labels == 1]), scores[labels == 0]
+    above = len(ones) - (np.searchsorted(ones, zeros, "left") + np.searchsorted(ones, zeros, "right")) / 2
+    auc = float(above.sum() / (len(ones) * len(zeros))) if len(ones) and len(zeros) else math.nan
+    return {"n": len(labels), "auc": auc, "log_loss": float(-np.mean(np.where(labels == 1, np.log(p), np.log(1 - p))))}
 
 
 def _views(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +296,7 @@ def _views(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(pool: DataFrame) -> Fold:
-    """Sums over a table of packed measurements: a row of sums a task comes back."""
+    """Sums over a table of packed measurements: a row of sums a task, and from many tasks ``_FAN`` rows, come back."""
 
     def fold(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,31 +305,47 @@ def _summed(pool: DataFrame) -> Fold:
                 total += f(*_views(batch.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-        rows = [np.frombuffer(r["sums"]) for r in pool.select("x").mapInArrow(run, "sums binary").collect()]
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = f(*_views([]))
+            for batch in batches:
+                for sums in batch.column(0).to_pylist():
+                    total += np.frombuffer(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        sums = pool.select("x").mapInArrow(run, "sums binary")
+        if sums.rdd.getNumPartitions() > 4 * _FAN:
+            sums = sums.repartition(_FAN).mapInArrow(add, "sums binary")
+        rows = [np.frombuffer(r["sums"]) for r in sums.collect()]
         return sum(rows) if rows else f(*_views([]))
 
     return fold
 
 
-def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
-    """A model from a sample of the documents that ``labels`` (doc_id, quality 0/1) names and all the others.
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[CoTrained, Words] | None:
+    """A model from a sample of at most ``labelled`` of the documents that ``labels`` (doc_id, quality 0/1) names and all the others.
 
     Labels other than 0 and 1 are ignored; a document with both is labelled 0. Rows without a doc_id are unlabelled.
     """
     ws = Workspace(docs.sparkSession, "cotrain")
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    measured = ws.save(docs.select("doc_id", _measure()("text", "lang", "source", F.col("n_chars").cast("long")).alias("x")))
-    found = known.join(measured.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = F.broadcast(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))
-    rows = measured.join(chosen, "doc_id").select("doc_id", "quality", "x").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    found = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = F.broadcast(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
+    columns = ("text", "lang", "source", F.col("n_chars").cast("long"))
+    sampled = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), *(F.first(c).alias(c) for c in ("text", "lang", "source", "n_chars")))
+    rows = sampled.select("doc_id", "quality", _measure()(*columns).alias("x"), _places()("text").alias("places")).toPandas().sort_values("doc_id")
     if not len(rows):
         return None
-    pool = ws.save(measured.join(known, "doc_id", "left_anti").select("x"))
-    return co_train(list(_views([bytes(x) for x in rows["x"]])), rows["quality"].to_numpy(int), _summed(pool))
+    y, places = rows["quality"].to_numpy(int), [np.frombuffer(p, "<u2").astype(np.int64) for p in rows["places"]]
+    words = Words.of(places, y)
+    views = [v.copy() for v in _views([bytes(x) for x in rows["x"]])]
+    views[0][:, -1] = [words.score_without(p, label) for p, label in zip(places, y, strict=True)]
+    if min((y == 0).sum(), (y == 1).sum()) < LEAST_LABELS:
+        return None
+    pool = ws.save(docs.join(known, "doc_id", "left_anti").select(_measure(words)(*columns).alias("x")))
+    return co_train(views, y, _summed(pool)), words
 
 
-def _measure():
+def _measure(words: Words | None = None):
     """Both views of a document as doubles: the text view, the places of the ones for language and source, the length."""
 
     @F.pandas_udf("binary")
@@ -257,39 +353,60 @@ def _measure():
         packed = []
         for t, row in zip(text, zip(_none(lang), _none(source), n_chars, strict=True), strict=True):
             meta = meta_view(*row)
-            packed.append(np.array([*text_view(t), meta.index(1.0), meta.index(1.0, _LANGS), *meta[-2:]], float).tobytes())
+            packed.append(np.array([*text_view(t, words), meta.index(1.0), meta.index(1.0, _LANGS), *meta[-2:]], float).tobytes())
         return pd.Series(packed, dtype=object)
 
     return measure
 
 
+def _places():
+    @F.pandas_udf("binary")
+    def places(text: pd.Series) -> pd.Series:
+        return pd.Series([word_places(t).astype("<u2").tobytes() for t in text], dtype=object)
+
+    return places
+
+
 def _none(values: pd.Series) -> list:
     return values.astype(object).where(values.notna(), None).tolist()
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source, n_chars) with a struct column ``quality_score``.
+SCORE = "struct<p_text: double, p_meta: double, score: double, kept: boolean>"
 
-    Its fields: p_text and p_meta, the calibrated views; score, their combination; kept (score >= THRESHOLD).
-    Without enough labels of both kinds the numbers are null and every document is kept. Null columns and
-    empty texts are measured as such. Rows are scored one by one, so repeats score alike.
-    """
-    kind = "struct<p_text: double, p_meta: double, score: double, kept: boolean>"
+
+def judged_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Two structs a row of ``docs``: ``row``, as it is, and ``judged``, its scores. No name of a column can clash."""
     bound_batches(docs.sparkSession)
-    model = train(docs, labels)
-    if model is None:
-        return docs.withColumn("quality_score", F.lit(None).cast(kind)).withColumn("quality_score", F.expr("named_struct('p_text', quality_score.p_text, 'p_meta', quality_score.p_meta, 'score', quality_score.score, 'kept', true)"))
+    if (trained := train(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels)) is None:
+        unknown = F.lit(None).cast("double")
+        return docs.select(F.struct("*").alias("row"), F.struct(unknown.alias("p_text"), unknown.alias("p_meta"), unknown.alias("score"), F.lit(True).alias("kept")).alias("judged"))
+    model, words = trained
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(SCORE)
     def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         if not len(text):
             return pd.DataFrame({"p_text": [], "p_meta": [], "score": [], "kept": []})
-        x = np.array([text_view(t) for t in text], float)
+        x = np.array([text_view(t, words) for t in text], float)
         y = np.array([meta_view(*row) for row in zip(_none(lang), _none(source), n_chars, strict=True)], float)
         p, q, both = model.scores(x, y)
         return pd.DataFrame({"p_text": p, "p_meta": q, "score": both, "kept": both >= THRESHOLD})
 
-    return docs.withColumn("quality_score", score("text", "lang", "source", F.col("n_chars").cast("long")))
+    return docs.select(F.struct("*").alias("row"), score("text", "lang", "source", F.col("n_chars").cast("long")).alias("judged"))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, lang, source, n_chars) with a struct column ``quality_score``, which replaces one of that name.
+
+    Its fields: p_text and p_meta, the calibrated views; score, their combination; kept (score >= THRESHOLD, so a tie is kept).
+    Without enough labels of both kinds the numbers are null and every document is kept. Null columns and
+    empty texts are measured as such. Rows are scored one by one, so repeats score alike.
+    """
+    return judged_rows(docs, labels).select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "quality_score"), F.col("judged").alias("quality_score"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``score_quality`` keeps, with their own columns, whatever their names."""
+    return judged_rows(docs, labels).where("judged.kept").select("row.*")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

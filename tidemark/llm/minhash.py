@@ -36,14 +36,16 @@ from .components import connected_components, linked_groups
 from .workspace import Workspace
 
 COORDINATES, MISS = 48, 1e-6
-_WORDS, _BLOCK, _STEP, _COLUMNS, _ROWS = 200_000, 1024, 4096, 8192, 256
+_WORDS, _SHORT, _BLOCK, _STEP, _COLUMNS, _ROWS = 200_000, 64, 1024, 4096, 8192, 256
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary"
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= _SHORT:
+            self[word] = value
         return value
 
 
@@ -237,7 +239,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction = Frac
     ws = Workspace(docs.sparkSession, "minhash")
     threshold, n, d = match_threshold(similarity), similarity.numerator, similarity.denominator
     sketches = ws.save(sketch(docs, words))
-    linkable = sketches.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    can_link = "set_key IS NOT NULL AND doc_id IS NOT NULL"
+    linkable = sketches.where(can_link)
     classes = ws.save(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
 
     lists = deal(prefix_postings(classes, ws, threshold), "list_id")
@@ -251,9 +254,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction = Frac
     component = ws.save(connected_components(links, ws))
 
     named = classes.select("set_key", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("linked"))
-    placed = sketches.join(named, "set_key", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "doc_id")).alias("component_id")
-    return placed.select("doc_id", "n_shingles", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = linkable.join(named, "set_key").select("doc_id", "n_shingles", F.col("linked").alias("component_id"))
+    alone = sketches.where(f"NOT ({can_link})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))  # never dealt by a null key
+    return placed.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def as_sets(column: pa.ListArray) -> list[np.ndarray]:

@@ -19,6 +19,7 @@ from .token_files import flat, write_token_files
 from .workspace import Workspace, open_fs
 
 BLOCK = 1 << 20
+_PER_TASK = 64
 FOUND = "part int, block long, n_ids long, ends array<int>"
 
 
@@ -26,7 +27,9 @@ def scan_blocks(files: DataFrame, separator: int, block: int = BLOCK) -> DataFra
     """Separators of each block of ``files`` (part, file, width, n_tokens): their places in the block."""
     counts = F.expr(f"sequence(0L, (n_tokens - 1) div {block})")
     blocks = files.where("n_tokens > 0").select("part", "file", "width", "n_tokens", F.explode(counts).alias("block"))
-    blocks = blocks.repartition(max(1, blocks.count()))
+    n = blocks.count()
+    busy = 3 * files.sparkSession.sparkContext.defaultParallelism
+    blocks = blocks.repartition(max(1, min(n, busy), -(-n // _PER_TASK)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +92,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, separator: int, block: int = B
     gives no rows. Ids come from the writer's list of documents, boundaries from the scan alone.
     """
     ws = Workspace(docs.sparkSession, "separators")
-    files = write_token_files(docs, ws, tokenizer, separator, special_as_text=True, ordered=False)
+    files = write_token_files(docs, ws, tokenizer, separator, special_as_text=True, ordered=False, index=False)
     counted = stitch(scan_blocks(files, separator, block), ws)
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

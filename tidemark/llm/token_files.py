@@ -31,11 +31,11 @@ MANIFEST = "part int, file string, width int, n_docs long, n_tokens long"
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def write_token_files(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int, special_as_text: bool = False, ordered: bool = True) -> DataFrame:
+def write_token_files(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int, special_as_text: bool = False, ordered: bool = True, index: bool = True) -> DataFrame:
     """Writes the ids of ``docs`` (doc_id, text); returns the manifest with bases.
 
     ordered: whether documents go by ascending doc_id, for which texts are shuffled; else each task
-    writes the rows it reads.
+    writes the rows it reads. index: whether offsets are written too; without them files are a plain stream of ids.
 
     Columns: part, file (URI without suffix), width (bytes of an id), n_docs, n_tokens, base
     (ids in earlier files). A null or empty text is a document of ``end_id`` alone; repeated
@@ -72,6 +72,8 @@ def write_token_files(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: in
     manifest = ws.save(rows.mapInArrow(write, MANIFEST))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     manifest = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    if not index:
+        return ws.save(manifest)
 
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

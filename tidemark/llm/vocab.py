@@ -14,7 +14,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 _TAIL = ".,;:!?"
-_CHUNKS, _CORES = 120_000, 200_000
+_CHUNKS, _CORES, _SHORT = 120_000, 200_000, 64
 
 
 def _byte_level() -> dict[int, str]:
@@ -37,7 +37,9 @@ class _Cores(dict):
             ids = [t.id for t in self._model.tokenize(text if text.isascii() else text.translate(self._spelling))]
         else:
             ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        self[text] = coded = array(self._code, ids).tobytes()
+        coded = array(self._code, ids).tobytes()
+        if len(text) <= _SHORT:
+            self[text] = coded
         return coded
 
 
@@ -55,7 +57,8 @@ class _Chunks(dict):
             coded = self._cores[core] + self._cores[chunk[len(core) :]]
         else:
             coded = self._cores[chunk] if chunk else b""
-        self[chunk] = coded
+        if len(chunk) <= _SHORT:
+            self[chunk] = coded
         return coded
 
 
@@ -63,7 +66,7 @@ class WordEncoder:
     """Encodes texts to little-endian unsigned ids of the narrowest width that holds the vocabulary.
 
     special_as_text: whether the strings of special tokens in a text are ordinary text.
-    The caches are emptied when full, so memory stays bounded whatever the vocabulary.
+    The caches hold short strings only and are emptied when full, so memory stays bounded whatever the texts.
     """
 
     def __init__(self, path: str, special_as_text: bool = False):

@@ -10,19 +10,25 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import urlparse
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 1000
+_WITHIN: ContextVar[str | None] = ContextVar("within", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """URI of the cluster's shared folder; a temporary one only where none is configured and all runs in one process (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; {sc.master} needs one")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         named = sc.getCheckpointDir()
     path = sc._jvm.org.apache.hadoop.fs.Path(named)
@@ -42,7 +48,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.uri = f"{shared_root(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+        self.uri = f"{_WITHIN.get() or shared_root(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
         self._tables = 0
         bound_batches(spark)
 
@@ -62,11 +68,25 @@ class Workspace:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table made by ``save`` that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(folder)
+
+    def close(self) -> None:
+        """Deletes the folder, once nothing reads its tables and files any more."""
+        self._delete(self.uri)
+
+    @contextmanager
+    def around(self) -> Iterator[None]:
+        """Within it, the workspaces of operators are made inside this one, and so go when it is closed."""
+        token = _WITHIN.set(self.uri)
+        try:
+            yield
+        finally:
+            _WITHIN.reset(token)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

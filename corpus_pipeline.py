@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.cotrain import score_quality
+from tidemark.llm.cotrain import accepted
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import in_mixture_order
 from tidemark.llm.packing import pack
@@ -21,7 +21,7 @@ from tidemark.llm.quality_rules import passing
 from tidemark.llm.workspace import Workspace
 
 TOKENIZER, END_ID, SEQUENCE = "word_bpe_49k.json", 1, 4096
-SHINGLE_WORDS, SIMILARITY, ROW = 5, Fraction(4, 5), "_dedup_row"
+SHINGLE_WORDS, SIMILARITY, ROW = 5, Fraction(4, 5), "row_key"
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -29,7 +29,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return score_quality(docs, labels).where("quality_score.kept").select(*docs.columns)
+    return accepted(docs, labels)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +40,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates: the row with the smallest doc_id, one row even if ids repeat or are null."""
     ws = Workspace(spark, "dedup")
-    rows = ws.save(docs.withColumn(ROW, F.monotonically_increasing_id()))  # written, so that a row keeps its key
-    judged = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), SHINGLE_WORDS, SIMILARITY)
-    judged = ws.save(judged.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW))
+    keyed = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias(ROW))
+    rows = ws.save(keyed)  # written, so that a row keeps its key
+    judged = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "row.text"), SHINGLE_WORDS, SIMILARITY)
+    judged = ws.save(judged.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "row.doc_id"), ROW))
     first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias(ROW))
     dropped = ws.save(judged.select(ROW).join(first, ROW, "left_anti"))
-    return rows.join(dropped, ROW, "left_anti").select(*docs.columns)
+    return rows.join(dropped, ROW, "left_anti").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,9 +71,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents`` and returns the packed pieces."""
+    """Applies the stages to ``documents`` and returns the packed pieces.
+
+    What a stage leaves for itself in the shared folder is deleted when its result is written, and that when the next one's is.
+    """
     ws = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = ws.save(stage(spark, docs, sf_dir))
-    return ws.save(STAGES[-1][1](spark, docs, sf_dir))
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        scratch = Workspace(spark, name)
+        with scratch.around():
+            docs = ws.save(stage(spark, docs, sf_dir))
+        scratch.close()
+        if before is not None:
+            ws.drop(before)
+        before = docs
+    return docs

@@ -44,7 +44,7 @@ _UPPER, _LOWER, _DIGITS, _SYMBOLS = (s.encode() for s in (string.ascii_uppercase
 
 class _Codes(dict):
     def __missing__(self, word: bytes) -> int:
-        code = xxhash.xxh3_64_intdigest(word)
+        code = xxhash.xxh3_64_intdigest(word.lower())
         if len(word) <= _SHORT:
             if len(self) > _KNOWN:
                 self.clear()
@@ -55,17 +55,25 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def word_places(text: str | None) -> np.ndarray:
-    """The places of the words of a whole text, lower-cased, and of its pairs of neighbours; each once."""
-    words = (text or "").lower().encode("utf-8", "replace").split()
+def word_codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words, A-Z lower-cased, and of pairs of neighbours."""
     codes = np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
-    pairs = codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]
+    return codes, codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]
+
+
+def places_of(codes: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The places of words and pairs, each once."""
     seen = np.zeros(BUCKETS, bool)
-    seen[(codes >> np.uint64(40)).astype(np.int64) % BUCKETS] = True
-    seen[(pairs >> np.uint64(40)).astype(np.int64) % BUCKETS] = True
+    for some in (codes, pairs):
+        seen[(some >> np.uint64(40)).astype(np.int64) % BUCKETS] = True
     return np.flatnonzero(seen)
 
 
+def word_places(text: str | None) -> np.ndarray:
+    """The places of the words of a whole text and of its pairs of neighbours."""
+    return places_of(*word_codes((text or "").encode("utf-8", "replace").split()))
+
+
 @dataclass
 class Words:
     """Naive Bayes on the places that documents of either class hold: counts by class, and documents' places in all."""
@@ -109,7 +117,8 @@ def text_view(text: str | None, words_seen: Words | None = None) -> list[float]:
     count = lambda some: len(data) - len(data.translate(None, some))
     upper, lower = count(_UPPER), count(_LOWER)
     lines = [line for line in data.split(b"\n") if line.strip()]
-    threes = max(1, n - 2)
+    codes, pairs = word_codes(words)
+    threes = pairs[:-1] * np.uint64(0xD6E8FEB86659FD93) + codes[2:]
     return [
         math.log1p(n),
         chars / n,
@@ -118,11 +127,11 @@ def text_view(text: str | None, words_seen: Words | None = None) -> list[float]:
         min(5.0, count(_SYMBOLS) / n),
         min(5.0, data.count(b"!") / n),
         min(5.0, (data.count(b".") + data.count(b",")) / n),
-        len(set(words)) / n,
-        1 - len(set(zip(words, words[1:], words[2:], strict=False))) / threes if n > 2 else 0.0,
+        len(np.unique(codes)) / n,
+        1 - len(np.unique(threes)) / len(threes) if n > 2 else 0.0,
         1 - len(set(lines)) / len(lines),
         max(map(len, words)) > 100,
-        words_seen.score(word_places(text)) if words_seen else 0.0,
+        words_seen.score(places_of(codes, pairs)) if words_seen else 0.0,
     ]
 
 

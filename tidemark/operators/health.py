@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from statistics import median
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +16,6 @@ from tidemark.functions.numbers import DROP_MIN_MEDIAN, DROP_RATIO, backoff_minu
 HISTORY, STALE_AFTER = 5, 3
 PROBLEM_STATES = ("failing", "degraded", "stale")
 
-_MEDIAN = """transform(array(array_sort(a.recent)), s -> (
-    s[cast((size(s) - 1) div 2 as int)] + s[cast(size(s) div 2 as int)]) / 2.0D)[0]"""
-
-
 def run_counts(sightings: DataFrame) -> DataFrame:
     """Distinct listings and sightings of each run: source_id, run, listings, sightings."""
     return sightings.groupBy("source_id", "run").agg(F.count_distinct("listing").alias("listings"), F.count("*").alias("sightings"))
@@ -25,26 +26,53 @@ def assess_runs(runs: DataFrame) -> DataFrame:
 
     runs: source_id, run, n, expected_min, expected_max. A run is healthy if n is within the expected
     range and not below half the median of the last five healthy runs before it (tested from a
-    median of 4). A verdict depends on earlier verdicts, so a source's runs are folded in order; the
-    fold keeps five counts, and a source's runs are as many as its schedule made, not as its listings.
+    median of 4). A verdict depends on earlier verdicts, so tasks go through the runs of their sources in order, row by
+    row, and hold five counts, however long a history is.
     """
-    collected = runs.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("run", "n", "expected_min", "expected_max"))).alias("runs"))
-    verdict = f"""transform(array(named_struct(
-        'median', if(size(a.recent) = 0, null, {_MEDIAN}),
-        'low', coalesce(r.n < coalesce(r.expected_min, 0), false),
-        'high', coalesce(r.n > r.expected_max, false))), v -> named_struct('run', cast(r.run as bigint), 'n', cast(r.n as bigint), 'recent_median', v.median,
-        'low', v.low, 'high', v.high, 'dropped', coalesce(v.median >= {DROP_MIN_MEDIAN} and r.n < {DROP_RATIO}D * v.median, false)))[0]"""
-    fold = f"""aggregate(runs, named_struct('recent', cast(array() as array<bigint>),
-          'out', cast(array() as array<struct<run: bigint, n: bigint, recent_median: double, low: boolean, high: boolean, dropped: boolean>>)),
-        (a, r) -> transform(array({verdict}), v -> named_struct(
-            'recent', if(v.low or v.high or v.dropped, a.recent, slice(concat(array(cast(r.n as bigint)), a.recent), 1, {HISTORY})),
-            'out', concat(a.out, array(v))))[0],
-        a -> a.out)"""
-    folded = collected.select("source_id", F.explode(F.expr(fold)).alias("v")).select("source_id", "v.*")
+    kind = runs.schema["source_id"].dataType.simpleString()
+    flags = ("low", "high", "dropped")
+    ordered = runs.select("source_id", *(F.col(c).cast("long") for c in ("run", "n", "expected_min", "expected_max"))).repartition("source_id").sortWithinPartitions("source_id", "run")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, recent = None, deque(maxlen=HISTORY)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["source_id"] != source:
+                    source = r["source_id"]
+                    recent.clear()
+                middle, n = float(median(recent)) if recent else None, r["n"]
+                low = n is not None and n < (r["expected_min"] or 0)
+                high = None not in (n, r["expected_max"]) and n > r["expected_max"]
+                dropped = None not in (n, middle) and middle >= DROP_MIN_MEDIAN and n < DROP_RATIO * middle
+                out.append((middle, low, high, dropped))
+                if not (low or high or dropped) and n is not None:
+                    recent.append(n)
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.float64(), *[pa.bool_()] * 3), strict=True)] if out else []
+            if out:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["source_id", "run", "n", "recent_median", *flags])
+
+    folded = ordered.mapInArrow(judge, f"source_id {kind}, run long, n long, recent_median double, low boolean, high boolean, dropped boolean")
     problems = F.concat_ws("; ", F.when(F.col("low"), "below minimum"), F.when(F.col("high"), "above maximum"), F.when(F.col("dropped"), "sudden drop"))
     return folded.select("source_id", "run", "n", "recent_median", (~(F.col("low") | F.col("high") | F.col("dropped"))).alias("healthy"), F.nullif(problems, F.lit("")).alias("problems"))
 
 
+def run_summary(runs: DataFrame, snapshots: DataFrame, history: DataFrame) -> DataFrame:
+    """``runs`` with what became of each: snapshots_created, missed and gone, 0 where there is nothing.
+
+    snapshots: source_id, run (a row per snapshot). history: as ``lifecycle.listing_history`` gives it.
+    """
+    key = ["source_id", "run"]
+    made = snapshots.groupBy(*key).agg(F.count("*").alias("snapshots_created"))
+    moved = history.where("NOT seen").groupBy(*key).agg(F.count("*").alias("missed"), F.count_if(F.col("status") == "gone").alias("gone"))
+    return runs.join(made, key, "left").join(moved, key, "left").fillna(0, ["snapshots_created", "missed", "gone"])
+
+
+def source_runs(runs: DataFrame, source_id: object, limit: int) -> DataFrame:
+    """The newest runs of one source, newest first."""
+    return runs.where(F.col("source_id") == F.lit(source_id)).orderBy(F.desc("run")).limit(limit)
+
+
 def consecutive_failures(runs: DataFrame) -> DataFrame:
     """Failures of each source since its last completed run, which a judgement of unhealthy is too.
 

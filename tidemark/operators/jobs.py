@@ -24,11 +24,15 @@ def _identity(source_id: Column | str = "source_id", params: Column | str = "par
     return [F.col("kind"), F.col("source_id"), canonical_json(F.coalesce(params, F.lit("{}"))).alias("same_params")]
 
 
-def enqueue(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+def enqueue(requests: DataFrame, jobs: DataFrame, kinds: Sequence[str] = ()) -> DataFrame:
     """Requests (request_id, kind, source_id, params) with the id of the active job that they repeat, null to queue anew.
 
-    Jobs are the same if kind, source (null too) and the JSON value of params are; the oldest is reused.
+    Jobs are the same if kind, source (null too) and the JSON value of params are; the oldest is reused. With ``kinds``
+    a request of any other kind is an error.
     """
+    if kinds:
+        unknown = F.raise_error(F.concat(F.lit("unknown job kind: "), F.coalesce("kind", F.lit("?")))).cast("string")
+        requests = requests.withColumn("kind", F.when(F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), F.col("kind")).otherwise(unknown))
     active = jobs.where(F.col("status").isin(*ACTIVE)).groupBy(*_identity()).agg(F.min("id").alias("job_id"))
     asked = requests.withColumns({"same_params": _identity()[2]})
     same = asked["kind"].eqNullSafe(active["kind"]) & asked["source_id"].eqNullSafe(active["source_id"]) & asked["same_params"].eqNullSafe(active["same_params"])
@@ -42,6 +46,19 @@ def new_jobs(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*requests.columns)
 
 
+def queue_due(due: DataFrame, jobs: DataFrame, kind: str) -> DataFrame:
+    """Requests for the due sources (source_id) that no active job of the kind serves."""
+    requests = due.select(F.col("source_id").cast("string").alias("request_id"), F.lit(kind).alias("kind"), F.col("source_id").cast("string").alias("source_id"), F.lit("{}").alias("params"))
+    return new_jobs(requests, jobs).drop("request_id")
+
+
+def report(jobs: DataFrame, events: DataFrame, n: int, now: Column) -> DataFrame:
+    """``jobs`` with their progress and ``events``, an array of the last n messages (id, job_id, message), oldest first."""
+    last = last_events(events, n, "job_id", ["id"]).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("id", "message"))).alias("events"))
+    joined = progress(jobs, now).join(last.withColumnRenamed("job_id", "id"), "id", "left")
+    return joined.withColumn("events", F.coalesce(F.transform("events", lambda e: e["message"]), F.array().cast("array<string>")))
+
+
 def progress(jobs: DataFrame, now: Column) -> DataFrame:
     """``jobs`` with percent, elapsed_seconds and eta_seconds; open jobs run until ``now``."""
     elapsed = F.bround(seconds_between("started_at", F.coalesce("finished_at", now)), 1)

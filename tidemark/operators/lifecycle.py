@@ -34,6 +34,26 @@ def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     return rows.groupBy(*keys).agg(last.alias("_last")).select(*keys, "_last.*").select(*rows.columns)
 
 
+def _misses(sightings: DataFrame, runs: DataFrame, most: int) -> DataFrame:
+    """The misses after each sighted run of a listing, up to its next one and ``most`` at most, as rows of ``listing_history``.
+
+    Counting runs are numbered within their source, so a miss is the next number: rows are bounded by the sightings.
+    """
+    key = ["source_id", "listing"]
+    known = runs.select("source_id", "run", "counts").unionByName(sightings.select("source_id", "run", F.lit(False).alias("counts")).distinct())
+    known = known.groupBy("source_id", "run").agg(F.max(F.coalesce("counts", F.lit(False)).cast("int")).alias("counts"))
+    upto = Window.partitionBy("source_id").orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = known.withColumns({"number": F.sum("counts").over(upto), "of_source": F.sum("counts").over(Window.partitionBy("source_id"))})
+    sighted = sightings.select(*key, "run").distinct().join(numbered, ["source_id", "run"])
+    following = Window.partitionBy(*key).orderBy("run")
+    until = F.coalesce(F.lead(F.col("number") - F.col("counts")).over(following), "of_source")
+    gaps = sighted.withColumn("until", F.least(until, F.col("number") + most)).where("until > number")
+    missed = gaps.select(*key, F.posexplode(F.sequence(F.col("number") + 1, F.col("until"))).alias("nth", "number"))
+    counting = numbered.where("counts = 1").select("source_id", "number", "run")
+    rest = {"seq": F.lit(None).cast("long"), "seen": F.lit(False), "pending": F.lit(False), "misses": (F.col("nth") + 1).cast("long")}
+    return missed.join(counting, ["source_id", "number"]).withColumns(rest).select(*key, "run", *rest)
+
+
 def listing_history(sightings: DataFrame, runs: DataFrame, gone_after: int = GONE_AFTER) -> DataFrame:
     """Every sighting and every counted miss of each listing, in order, with the status after it.
 
@@ -46,19 +66,10 @@ def listing_history(sightings: DataFrame, runs: DataFrame, gone_after: int = GON
     (null at the first), first_of_listing.
     """
     threshold = max(gone_after, 1)
-    key = ["source_id", "listing"]
-    first = sightings.groupBy(*key).agg(F.min("run").alias("first_run"))
-    counting = runs.where("counts").select("source_id", "run")
-    expected = first.join(counting, "source_id").where("run > first_run").select(*key, "run")
-    missed = expected.join(sightings.select(*key, "run").distinct(), [*key, "run"], "left_anti")
-    events = sightings.select(*key, "run", "seq", F.lit(True).alias("seen"), F.coalesce("pending", F.lit(False)).alias("pending"))
-    events = events.unionByName(missed.select(*key, "run", F.lit(None).cast("long").alias("seq"), F.lit(False).alias("seen"), F.lit(False).alias("pending")))
-
-    order = ["run", "seq"]
+    key, order = ["source_id", "listing"], ["run", "seq"]
+    events = sightings.select(*key, "run", "seq", F.lit(True).alias("seen"), F.coalesce("pending", F.lit(False)).alias("pending"), F.lit(0).cast("long").alias("misses"))
+    events = events.unionByName(_misses(sightings, runs, threshold))
     upto = _before(key, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    events = events.withColumn("sight", F.sum(F.col("seen").cast("int")).over(upto))
-    within = Window.partitionBy(*key, "sight").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    events = events.withColumn("misses", F.sum((~F.col("seen")).cast("int")).over(within)).where(F.col("misses") <= threshold)
 
     ended = (F.col("misses") == threshold).cast("int")
     earlier = _before(key, order).rowsBetween(Window.unboundedPreceding, -1)

@@ -35,7 +35,7 @@ def derive(observations: DataFrame, runs: DataFrame, gone_after: int = lifecycle
     """Derives every view from append-only tables.
 
     observations: source_id, run, seq and a record. runs: source_id, run, status (ok or failed), complete_feed,
-    expected_min, expected_max. Sightings count whatever became of their run; misses count only after
+    expected_min, expected_max. The view of runs counts listings, snapshots created, misses and listings gone. Sightings count whatever became of their run; misses count only after
     a completed, healthy run of a complete feed.
     """
     observations = checked_url(observations)
@@ -47,4 +47,5 @@ def derive(observations: DataFrame, runs: DataFrame, gone_after: int = lifecycle
     sightings = observations.select("source_id", F.col("external_id").alias("listing"), "run", "seq", pending.alias("pending"))
     history = lifecycle.listing_history(sightings, judged.select("source_id", "run", (F.col("healthy") & F.col("complete_feed")).alias("counts")), gone_after)
     snapshots = lifecycle.snapshots_on_change(observations.withColumn("content_hash", record_hash()), ["source_id", "external_id"], ["run", "seq"], "content_hash")
+    judged = health.run_summary(judged, snapshots, history)
     return Views(snapshots, judged, lifecycle.current_listings(history), lifecycle.status_events(history))

@@ -11,6 +11,7 @@ from tidemark.functions import numbers as M
 from tidemark.functions import text as T
 from tidemark.plans.schemas import CONTENT
 from tidemark.sources.json_files import body_text, field
+from tidemark.sources.registry import register
 
 #: Flags of included utilities, fields of a contact, and fields that change while the listing does not.
 UTILITIES = {
@@ -87,6 +88,7 @@ def detail_photos(details: DataFrame, base: str) -> DataFrame:
     return details.select("listing", urls.alias("photos"))
 
 
+@register("json_api")
 def normalize(records: DataFrame, photos: DataFrame, base: str, platform: str) -> DataFrame:
     """API records (fetch_id, page, seq, record) with their photos (listing, photos) in the schema RECORD, with seq.
 

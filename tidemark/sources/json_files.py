@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import parse_date
 from tidemark.plans.schemas import CONTENT
+from tidemark.sources.registry import register
 
 _TEXT = ("external_id", "url", "title", "address_raw", "unit_raw", "avail_structured_raw", "description", "pets", "parking", "utilities", "contact_raw")
 
@@ -40,6 +41,7 @@ def unknown_fields(record: str, keep_extra: bool) -> Column:
     return F.to_json(F.map_filter(entries, lambda k, v: ~k.isin(*known)))
 
 
+@register("json_file")
 def file_records(fetches: DataFrame, keep_extra: bool = False) -> DataFrame:
     """Normalized records of files (fetch_id, body): the schema RECORD, with seq.
 

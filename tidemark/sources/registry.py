@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
 from collections.abc import Callable, Mapping
@@ -32,15 +33,15 @@ def reader(platform: str) -> Callable[..., DataFrame]:
 
 def source_table(spark: SparkSession, toml: str) -> DataFrame:
     """Definitions in TOML text as rows of sources; what is no column of its own goes to config as JSON."""
-    import json
-
-    rows = []
-    for source_id, given in tomllib.loads(toml).get("sources", {}).items():
-        rest = dict(given)
-        columns = [rest.pop(c, None) for c in SOURCE_COLUMNS]
-        enabled, reason = rest.pop("enabled", True), rest.pop("disabled_reason", None)
-        rows.append((source_id, *columns, enabled, None if enabled else reason, json.dumps(rest, sort_keys=True, default=str)))
-    return spark.createDataFrame(rows, SOURCE_TABLE)
+    definitions = tomllib.loads(toml).get("sources", {})
+    return spark.createDataFrame([_source_row(name, given) for name, given in definitions.items()], SOURCE_TABLE)
+
+
+def _source_row(source_id: str, given: Mapping[str, object]) -> tuple:
+    enabled = given.get("enabled", True)
+    own = {"source_id": source_id, **{c: given.get(c) for c in SOURCE_COLUMNS}, "enabled": enabled, "disabled_reason": None if enabled else given.get("disabled_reason")}
+    rest = {k: v for k, v in given.items() if k not in own}
+    return (*own.values(), json.dumps(rest, sort_keys=True, default=str))
 
 
 def load_config(path: str | None, defaults: Mapping[str, object], prefix: str, environment: Mapping[str, str] | None = None) -> dict[str, object]:

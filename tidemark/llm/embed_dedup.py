@@ -161,7 +161,8 @@ def compare_blocks(placed: DataFrame, similarity: float) -> DataFrame:
     cell is dealt into blocks, and a task compares one left block with one right block.
     """
     sizes = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / _LEFT).cast("int").alias("lefts"), F.ceil(F.count("*") / _RIGHT).cast("int").alias("rights"))
-    dealt = placed.join(sizes, "cell").withColumns({"one": F.pmod(F.xxhash64("rep"), "lefts").cast("int"), "two": F.pmod(F.xxhash64("rep", F.lit(1)), "rights").cast("int")})
+    # a row a cell, whose number the driver holds already; a shuffle by cell alone would keep all blocks of a cell together
+    dealt = placed.join(F.broadcast(sizes), "cell").withColumns({"one": F.pmod(F.xxhash64("rep"), "lefts").cast("int"), "two": F.pmod(F.xxhash64("rep", F.lit(1)), "rights").cast("int")})
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     left = F.when(F.col("home"), F.transform(every("rights"), lambda k: F.struct(F.lit(True).alias("left"), F.col("one"), k.alias("two"))))
     right = F.transform(every("lefts"), lambda k: F.struct(F.lit(False).alias("left"), k.alias("one"), F.col("two")))

@@ -102,11 +102,11 @@ def schedule_blocks(shared: DataFrame, block_chars: int, ws: Workspace) -> DataF
 PLACE = ("chars", "start", "block", "release", "deadline", "slot")
 
 
-def placed_rows(docs: DataFrame, weights: Mapping[str, float] | None, block_chars: int, cycle: int, power: float, blocks: int) -> DataFrame:
-    """Two structs a row of ``docs``: ``row``, as it is, and ``mix``, its place. No name of a column can clash."""
+def placed_rows(docs: DataFrame, weights: Mapping[str, float] | None, block_chars: int, cycle: int, power: float, blocks: int, kept: tuple[str, ...] = ("*",)) -> DataFrame:
+    """Two structs a row of ``docs``: ``row``, its ``kept`` columns as they are, and ``mix``, its place. No name of a column can clash."""
     ws = Workspace(docs.sparkSession, "mixing")
     chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    rows = docs.select(F.struct("*").alias("row"), source_key().alias("key"), _salt(docs.count()).alias("salt"), "doc_id", chars.alias("chars"))
+    rows = docs.select(F.struct(*kept).alias("row"), source_key().alias("key"), _salt(docs.count()).alias("salt"), "doc_id", chars.alias("chars"))
     parts = ws.save(rows.groupBy("key", "salt").agg(F.sum("chars").alias("chars")))
     totals = parts.groupBy("key").agg(F.sum("chars").alias("chars"))
     block_chars = block_length(totals, block_chars, blocks)
@@ -138,8 +138,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
 
 def mixture_plan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, chars, block, release, deadline, slot, start."""
-    placed = mix_sources(docs.select("doc_id", "source", "text"))
-    return placed.select("doc_id", "source", *(F.col(f"mix_{c}").alias(c) for c in ("chars", "block", "release", "deadline", "slot", "start")))
+    placed = placed_rows(docs, None, BLOCK_CHARS, CYCLE, POWER, BLOCKS, kept=("doc_id", "source"))  # texts stay where they are read
+    return placed.select("row.doc_id", "row.source", *(F.col("mix")[c].alias(c) for c in ("chars", "block", "release", "deadline", "slot", "start")))
 
 
 def in_mixture_order(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, bound_batches
+from .workspace import Workspace, bound_batches, release
 
 #: Bound of the labelled sample, in documents, taken in hash order. Unlabelled documents are all used.
 LABELLED = 8_000
@@ -341,7 +341,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple
     chosen = F.broadcast(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
     columns = ("text", "lang", "source", F.col("n_chars").cast("long"))
     sampled = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), *(F.first(c).alias(c) for c in ("text", "lang", "source", "n_chars")))
-    rows = sampled.select("doc_id", "quality", _measure()(*columns).alias("x"), _places()("text").alias("places")).toPandas().sort_values("doc_id")
+    rows = sampled.select("doc_id", "quality", _measure()(*columns).alias("m")).select("doc_id", "quality", "m.*").toPandas().sort_values("doc_id")
     if not len(rows):
         return None
     y, places = rows["quality"].to_numpy(int), [np.frombuffer(p, "<u2").astype(np.int64) for p in rows["places"]]
@@ -350,32 +350,27 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple
     views[0][:, -1] = [words.score_without(p, label) for p, label in zip(places, y, strict=True)]
     if min((y == 0).sum(), (y == 1).sum()) < LEAST_LABELS:
         return None
-    pool = ws.save(docs.join(known, "doc_id", "left_anti").select(_measure(words)(*columns).alias("x")))
+    pool = ws.save(docs.join(known, "doc_id", "left_anti").select(_measure(words)(*columns)["x"].alias("x")))
     return co_train(views, y, _summed(pool)), words
 
 
 def _measure(words: Words | None = None):
-    """Both views of a document as doubles: the text view, the places of the ones for language and source, the length."""
-
-    @F.pandas_udf("binary")
-    def measure(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-        packed = []
-        for t, row in zip(text, zip(_none(lang), _none(source), n_chars, strict=True), strict=True):
-            meta = meta_view(*row)
-            packed.append(np.array([*text_view(t, words), meta.index(1.0), meta.index(1.0, _LANGS), *meta[-2:]], float).tobytes())
-        return pd.Series(packed, dtype=object)
+    """``x``, both views of a document as doubles: the text view, the places of the ones for language and source, the length; ``places`` of its words where none are known."""
+
+    @F.pandas_udf("x binary, places binary")
+    def measure(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, lang, source, n_chars in batches:
+            packed, places = [], []
+            for t, row in zip(text, zip(_none(lang), _none(source), n_chars, strict=True), strict=True):
+                meta = meta_view(*row)
+                packed.append(np.array([*text_view(t, words), meta.index(1.0), meta.index(1.0, _LANGS), *meta[-2:]], float).tobytes())
+                places.append(None if words else word_places(t).astype("<u2").tobytes())
+            yield pd.DataFrame({"x": pd.Series(packed, dtype=object), "places": pd.Series(places, dtype=object)})
+        release(_codes)
 
     return measure
 
 
-def _places():
-    @F.pandas_udf("binary")
-    def places(text: pd.Series) -> pd.Series:
-        return pd.Series([word_places(t).astype("<u2").tobytes() for t in text], dtype=object)
-
-    return places
-
-
 def _none(values: pd.Series) -> list:
     return values.astype(object).where(values.notna(), None).tolist()
 
@@ -392,13 +387,13 @@ def judged_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, words = trained
 
     @F.pandas_udf(SCORE)
-    def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        if not len(text):
-            return pd.DataFrame({"p_text": [], "p_meta": [], "score": [], "kept": []})
-        x = np.array([text_view(t, words) for t in text], float)
-        y = np.array([meta_view(*row) for row in zip(_none(lang), _none(source), n_chars, strict=True)], float)
-        p, q, both = model.scores(x, y)
-        return pd.DataFrame({"p_text": p, "p_meta": q, "score": both, "kept": both >= THRESHOLD})
+    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, lang, source, n_chars in batches:
+            x = np.array([text_view(t, words) for t in text], float).reshape(-1, _TEXT)
+            y = np.array([meta_view(*row) for row in zip(_none(lang), _none(source), n_chars, strict=True)], float).reshape(len(x), -1 if len(x) else _LANGS + _SOURCES + 2)
+            p, q, both = model.scores(x, y)
+            yield pd.DataFrame({"p_text": p, "p_meta": q, "score": both, "kept": both >= THRESHOLD})
+        release(_codes)
 
     return docs.select(F.struct("*").alias("row"), score("text", "lang", "source", F.col("n_chars").cast("long")).alias("judged"))
 

@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, linked_groups
-from .workspace import Workspace
+from .workspace import Workspace, release
 
 COORDINATES, MISS = 48, 1e-6
-_WORDS, _SHORT, _BLOCK, _STEP, _COLUMNS, _ROWS = 200_000, 64, 1024, 4096, 8192, 256
+_WORDS, _SHORT, _BLOCK, _STEP, _COLUMNS, _ROWS = 200_000, 64, 1024, 4096, 2048, 64
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary"
 
@@ -106,7 +106,7 @@ def sketch(docs: DataFrame, words: int, coordinates: int = COORDINATES) -> DataF
                 keys.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
                 signatures.append(signature(values, factors).tobytes() if len(values) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
-        _hashes.clear()  # workers outlive their tasks
+        release(_hashes)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
 
@@ -120,7 +120,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                 step = batch.slice(at, _ROWS)
                 sets = [shingles(text.as_py(), words).view(np.int64) for text in step.column(1)]
                 yield pa.RecordBatch.from_arrays([step.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
-        _hashes.clear()
+        release(_hashes)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 

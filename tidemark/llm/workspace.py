@@ -15,6 +15,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,12 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(rows, BATCH_ROWS)
 
 
+def release(cache: dict) -> None:
+    """Empties a cache of this Python worker at the end of a task and returns free memory: workers outlive their tasks."""
+    cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Workspace:
     """A folder of its own for one run of one operator."""
 

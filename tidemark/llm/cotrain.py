@@ -350,7 +350,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple
     views[0][:, -1] = [words.score_without(p, label) for p, label in zip(places, y, strict=True)]
     if min((y == 0).sum(), (y == 1).sum()) < LEAST_LABELS:
         return None
-    pool = ws.save(docs.join(known, "doc_id", "left_anti").select(_measure(words)(*columns)["x"].alias("x")))
+    every = ws.save(docs.select("doc_id", _measure(words)(*columns)["x"].alias("x")))  # written, so that the join below moves no texts
+    pool = ws.save(every.join(known, "doc_id", "left_anti").select("x"))
     return co_train(views, y, _summed(pool)), words
 
 

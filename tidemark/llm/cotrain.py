@@ -24,10 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, bound_batches, release
+from .workspace import Workspace, release
 
 #: Bound of the labelled sample, in documents, taken in hash order. Unlabelled documents are all used.
 LABELLED = 8_000
@@ -335,13 +335,19 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple
 
     Labels other than 0 and 1 are ignored; a document with both is labelled 0. Rows without a doc_id are unlabelled.
     """
+    taught = train_and_measure(docs, labels, F.struct("doc_id"), labelled)
+    return taught and taught[:2]
+
+
+def train_and_measure(docs: DataFrame, labels: DataFrame, row: Column, labelled: int = LABELLED) -> tuple[CoTrained, Words, DataFrame] | None:
+    """What ``train`` returns, and the table it wrote: a struct ``row`` (with the doc_id) and the measurements ``x`` of every row of ``docs``."""
     ws = Workspace(docs.sparkSession, "cotrain")
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     found = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     chosen = F.broadcast(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
     columns = ("text", "lang", "source", F.col("n_chars").cast("long"))
     sampled = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), *(F.first(c).alias(c) for c in ("text", "lang", "source", "n_chars")))
-    rows = sampled.select("doc_id", "quality", _measure()(*columns).alias("m")).select("doc_id", "quality", "m.*").toPandas().sort_values("doc_id")
+    rows = sampled.select("doc_id", "quality", _measure()(*columns).alias("x"), _placed()("text").alias("places")).toPandas().sort_values("doc_id")
     if not len(rows):
         return None
     y, places = rows["quality"].to_numpy(int), [np.frombuffer(p, "<u2").astype(np.int64) for p in rows["places"]]
@@ -350,28 +356,39 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple
     views[0][:, -1] = [words.score_without(p, label) for p, label in zip(places, y, strict=True)]
     if min((y == 0).sum(), (y == 1).sum()) < LEAST_LABELS:
         return None
-    every = ws.save(docs.select("doc_id", _measure(words)(*columns)["x"].alias("x")))  # written, so that the join below moves no texts
-    pool = ws.save(every.join(known, "doc_id", "left_anti").select("x"))
-    return co_train(views, y, _summed(pool)), words
+    every = ws.save(docs.select(row.alias("row"), _measure(words)(*columns).alias("x")))  # written, so that texts are measured once and the join below moves none
+    pool = ws.save(every.select("row.doc_id", "x").join(known, "doc_id", "left_anti").select("x"))
+    return co_train(views, y, _summed(pool)), words, every
 
 
 def _measure(words: Words | None = None):
-    """``x``, both views of a document as doubles: the text view, the places of the ones for language and source, the length; ``places`` of its words where none are known."""
+    """Both views of a document as doubles: the text view, the places of the ones for language and source, the length."""
 
-    @F.pandas_udf("x binary, places binary")
-    def measure(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def measure(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, lang, source, n_chars in batches:
-            packed, places = [], []
+            packed = []
             for t, row in zip(text, zip(_none(lang), _none(source), n_chars, strict=True), strict=True):
                 meta = meta_view(*row)
                 packed.append(np.array([*text_view(t, words), meta.index(1.0), meta.index(1.0, _LANGS), *meta[-2:]], float).tobytes())
-                places.append(None if words else word_places(t).astype("<u2").tobytes())
-            yield pd.DataFrame({"x": pd.Series(packed, dtype=object), "places": pd.Series(places, dtype=object)})
+            yield pd.Series(packed, dtype=object)
         release(_codes)
 
     return measure
 
 
+def _placed():
+    """The places of a document's words as 16-bit integers, for the labelled sample alone."""
+
+    @F.pandas_udf("binary")
+    def placed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            yield pd.Series([word_places(t).astype("<u2").tobytes() for t in text], dtype=object)
+        release(_codes)
+
+    return placed
+
+
 def _none(values: pd.Series) -> list:
     return values.astype(object).where(values.notna(), None).tolist()
 
@@ -379,24 +396,24 @@ def _none(values: pd.Series) -> list:
 SCORE = "struct<p_text: double, p_meta: double, score: double, kept: boolean>"
 
 
-def judged_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Two structs a row of ``docs``: ``row``, as it is, and ``judged``, its scores. No name of a column can clash."""
-    bound_batches(docs.sparkSession)
-    if (trained := train(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels)) is None:
+def judged_rows(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+    """Two structs a row of ``docs``: ``row``, all its columns or those named, and ``judged``, its scores. No name of a column can clash.
+
+    The columns named must hold the doc_id. Rows are written once with what was measured of them, and scored from that table.
+    """
+    row = F.struct(*(columns or "*"))
+    if (taught := train_and_measure(docs, labels, row)) is None:
         unknown = F.lit(None).cast("double")
-        return docs.select(F.struct("*").alias("row"), F.struct(unknown.alias("p_text"), unknown.alias("p_meta"), unknown.alias("score"), F.lit(True).alias("kept")).alias("judged"))
-    model, words = trained
+        return docs.select(row.alias("row"), F.struct(unknown.alias("p_text"), unknown.alias("p_meta"), unknown.alias("score"), F.lit(True).alias("kept")).alias("judged"))
+    model, _, every = taught
 
     @F.pandas_udf(SCORE)
-    def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, lang, source, n_chars in batches:
-            x = np.array([text_view(t, words) for t in text], float).reshape(-1, _TEXT)
-            y = np.array([meta_view(*row) for row in zip(_none(lang), _none(source), n_chars, strict=True)], float).reshape(len(x), -1 if len(x) else _LANGS + _SOURCES + 2)
-            p, q, both = model.scores(x, y)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            p, q, both = model.scores(*_views(x.tolist()))
             yield pd.DataFrame({"p_text": p, "p_meta": q, "score": both, "kept": both >= THRESHOLD})
-        release(_codes)
 
-    return docs.select(F.struct("*").alias("row"), score("text", "lang", "source", F.col("n_chars").cast("long")).alias("judged"))
+    return every.select("row", score("x").alias("judged"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -416,4 +433,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """A row per document: doc_id, p_text, p_meta, score, kept."""
-    return score_quality(docs.select("doc_id", "text", "lang", "source", "n_chars"), labels).select("doc_id", "quality_score.*")
+    return judged_rows(docs, labels, "doc_id").select("row.doc_id", "judged.*")

@@ -98,4 +98,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": sql.QUALITY,
     "op4_minhash": sql.MINHASH,
     "op5_embeddings": sql.EMBEDDINGS,
+    "op7_warc": sql.WARC,
 }

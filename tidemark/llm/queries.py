@@ -18,6 +18,7 @@ from .minhash import near_duplicates
 from .mixing import mixture_plan
 from .packing import pack
 from .quality_rules import quality_digest, quality_ledger
+from .repeats import periodic_tail, run_digest
 from .separator_scan import count_tokens
 from .token_files import token_file_digest
 from .url_filter import Rule, filter_urls
@@ -91,6 +92,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(words)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(_table(spark, sf_dir, "documents"), change=periodic_tail)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_mixing": op10_mixing,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_periodic_runs": op12_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -148,10 +148,10 @@ def stretches(words: np.ndarray, least: int = LEAST) -> list[tuple[int, int]]:
             windows = np.zeros(n, np.uint64)
             for k in range(width):
                 windows = (windows ^ (windows >> np.uint64(29))) * _MIX + codes[k : k + n]
-            order = np.argsort(windows, kind="stable")
-            twin = np.diff(windows[order]) == 0
-            if not twin.any():
+            if not (np.diff(np.sort(windows)) == 0).any():
                 continue
+            order = np.argsort(windows)
+            twin = np.diff(windows[order]) == 0
             again = np.zeros(n, bool)
             again[order[1:][twin]] = again[order[:-1][twin]] = True
             marks = np.zeros(len(codes) + 1, np.int64)

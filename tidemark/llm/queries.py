@@ -14,6 +14,7 @@ import corpus_pipeline
 from . import spelling, sql
 from .cotrain import quality_scores
 from .embed_dedup import near_vectors
+from .language import identify
 from .minhash import near_duplicates
 from .mixing import mixture_plan
 from .packing import pack
@@ -96,6 +97,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digest(_table(spark, sf_dir, "documents"), change=periodic_tail)
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_language_id": op13_language_id,
     "pipeline": corpus_pipeline.run,
 }
 

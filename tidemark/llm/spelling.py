@@ -1,11 +1,11 @@
 """Spelling variants: words one edit apart, found by a positional q-gram inverted index with a count filter.
 
 Two words of which the longer has L code points and that differ by one edit share at least L - 5 of their grams of three,
-each at the same position or one further on. Grams have a fixed order, rarest first. In it an edit can come before
-the first shared gram with three grams of the longer word at most, and two of a shorter one, so a word is posted under
-few grams, by gram, length and position: as a home of its own length, and as a visitor of the next length at either position.
-A posting list is a group of rows, dealt by key. Inside it, the postings of all grams are heap-merged with skips, under the same limits,
-and words on L - 5 lists are verified.
+each at the same position or one further on. Grams have a fixed order, rarest first. Before the first shared gram come only grams that
+the edit changed, which lie within three positions of the longer word and two of a shorter one, so a word is posted under the
+few grams up to the first that lies out of such reach of one before: by gram, length and position, as a home of its own length, and
+as a visitor of the next length at either position. A posting list is a group of rows, dealt by key. Inside it, the shorter postings of
+a word's grams are heap-merged under the same limits and looked up in the longer ones, and words on L - 5 lists are verified.
 
 A list that holds too many words is dealt again by the next shared gram as well, as often as needed up to the L - 5 grams that
 all its pairs share; nothing is cut off. Grams are ranked by their counts, of which the commonest ``RANKED`` are broadcast.
@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import compress, count
+from operator import ne
 
 import pyarrow as pa
 import xxhash
@@ -27,7 +28,7 @@ from .workspace import Workspace
 
 LETTERS = r"([A-Za-zÀ-ÿ]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Code points of a gram; so many grams of the longer word can one edit make, and of the shorter one destroy.
+#: Code points of a gram; an edit makes so many neighbouring grams of the longer word at most, and destroys so many of a shorter one.
 GRAM, MADE, LOST = 3, 3, 2
 #: Rows of a posting list beyond which it is dealt by one more gram; grams whose rank is broadcast; shortest words that the filter serves.
 CROWDED, RANKED, SHORTEST = 1_000, 65_536, 7
@@ -53,49 +54,75 @@ def word_counts(runs: DataFrame, shortest: int = SHORTEST, least: int = 2) -> Da
 def gram_order(word: str, ranks: dict[str, int]) -> list[int]:
     """Positions of a word's grams, rarest gram first; equal grams by position, so that two words agree on what they share."""
     grams = [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
-    return [i for _, _, i in sorted((ranks.get(g, 0), g, i) for i, g in enumerate(grams))]
+    return [i for _, _, i in sorted([(ranks.get(g, 0), g, i) for i, g in enumerate(grams)])]
 
 
 def postings(word: str, n: int, visitor: bool, picked: list[int], ranks: dict[str, int]) -> Iterator[Posting]:
     """A word's postings by one more gram than those picked so far.
 
     ``picked`` has twice the place in the order of each gram, and one more if the gram stands one position further on in the longer
-    word. Grams after the edit are moved and those before are not, so moves never go back along the word.
+    word. Grams after the edit are moved and those before are not, so moves never go back along the word. Grams passed over are those
+    that the edit changed, so they lie within its reach, and the search ends where they do not.
     """
     order = gram_order(word, ranks)
-    depth = len(picked) + 1
-    length = len(word) + visitor
+    length, reach = (len(word) + 1, LOST) if visitor else (len(word), MADE)
     so_far = [(order[code // 2], code % 2) for code in picked]
-    path = [f"{word[p : p + GRAM]}@{p + s}" for p, s in so_far]
-    for at in range(picked[-1] // 2 + 1 if picked else 0, min((LOST if visitor else MADE) + depth, len(order))):
+    path = "".join([f"{length}", *(f"|{word[p : p + GRAM]}@{p + s}" for p, s in so_far)])
+    taken = {code // 2 for code in picked}
+    passed = [order[k] for k in range(max(taken, default=-1)) if k not in taken]
+    low, high = min(passed, default=len(word)), max(passed, default=-1)
+    for at in range(max(taken, default=-1) + 1, len(order)):
+        if high - low >= reach:
+            return
         p = order[at]
         for s in (0, 1) if visitor else (0,):
-            if all(s >= moved if p > q else s <= moved for q, moved in so_far):
-                place = "|".join([str(length), *path, f"{word[p : p + GRAM]}@{p + s}"])
-                yield xxhash.xxh3_64_intdigest(place.encode()) - (1 << 63), word, n, visitor, [*picked, 2 * at + s]
+            if not so_far or all(s >= moved if p > q else s <= moved for q, moved in so_far):
+                yield xxhash.xxh3_64_intdigest(f"{path}|{word[p : p + GRAM]}@{p + s}") - (1 << 63), word, n, visitor, [*picked, 2 * at + s]
+        low, high = min(low, p), max(high, p)
 
 
-def merged(lists: list[list[int]], least: int) -> Iterator[int]:
-    """Numbers on at least ``least`` of some sorted lists, by a heap of their heads that skips what cannot be on so many."""
+def merged(lists: list[list[int]], least: int) -> list[int]:
+    """Numbers on at least ``least`` of some sorted lists.
+
+    One that is on so many is on one list at least besides the ``least - 1`` longest. The others are merged by a heap of their heads, and
+    what comes is looked up in the longest, each from where the last search ended.
+    """
+    cut = len(lists) - least + 1
+    if cut < 1:
+        return []
+    lists = sorted(lists, key=len)
+    kept = [(x, 1) for x in lists[0]] if cut == 1 else _merged_heads(lists[:cut])
+    for left, ids in enumerate(reversed(lists[cut:]), 1 - least):  # so many more lists can be missing
+        at, n, still = 0, len(ids), []
+        for x, found in kept:
+            at = bisect_left(ids, x, at)
+            if at < n and ids[at] == x:
+                still.append((x, found + 1))
+            elif found - left > least:
+                still.append((x, found))
+        kept = still
+    return [x for x, found in kept if found >= least]
+
+
+def _merged_heads(lists: list[list[int]]) -> list[tuple[int, int]]:
+    """Numbers of some sorted lists, each with how many lists have it."""
     heap = [(ids[0], k, 0) for k, ids in enumerate(lists)]
     heapq.heapify(heap)
-    while len(heap) >= least:
-        head, popped = heap[0][0], []
-        while heap and heap[0][0] == head:
-            popped.append(heapq.heappop(heap))
-        if len(popped) >= least:
-            yield head
-            upto = head + 1
+    found: list[tuple[int, int]] = []
+    last, times = -1, 0
+    while heap:
+        head, k, i = heap[0]
+        if head == last:
+            times += 1
         else:
-            while heap and len(popped) < least - 1:
-                popped.append(heapq.heappop(heap))
-            if not heap:
-                return
-            upto = max(head + 1, heap[0][0])
-        for _, k, i in popped:
-            i = bisect_left(lists[k], upto, i)
-            if i < len(lists[k]):
-                heapq.heappush(heap, (lists[k][i], k, i))
+            if times:
+                found.append((last, times))
+            last, times = head, 1
+        if i + 1 < len(lists[k]):
+            heapq.heapreplace(heap, (lists[k][i + 1], k, i + 1))
+        else:
+            heapq.heappop(heap)
+    return [*found, (last, times)]
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -104,27 +131,29 @@ def one_edit(a: str, b: str) -> bool:
         a, b = b, a
     if len(b) - len(a) > 1 or a == b:
         return False
-    same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    same = next(compress(count(), map(ne, a, b)), len(a))
     return a[same + (len(a) == len(b)) :] == b[same + 1 :]
 
 
 def near_in_list(homes: list[tuple[str, int]], visitors: list[tuple[str, int]]) -> Iterator[tuple[str, int, str, int]]:
     """Pairs one edit apart of the words of a posting list: homes among themselves, visitors with homes of one more code point."""
-    index: dict[tuple[str, int], list[int]] = defaultdict(list)
+    index: dict[tuple[str, int], list[int]] = {}
     for mine, (word, n) in enumerate(homes):
         grams = [(word[i : i + GRAM], i) for i in range(len(word) - GRAM + 1)]
-        if lists := [index[g] for g in grams if g in index]:
-            for other in merged(lists, max(1, len(word) - 5)):
+        if mine:
+            for other in merged([ids for g in grams if (ids := index.get(g))], max(1, len(word) - 5)):
                 if len(homes[other][0]) == len(word) and one_edit(word, homes[other][0]):
                     yield word, n, *homes[other]
         for g in grams:
-            index[g].append(mine)
+            if g in index:
+                index[g].append(mine)
+            else:
+                index[g] = [mine]
     for word, n in visitors:
-        places = ((word[i : i + GRAM], i + s) for i in range(len(word) - GRAM + 1) for s in (0, 1))
-        if lists := [index[g] for g in places if g in index]:
-            for other in merged(lists, max(1, len(word) - 4)):
-                if len(homes[other][0]) == len(word) + 1 and one_edit(word, homes[other][0]):
-                    yield word, n, *homes[other]
+        places = [(word[i : i + GRAM], i + s) for i in range(len(word) - GRAM + 1) for s in (0, 1)]
+        for other in merged([ids for g in places if (ids := index.get(g))], max(1, len(word) - 4)):
+            if len(homes[other][0]) == len(word) + 1 and one_edit(word, homes[other][0]):
+                yield word, n, *homes[other]
 
 
 def _posted(words: DataFrame, ranks) -> DataFrame:

@@ -19,21 +19,45 @@ def rows(df, *order):
 
 def test_assess_runs_equals_a_loop(spark):
     rng = random.Random(3)
-    runs = [(s, r, rng.choice((0, 3, 5, 8, 9, 10, 20)), 1 if s % 2 else None, 15 if s % 3 else None) for s in range(12) for r in range(25)]
+    runs = [(s, r, rng.choice((0, 3, 5, 8, 9, 10, 20, None)), 1 if s % 2 else None, 15 if s % 3 else None) for s in range(12) for r in range(25)]
     wanted = []
     for s in range(12):
         recent = []
         for _, r, n, low, high in (x for x in runs if x[0] == s):
-            median = statistics.median(recent) if recent else None
-            healthy = n >= (low or 0) and not (high is not None and n > high) and not (median is not None and median >= 4 and n < 0.5 * median)
+            counts = [c for c in recent if c is not None]  # the last five first, then those with a count
+            median = statistics.median(counts) if counts else None
+            healthy = n is None or (n >= (low or 0) and not (high is not None and n > high) and not (median is not None and median >= 4 and n < 0.5 * median))
             wanted.append((str(s), r, n, median, healthy))
             if healthy:
                 recent = [n, *recent][:5]
     table = spark.createDataFrame([(str(s), *x) for s, *x in runs], "source_id string, run long, n long, expected_min int, expected_max int")
     assert sorted(rows(health.assess_runs(table).drop("problems"), "run")) == sorted(wanted)
     one = health.assess_runs(spark.createDataFrame([("a", 1, 10, 0, 9), ("a", 2, 1, 2, 9)], table.schema))
-    assert [r["problems"] for r in one.orderBy("run").collect()] == ["above maximum", "below minimum"]
+    assert [r["problems"] for r in one.orderBy("run").collect()] == ["count 10 above expected maximum 9", "count 1 below expected minimum 2"]
     assert health.assess_runs(table.limit(0)).count() == 0
+    early = health.assess_runs(table.where("run < 9"))  # judged in two parts, the second going on from the first
+    late = health.assess_runs(table.where("run >= 9"), health.recent_counts(early))
+    assert sorted(rows(early.unionByName(late).drop("problems"), "run")) == sorted(wanted)
+    drop = spark.createDataFrame([("a", 1, 10, None, None), ("a", 2, 13, None, None), ("a", 3, 2, None, None)], table.schema)
+    assert [r["problems"] for r in health.assess_runs(drop).orderBy("run").collect()] == [None, None, "sudden drop: 2 vs recent median 11.5"]
+
+
+def test_run_reports_tell_nine_fields(spark):
+    at = dt.datetime(2025, 1, 2, 3, 4, 5)
+    runs = spark.createDataFrame([("a", r, 7, "ok", True, None, 10 + r, None, at, None, "v1") for r in range(3)], "source_id string, run long, job_id long, status string, healthy boolean, health_notes string, listings_found int, error string, started_at timestamp_ntz, finished_at timestamp_ntz, parser_version string")
+    got = health.run_reports(runs, "a", 2)
+    assert got.columns == list(health.RUN_FIELDS) and [tuple(r) for r in got.collect()][0] == (2, 7, "ok", True, None, 12, None, "2025-01-02T03:04:05Z", None)
+
+
+def test_equal_requests_get_one_new_id(spark):
+    log = spark.createDataFrame([(5, "scrape", "a", '{"x": 1}', "queued"), (9, "scrape", "b", "{}", "failed")], "id long, kind string, source_id string, params string, status string")
+    asked = [(1, "scrape", "b", None), (2, "scrape", "a", '{"x":1}'), (3, "scrape", "b", "{}"), (4, "scrape", None, "{}"), (5, "scrape", None, "{ }"), (6, "scrape", "a", '{"x":2}')]
+    requests = spark.createDataFrame(asked, "request_id long, kind string, source_id string, params string")
+    got = jobs.enqueue_ids(requests, log, ["scrape"])
+    assert rows(got.select("request_id", "job_id", "created"), "request_id") == [(1, 10, True), (2, 5, False), (3, 10, True), (4, 11, True), (5, 11, True), (6, 12, True)]
+    assert got.columns == [*requests.columns, "job_id", "created"]
+    assert rows(jobs.enqueue_ids(requests.where("request_id = 4"), log.limit(0)).select("job_id", "created"), "job_id") == [(1, True)]
+    assert jobs.enqueue_ids(requests.limit(0), log).count() == 0
 
 
 def test_failures_since_the_last_completed_run(spark):
@@ -73,8 +97,8 @@ def test_source_state_reasons_and_schedule(spark):
 def test_overall_health(spark):
     states = spark.createDataFrame([("a", "ok"), ("b", "stale")], "source_id string, state string")
     log = spark.createDataFrame([(1, "failed"), (2, "succeeded"), (3, "queued")], "id long, status string")
-    assert tuple(health.overall(states, log, log).first()) == (False, ["b"], 1)
-    assert tuple(health.overall(states.where("state = 'ok'"), log.where("id <= 2"), log.limit(0)).first()) == (True, [], 0)
+    assert tuple(health.overall(states, log, log).first()) == (False, ["b"], 1, 1)
+    assert tuple(health.overall(states.where("state = 'ok'"), log.where("id <= 2"), log.limit(0)).first()) == (True, [], 0, 0)
     assert tuple(health.overall(states.where("state = 'ok'"), log.where("id = 1"), log).first())[0] is False
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.collections import canonical_json
 from tidemark.functions.dates import seconds_between
 from tidemark.functions.numbers import eta_seconds, percent
+from tidemark.stores.commits import Store, shared_folder
 
 ACTIVE = ("queued", "running", "cancel_requested")
 STALE_MINUTES, BACKUP_HOURS, MESSAGE = 15, 24, 4000
@@ -46,6 +47,33 @@ def new_jobs(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*requests.columns)
 
 
+def enqueue_ids(requests: DataFrame, jobs: DataFrame, kinds: Sequence[str] = ()) -> DataFrame:
+    """``requests`` with the ``job_id`` that each got and ``created``: whether that job is a new one.
+
+    A request that repeats an active job gets its id. Equal requests of the batch get one new job together. New jobs are numbered
+    on from the last job in the order of their first requests, without gaps: the groups are dealt by ranges of that order and written, each
+    range is numbered by itself, and begins where those before it end.
+    """
+    spark = requests.sparkSession
+    scratch = Store(spark, shared_folder(spark, "jobs"))
+    asked = enqueue(requests, jobs, kinds).withColumns({"same_params": _identity()[2]})
+    asked = scratch.read([scratch.write(asked)], asked.schema)
+    same = ["kind", "source_id", "same_params"]
+    groups = asked.where("job_id IS NULL").groupBy(*same).agg(F.min("request_id").alias("first")).repartitionByRange("first")
+    groups = groups.withColumn("range", F.spark_partition_id())
+    groups = scratch.read([scratch.write(groups)], groups.schema)
+    sizes = {r["range"]: r["count"] for r in groups.groupBy("range").count().collect()}  # a row for each partition of a shuffle
+    base, bases = jobs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0], {}
+    for k in sorted(sizes):
+        bases[k] = base
+        base += sizes[k]
+    starts = spark.createDataFrame(list(bases.items()), "range int, base long")
+    numbered = groups.join(F.broadcast(starts), "range").withColumn("new_id", F.col("base") + F.row_number().over(Window.partitionBy("range").orderBy("first")))
+    mine = [asked[c].eqNullSafe(numbered[c]) for c in same]
+    joined = asked.join(numbered.select(*same, "new_id"), mine, "left")
+    return joined.select(*(asked[c] for c in requests.columns), F.coalesce("job_id", "new_id").alias("job_id"), asked["job_id"].isNull().alias("created"))
+
+
 def queue_due(due: DataFrame, jobs: DataFrame, kind: str) -> DataFrame:
     """Requests for the due sources (source_id) that no active job of the kind serves."""
     requests = due.select(F.col("source_id").cast("string").alias("request_id"), F.lit(kind).alias("kind"), F.col("source_id").cast("string").alias("source_id"), F.lit("{}").alias("params"))

@@ -193,7 +193,7 @@ def overall_health(spark, sf_dir):
     backups = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "if(o_orderstatus = 'F', 'failed', 'succeeded') AS status")
     states = health.source_health(_sources(spark, sf_dir), now()).select("source_id", "state")
     one = health.overall(states, backups, _jobs(spark, sf_dir).select("id", "status"))
-    return one.select("ok", F.size("problem_sources").cast("long").alias("problem_sources"), "active_jobs")
+    return one.select("ok", F.col("n_problems").alias("problem_sources"), "active_jobs")
 
 
 @query(f"WITH {_JOBS_SQL}" + """, last AS (SELECT * FROM jobs WHERE kind = '1-URGENT' ORDER BY id DESC LIMIT 1)

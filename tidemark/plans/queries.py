@@ -127,21 +127,31 @@ def run_counts(spark, sf_dir):
 
 
 _VERDICTS_SQL = f"""WITH RECURSIVE {_RUNS_SQL},
-    numbered AS (SELECT source_id, run, listings AS n, row_number() OVER (PARTITION BY source_id ORDER BY run) AS nth FROM runs),
+    numbered AS (SELECT source_id, run, CASE WHEN run % 7 = 0 THEN NULL ELSE listings END AS n, row_number() OVER (PARTITION BY source_id ORDER BY run) AS nth FROM runs),
     fold AS (
-        SELECT source_id, run, n, nth, NULL::DOUBLE AS recent_median, n >= 2 AS healthy, CASE WHEN n >= 2 THEN [n] ELSE [] END AS recent FROM numbered WHERE nth = 1
+        SELECT source_id, run, n, nth, NULL::DOUBLE AS recent_median, NOT coalesce(n < 2 OR n > 40, false) AS healthy, CASE WHEN NOT coalesce(n < 2 OR n > 40, false) THEN [n] ELSE [] END AS recent FROM numbered WHERE nth = 1
         UNION ALL
         SELECT source_id, run, n, nth, med, good, CASE WHEN good THEN list_prepend(n, recent)[1:5] ELSE recent END FROM (
             SELECT x.source_id, x.run, x.n, x.nth, f.recent, list_median(f.recent)::DOUBLE AS med,
-                x.n >= 2 AND NOT coalesce(list_median(f.recent) >= 4 AND x.n < 0.5 * list_median(f.recent), false) AS good
+                NOT coalesce(x.n < 2 OR x.n > 40, false) AND NOT coalesce(list_median(f.recent) >= 4 AND x.n < 0.5 * list_median(f.recent), false) AS good
             FROM fold f JOIN numbered x ON x.source_id = f.source_id AND x.nth = f.nth + 1))"""
 
 
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of which every seventh has no count, judged."""
+    runs = _runs(spark, sf_dir).withColumn("n", F.expr("if(run % 7 = 0, null, listings)"))
+    return health.assess_runs(runs.withColumns({"expected_min": F.lit(2), "expected_max": F.lit(40)}))
+
+
 @query(_VERDICTS_SQL + " SELECT source_id, run, n, recent_median, healthy FROM fold")
 def run_health(spark, sf_dir):
-    runs = _runs(spark, sf_dir).withColumn("n", F.col("listings"))
-    limits = {"expected_min": F.lit(2), "expected_max": F.lit(None).cast("long")}
-    return health.assess_runs(runs.withColumns(limits)).drop("problems")
+    return _verdicts(spark, sf_dir).drop("problems")
+
+
+@query(_VERDICTS_SQL + """ SELECT source_id, run, concat_ws('; ', CASE WHEN n < 2 THEN 'count ' || n || ' below expected minimum 2' END, CASE WHEN n > 40 THEN 'count ' || n || ' above expected maximum 40' END,
+        CASE WHEN recent_median >= 4 AND n < 0.5 * recent_median THEN 'sudden drop: ' || n || ' vs recent median ' || format('{:g}', recent_median) END) AS problems FROM fold WHERE NOT healthy""")
+def run_problems(spark, sf_dir):
+    return _verdicts(spark, sf_dir).where("NOT healthy").select("source_id", "run", "problems")
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,8 +399,9 @@ def job_progress(spark, sf_dir):
 @query(f"WITH {_JOBS_SQL}" + """ SELECT id FROM jobs WHERE status = 'running' AND coalesce(CASE WHEN id % 2 = 0 THEN made + INTERVAL 10 MINUTE END, made)
         < (SELECT max(made) FROM jobs) - INTERVAL 15 MINUTE""")
 def stale_jobs(spark, sf_dir):
-    log = _jobs(spark, sf_dir)
-    return jobs.stale(log, F.lit(log.agg(F.max("created_at")).first()[0])).select("id")
+    log = _jobs(spark, sf_dir).withColumn("_", F.lit(1))
+    latest = log.groupBy("_").agg(F.max("created_at").alias("latest"))
+    return jobs.stale(log.join(latest, "_"), F.col("latest")).select("id")
 
 
 @query(f"WITH {_JOBS_SQL}" + """ SELECT id, CASE WHEN id % 3 <> 0 THEN status WHEN status = 'queued' THEN 'cancelled' WHEN status = 'running' THEN 'cancel_requested' ELSE status END AS status FROM jobs""")
@@ -399,6 +410,25 @@ def cancel_jobs(spark, sf_dir):
     return jobs.cancel(_jobs(spark, sf_dir), requests, now()).select("id", "status")
 
 
+@query(f"WITH {_JOBS_SQL}" + """,
+    asked AS (SELECT o_orderkey AS request_id, o_orderpriority AS kind, CASE WHEN o_custkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) END AS source_id, o_custkey % 3 AS a FROM orders WHERE o_orderstatus = 'F'),
+    met AS (SELECT q.*, min(j.id) AS job_id FROM asked q LEFT JOIN jobs j ON j.status IN ('queued', 'running') AND j.kind = q.kind AND j.a = q.a AND j.source_id IS NOT DISTINCT FROM q.source_id GROUP BY ALL),
+    fresh AS (SELECT kind, source_id, a, (SELECT max(id) FROM jobs) + row_number() OVER (ORDER BY min(request_id)) AS new_id FROM met WHERE job_id IS NULL GROUP BY kind, source_id, a)
+    SELECT m.request_id, coalesce(m.job_id, f.new_id) AS job_id, m.job_id IS NULL AS created FROM met m LEFT JOIN fresh f ON m.kind = f.kind AND m.a = f.a AND m.source_id IS NOT DISTINCT FROM f.source_id""")
+def enqueue_ids(spark, sf_dir):
+    asked = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderpriority").alias("kind"),
+        F.expr("if(o_custkey % 2 = 0, cast(o_custkey AS string), null)").alias("source_id"),
+        F.expr("if(o_orderkey % 2 = 0, concat('{\"b\":1,\"a\":', o_custkey % 3, '}'), concat('{\"a\": ', o_custkey % 3, ', \"b\": 1}'))").alias("params"),
+    )
+    return jobs.enqueue_ids(asked, _jobs(spark, sf_dir)).select("request_id", "job_id", "created")
+
+
+@query(f"WITH {_JOBS_SQL}" + """ SELECT id, kind, status FROM jobs WHERE status IN ('running', 'succeeded') AND kind = '2-HIGH' ORDER BY id DESC LIMIT 300""")
+def recent_of_kind(spark, sf_dir):
+    return jobs.recent(_jobs(spark, sf_dir), 300, ["running", "succeeded"], "2-HIGH").select("id", "kind", "status")
+
+
 @query(f"WITH {_JOBS_SQL}" + """ SELECT id, kind, status FROM (SELECT * FROM jobs ORDER BY id DESC LIMIT 500) WHERE status IN ('queued', 'running')""")
 def recent_topk(spark, sf_dir):
     return jobs.active_of(jobs.recent(_jobs(spark, sf_dir), 500)).select("id", "kind", "status")
@@ -423,5 +453,6 @@ def detail_freshness(spark, sf_dir):
     previous = per_user.agg(summary(F.min_by).alias("summary"))
     fetches = events.select(F.col("event_id").alias("id"), url.alias("url"), F.expr("if(event_type = 'error', 500, 200)").alias("http_status"), F.col("ts").alias("fetched_at"))
     fetches = fetches.withColumn("id", F.expr("unix_micros(cast(fetched_at AS timestamp))"))
-    last = F.lit(events.agg(F.max("ts")).first()[0])
-    return freshness.detail_freshness(records, previous, fetches, last).select("listing", "fresh")
+    latest = events.agg(F.max("ts").alias("latest")).withColumn("_", F.lit(1))
+    dated = records.withColumn("_", F.lit(1)).join(latest, "_")
+    return freshness.detail_freshness(dated, previous, fetches, F.col("latest")).select("listing", "fresh")

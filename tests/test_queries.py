@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.plans import field_queries, queries as Q  # noqa: F401
+from tidemark.plans import field_queries, queries as Q, store_queries  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 

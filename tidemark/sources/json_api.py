@@ -73,6 +73,11 @@ def api_records(pages: DataFrame) -> DataFrame:
     listings = F.try_variant_get("data", "$.listings", "array<variant>")
     checked = F.when(F.variant_get("data", "$.listings", "variant").isNull(), F.raise_error(F.lit("the response has no listings"))).otherwise(listings)
     records = parsed.select("fetch_id", "page", F.posexplode(checked).alias("seq", "record")).withColumn("seq", F.col("seq").cast("long"))
+    return active(records)
+
+
+def active(records: DataFrame) -> DataFrame:
+    """Records (record: variant) that are active."""
     return records.where(_value("isActive").isNull() | _flag("isActive"))
 
 

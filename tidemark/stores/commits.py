@@ -120,7 +120,7 @@ def done(content: Content, batch: int | None) -> bool:
 
 
 class Appended(Store):
-    """A table that only grows. A batch with a number is added once, however often it is written; its rows carry it as ``batch``."""
+    """A table that only grows. A batch with a number is added once, however often it is written, and can be read alone."""
 
     def __init__(self, spark: SparkSession, uri: str, schema: str):
         super().__init__(spark, uri)

@@ -28,6 +28,8 @@ from .workspace import Workspace
 BLOCK_CHARS, BLOCKS, CYCLE, POWER, UNIT = 1 << 16, 1 << 20, 1000, 0.5, 1 << 52
 #: Rows of a source that are sorted together, about, and the least number of such groups.
 GROUP_ROWS, SALTS = 20_000, 256
+#: Slots of a file written in mixture order, about.
+STRETCH = 512
 
 
 def source_key(source: Column | str = "source") -> Column:
@@ -102,8 +104,8 @@ def schedule_blocks(shared: DataFrame, block_chars: int, ws: Workspace) -> DataF
 PLACE = ("chars", "start", "block", "release", "deadline", "slot")
 
 
-def placed_rows(docs: DataFrame, weights: Mapping[str, float] | None, block_chars: int, cycle: int, power: float, blocks: int, kept: tuple[str, ...] = ("*",)) -> DataFrame:
-    """Two structs a row of ``docs``: ``row``, its ``kept`` columns as they are, and ``mix``, its place. No name of a column can clash."""
+def placed_rows(docs: DataFrame, weights: Mapping[str, float] | None, block_chars: int, cycle: int, power: float, blocks: int, kept: tuple[str, ...] = ("*",)) -> tuple[DataFrame, int]:
+    """Two structs a row of ``docs``: ``row``, its ``kept`` columns as they are, and ``mix``, its place; and how many slots there are. No name of a column can clash."""
     ws = Workspace(docs.sparkSession, "mixing")
     chars = F.length(F.coalesce("text", F.lit(""))).cast("long")
     rows = docs.select(F.struct(*kept).alias("row"), source_key().alias("key"), _salt(docs.count()).alias("salt"), "doc_id", chars.alias("chars"))
@@ -119,7 +121,7 @@ def placed_rows(docs: DataFrame, weights: Mapping[str, float] | None, block_char
     started = within.join(bases, ["key", "salt"]).withColumn("start", F.col("base") + F.col("within"))
     started = started.withColumn("block", F.expr(f"start div {block_chars}"))
     placed = started.join(F.broadcast(schedule), ["key", "block"])  # at most BLOCKS rows besides one a source
-    return placed.select("row", F.struct(*PLACE).alias("mix"))
+    return placed.select("row", F.struct(*PLACE).alias("mix")), (schedule.agg(F.max("slot")).first()[0] or 0) + 1
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, cycle: int = CYCLE, power: float = POWER, blocks: int = BLOCKS) -> DataFrame:
@@ -131,19 +133,24 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, blo
     repeated rows are placed one after another; rows with a null source are one source; an
     empty table gives no rows.
     """
-    placed = placed_rows(docs, weights, block_chars, cycle, power, blocks)
+    placed, _ = placed_rows(docs, weights, block_chars, cycle, power, blocks)
     names = [f"mix_{c}" for c in PLACE]
     return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in names), *(F.col("mix")[c].alias(n) for c, n in zip(PLACE, names, strict=True)))
 
 
 def mixture_plan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, chars, block, release, deadline, slot, start."""
-    placed = placed_rows(docs, None, BLOCK_CHARS, CYCLE, POWER, BLOCKS, kept=("doc_id", "source"))  # texts stay where they are read
+    placed, _ = placed_rows(docs, None, BLOCK_CHARS, CYCLE, POWER, BLOCKS, kept=("doc_id", "source"))  # texts stay where they are read
     return placed.select("row.doc_id", "row.source", *(F.col("mix")[c].alias(c) for c in ("chars", "block", "release", "deadline", "slot", "start")))
 
 
 def in_mixture_order(docs: DataFrame) -> DataFrame:
-    """``docs`` in the order of the mixture: ranges of slots, one after another across the files written. Columns stay as they are."""
+    """``docs`` in the order of the mixture: stretches of slots, one after another across the files written. Columns stay as they are.
+
+    Slots hold a block each, so equal stretches of them are equal shares of the text, and no row has to be sampled to find them.
+    """
     order = ["mix.slot", "mix.start"]
-    placed = placed_rows(docs, None, BLOCK_CHARS, CYCLE, POWER, BLOCKS)
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
+    placed, slots = placed_rows(docs, None, BLOCK_CHARS, CYCLE, POWER, BLOCKS)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), slots // STRETCH)
+    stretch = F.expr(f"mix.slot * {parts} div {max(1, slots)}").cast("int")
+    return placed.repartitionById(parts, stretch).sortWithinPartitions(*order).select("row.*")

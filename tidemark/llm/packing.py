@@ -3,14 +3,15 @@
 Tasks encode whole texts and cut only what is longer than a sequence. What the planner
 sees is the histogram of piece lengths, at most ``capacity`` numbers whatever the corpus:
 
-1. Best-fit decreasing, and whole sequences by growing shares at prices equal to size. If one
-   of them is within ``GAP`` of the volume, it is the plan.
-2. Otherwise the covering LP is solved by multiplicative weights: every length has a price, a
-   knapsack dynamic program prices configurations (multisets of lengths that fit one sequence), and
-   lengths that the best configurations cover less than others gain price. Any prices give a
-   lower bound; rounds end when the packing is within ``GAP`` of it, or after ``ROUNDS``.
-3. The fractional solution is rounded, the rest solved again, and what remains placed best-fit.
-   The plan with the fewest sequences is taken.
+1. The covering LP starts at prices equal to size, whose bound is the volume. A knapsack dynamic program
+   prices configurations (multisets of lengths that fit one sequence), and whole sequences are taken of
+   those that are best at the prices, by growing shares. A plan within ``GAP`` of the bound ends the search.
+2. Otherwise the LP goes on by multiplicative weights. What a longer piece fits a shorter one fits, so the rows of
+   the LP are the pieces of at least each length, prices grow with the length, and a row that the best
+   configurations cover less than others gains weight. Any prices give a lower bound; rounds end when the
+   fractional packing is within ``GAP`` of it, or after ``ROUNDS``.
+3. The fractional solution is rounded, the rest solved again, and what remains placed best-fit; and shares are
+   taken at the prices of the best bound. The plan with the fewest sequences is used, plain best fit only if it has fewer still.
 
 The plan is a few thousand (configuration, multiplicity) pairs, broadcast to place each
 piece by its rank among the pieces of its length. Ranks are a count inside a stretch of rows plus
@@ -45,10 +46,8 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 _STEP, _GATHER, _CELLS = 256, 32_768, 1 << 20
 #: Sequences of a stretch, and most stretches.
 STRETCH, STRETCHES = 256, 1 << 20
-#: Most rounds of the LP and of its rests, rounds of shares; gap to a lower bound that ends them; what counts as a best configuration, and in the first round.
-ROUNDS, REPEATS, SHARES, GAP, SLACK, LOOSE, RATE = 160, 8, 24, 0.0005, 0.002, 0.5, 0.5
-#: With more lengths than this there are fewer rounds, since each costs more, down to LEAST.
-MANY, LEAST = 400, 24
+#: Most rounds of the LP, rounds without a better bound that halve the steps, how often they are halved, rounds of its rests, rounds of shares; gap to a lower bound that ends them; what counts as a best configuration, and in the first round; steps.
+ROUNDS, PATIENCE, HALVINGS, REPEATS, SHARES, GAP, SLACK, LOOSE, RATE = 240, 24, 5, 8, 24, 0.0005, 0.002, 0.5, 0.5
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -133,42 +132,54 @@ def fill(left: np.ndarray, prices: np.ndarray, last: np.ndarray, best: np.ndarra
 def solve_lp(counts: np.ndarray, capacity: int, prices: np.ndarray | None = None, rounds: int = ROUNDS, gap: float = GAP) -> tuple[dict[Config, float], np.ndarray, float]:
     """The covering LP by multiplicative weights: a fractional packing, the prices of its best bound, and that bound.
 
-    Prices start at the sizes, whose bound is the volume. A round packs what the counts allow by the configurations
-    that are best at the prices; then lengths that it covered less than others gain price. Any prices bound every
-    packing from below: the counts at these prices, over the value of the best configuration. The packing
-    is the mean of the later rounds, scaled until all is covered; rounds end when it is within ``gap`` of the bound.
+    There is a row for the pieces of at least each length, and a length's price is the sum of the weights of the rows it is in. Prices
+    start at the sizes, whose bound is the volume. A round packs what the counts allow by the configurations that are best at the prices;
+    then rows that it covered less than others gain weight. Any prices bound every packing from below: the counts at these
+    prices, over the value of the best configuration. The packing is the mean of the later rounds, scaled until all is covered;
+    rounds end when it is within ``gap`` of the bound. Where the bound does not rise for ``PATIENCE`` of them, they go on from its prices
+    with half the step, ``HALVINGS`` times.
     """
     lengths = np.flatnonzero(counts)
-    demand = counts.astype(float)
-    y = np.arange(capacity + 1) / capacity if prices is None else prices.copy()
-    y[counts == 0] = 0
-    bound, at_bound, since = 0.0, y.copy(), 0
+    demand = counts[lengths].astype(float)
+    at_least = lambda x: np.cumsum(x[::-1])[::-1]
+    rows = at_least(demand)
+    start = lengths / capacity if prices is None else np.maximum.accumulate(prices[lengths])
+    weights = np.diff(start, prepend=0.0)
+    bound, better, rate, since, mean = 0.0, 0, RATE, 0, np.zeros(len(lengths))
+    at_bound = np.zeros(capacity + 1)
     done: list[dict[Config, float]] = []
     covered: list[np.ndarray] = []
     for k in range(rounds):
+        y = np.zeros(capacity + 1)
+        y[lengths] = np.cumsum(weights)
         best, last = price_configs(y, capacity)
-        if (value := float(demand @ y) / best[capacity]) > bound:
-            bound, at_bound = value, y.copy()
+        if (value := float(demand @ y[lengths]) / best[capacity]) > bound:
+            better = k if value > bound * (1 + gap / 10) else better
+            bound, at_bound, best_weights = value, y, weights
         uses = fill(counts, y, last, best, capacity, max(SLACK, LOOSE / (k + 1)))
         share = np.zeros(capacity + 1)
         for config, x in uses.items():
             for v in config:
                 share[v] += x
-        share[lengths] /= demand[lengths]
         done.append(uses)
-        covered.append(share)
+        covered.append(at_least(share[lengths]) / rows)
         since = (k + 1) // 2
-        mean = sum(covered[since:])[lengths]
+        mean = sum(covered[since:])
         if (least := mean.min()) > 0 and sum(sum(u.values()) for u in done[since:]) / least <= bound * (1 + gap):
             break
-        worth = demand * y
-        y *= np.exp(-RATE / np.sqrt(k + 1) * (share - worth @ share / worth.sum()) / share.max())
+        if k - better >= PATIENCE:
+            better, rate, weights = k, rate / 2, best_weights
+            if rate < RATE / 2**HALVINGS:
+                break
+            continue
+        worth = weights * rows
+        weights = weights * np.exp(-rate * (covered[-1] - worth @ covered[-1] / worth.sum()) / covered[-1].max())
     mixed: dict[Config, float] = defaultdict(float)
     for uses in done[since:]:
         for config, x in uses.items():
             mixed[config] += x
-    mean = sum(covered[since:])[lengths]
-    scale = mean.min() if mean.min() > 0 else (at_bound * demand)[lengths] @ mean / (at_bound @ demand)  # rounding sees to the rest
+    worth = np.diff(at_bound[lengths], prepend=0.0) * rows
+    scale = mean.min() if mean.min() > 0 else worth @ mean / worth.sum()  # rounding sees to the rest
     return {config: x / scale for config, x in mixed.items()}, at_bound, bound
 
 
@@ -182,7 +193,7 @@ def take(counts: np.ndarray, config: Config, most: int, plan: Counter[Config]) -
     return whole
 
 
-def by_lp(counts: np.ndarray, capacity: int, uses: dict[Config, float], prices: np.ndarray, rounds: int = ROUNDS // 8) -> Counter[Config]:
+def by_lp(counts: np.ndarray, capacity: int, uses: dict[Config, float], prices: np.ndarray, rounds: int = ROUNDS // 12) -> Counter[Config]:
     """An LP solution in whole sequences: rounded down, then up while it fits, the LP of the rest again, and so on."""
     counts, plan = counts.copy(), Counter()
     for _ in range(REPEATS):
@@ -222,8 +233,8 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> list[tuple[Config,
 def plan_and_bound(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[Config, int]], int]:
     """The plan, and a number of sequences that no plan can go below.
 
-    Of best fit, the shares at size prices and the rounded LP, the one with the fewest sequences; the LP
-    is solved unless a cheaper one is within ``GAP`` of the volume already. Of equal plans the first is taken.
+    Plans of the LP in turn until one is within ``GAP`` of the bound: shares at size prices, the rounded LP, shares at the prices of
+    its bound. The one with the fewest sequences is taken, and plain best fit if that has fewer still.
     """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
@@ -237,16 +248,15 @@ def plan_and_bound(histogram: dict[int, int], capacity: int) -> tuple[list[tuple
         return sorted(plan.items()), whole
     sizes = np.arange(capacity + 1)
     near = lambda p, bound: p.total() <= np.ceil(bound * (1 - 1e-9)) * (1 + GAP)
-    volume = bound = counts @ sizes / capacity
-    rest = best_fit({int(v): int(counts[v]) for v in np.flatnonzero(counts)}, capacity)
-    if not near(rest, volume):
-        rest = min(rest, by_shares(counts, capacity, sizes / capacity), key=Counter.total)
-    if not near(rest, volume):
-        rounds = int(np.clip(ROUNDS * MANY / np.count_nonzero(counts), LEAST, ROUNDS))
-        uses, prices, bound = solve_lp(counts, capacity, rounds=rounds)
-        for solve in (lambda: by_lp(counts, capacity, uses, prices, rounds // 8), lambda: by_shares(counts, capacity, prices)):
+    bound = counts @ sizes / capacity
+    rest = by_shares(counts, capacity, sizes / capacity)
+    if not near(rest, bound):
+        uses, prices, bound = solve_lp(counts, capacity)
+        for solve in (lambda: by_lp(counts, capacity, uses, prices), lambda: by_shares(counts, capacity, prices)):
             if not near(rest, bound):
                 rest = min(rest, solve(), key=Counter.total)
+    if rest.total() > np.ceil(bound * (1 - 1e-9)):
+        rest = min(rest, best_fit({int(v): int(counts[v]) for v in np.flatnonzero(counts)}, capacity), key=Counter.total)
     return sorted((plan + rest).items()), whole + int(np.ceil(bound * (1 - 1e-9)))
 
 

@@ -168,7 +168,7 @@ def test_all_unlabelled_documents_teach():
 def test_the_sums_of_tasks_are_those_of_all_documents(spark):
     rows, _ = corpus(n=60)
     docs = spark.createDataFrame([*rows, (None, None, None, None, None)], DOCS).repartition(3)
-    packed = docs.select(cotrain._measure()("text", "lang", "source", "n_chars").alias("x"))
+    packed = docs.select(cotrain._measure()("text", "lang", "source", "n_chars", F.lit(None).cast("int")).alias("x"))
     wanted = [np.array([f(r) for r in docs.collect()], float) for f in (lambda r: cotrain.text_view(r["text"]), lambda r: cotrain.meta_view(r["lang"], r["source"], r["n_chars"]))]
     both = lambda text, meta: np.concatenate([[len(text)], text.sum(axis=0), meta.sum(axis=0)])
     assert np.allclose(cotrain._summed(packed)(both), both(*wanted))
@@ -282,3 +282,14 @@ def test_sequences_follow_the_mixture(spark, sf_dir, tokenizer_path, monkeypatch
         mine = by_length[r["length"]]
         share = numbers[r["sequence_id"]] / total
         assert abs(mine.index(order[r["doc_id"]]) - share * len(mine)) <= 2 * holding[r["length"]] + 3 * len(mine) / stretches + 1
+
+
+def test_scores_of_labelled_documents_do_not_tell_their_labels(spark):
+    """Random words under random labels: whatever the scores of the labelled documents, they say nothing of the labels."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 4000, 60)) for _ in range(500)]
+    labels = {k: int(rng.random() < 0.5) for k in range(0, 500, 2)}
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    scored = cotrain.quality_scores(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).where("doc_id % 2 = 0").toPandas()
+    auc = cotrain.measured(scored["score"].to_numpy(), scored["doc_id"].map(labels).to_numpy())["auc"]
+    assert 0.35 < auc < 0.65

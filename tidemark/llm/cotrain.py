@@ -101,14 +101,14 @@ class Words:
             return 0.0
         counts = self.counts[:, places].copy()
         totals = self.counts.sum(axis=1)
-        counts[label] -= 1
+        counts[label] = np.maximum(0, counts[label] - 1)  # another row of the doc_id may hold other words
         totals[label] -= len(places)
         rates = np.log(counts + SMOOTH) - np.log(totals + SMOOTH * BUCKETS)[:, None]
         return float((rates[1] - rates[0]).mean())
 
 
-def text_view(text: str | None, words_seen: Words | None = None) -> list[float]:
-    """Measurements of a whole text, the score of its words last (0 without ``words_seen``); of an empty one, all zero."""
+def text_view(text: str | None, words_seen: Words | None = None, label: int | None = None) -> list[float]:
+    """Measurements of a whole text, the score of its words last (0 without ``words_seen``; with a ``label``, as if it had not been seen); of an empty one, all zero."""
     data = (text or "").encode("utf-8", "replace")
     words = data.split()
     if not words:
@@ -118,6 +118,7 @@ def text_view(text: str | None, words_seen: Words | None = None) -> list[float]:
     upper, lower = count(_UPPER), count(_LOWER)
     lines = [line for line in data.split(b"\n") if line.strip()]
     codes, pairs = word_codes(words)
+    places = places_of(codes, pairs) if words_seen is not None else None
     threes = pairs[:-1] * np.uint64(0xD6E8FEB86659FD93) + codes[2:]
     return [
         math.log1p(n),
@@ -131,7 +132,7 @@ def text_view(text: str | None, words_seen: Words | None = None) -> list[float]:
         1 - len(np.unique(threes)) / len(threes) if n > 2 else 0.0,
         1 - len(set(lines)) / len(lines),
         max(map(len, words)) > 100,
-        words_seen.score(places_of(codes, pairs)) if words_seen else 0.0,
+        0.0 if words_seen is None else words_seen.score(places) if label is None else words_seen.score_without(places, label),
     ]
 
 
@@ -347,7 +348,7 @@ def train_and_measure(docs: DataFrame, labels: DataFrame, row: Column, labelled:
     chosen = F.broadcast(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
     columns = ("text", "lang", "source", F.col("n_chars").cast("long"))
     sampled = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), *(F.first(c).alias(c) for c in ("text", "lang", "source", "n_chars")))
-    rows = sampled.select("doc_id", "quality", _measure()(*columns).alias("x"), _placed()("text").alias("places")).toPandas().sort_values("doc_id")
+    rows = sampled.select("doc_id", "quality", _measure()(*columns, F.lit(None).cast("int")).alias("x"), _placed()("text").alias("places")).toPandas().sort_values("doc_id")
     if not len(rows):
         return None
     y, places = rows["quality"].to_numpy(int), [np.frombuffer(p, "<u2").astype(np.int64) for p in rows["places"]]
@@ -356,21 +357,24 @@ def train_and_measure(docs: DataFrame, labels: DataFrame, row: Column, labelled:
     views[0][:, -1] = [words.score_without(p, label) for p, label in zip(places, y, strict=True)]
     if min((y == 0).sum(), (y == 1).sum()) < LEAST_LABELS:
         return None
-    every = ws.save(docs.select(row.alias("row"), _measure(words)(*columns).alias("x")))  # written, so that texts are measured once and the join below moves none
+    label = chosen.select(F.col("doc_id").alias("known_id"), F.col("quality").alias("label"))  # whose words count without themselves, as when the views were fitted
+    apart = docs.select(row.alias("row"), "doc_id", *columns[:3], columns[3].alias("n_chars"))
+    labelled_rows = apart.join(F.broadcast(label), F.col("doc_id") == F.col("known_id"), "left")
+    every = ws.save(labelled_rows.select("row", _measure(words)(*columns, "label").alias("x")))  # written, so that texts are measured once and the join below moves none
     pool = ws.save(every.select("row.doc_id", "x").join(known, "doc_id", "left_anti").select("x"))
     return co_train(views, y, _summed(pool)), words, every
 
 
 def _measure(words: Words | None = None):
-    """Both views of a document as doubles: the text view, the places of the ones for language and source, the length."""
+    """Both views of a document, with its label if its words were counted under one, as doubles: the text view, the places of the ones for language and source, the length."""
 
     @F.pandas_udf("binary")
-    def measure(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, lang, source, n_chars in batches:
+    def measure(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, lang, source, n_chars, label in batches:
             packed = []
-            for t, row in zip(text, zip(_none(lang), _none(source), n_chars, strict=True), strict=True):
+            for t, y, row in zip(text, label, zip(_none(lang), _none(source), n_chars, strict=True), strict=True):
                 meta = meta_view(*row)
-                packed.append(np.array([*text_view(t, words), meta.index(1.0), meta.index(1.0, _LANGS), *meta[-2:]], float).tobytes())
+                packed.append(np.array([*text_view(t, words, None if pd.isna(y) else int(y)), meta.index(1.0), meta.index(1.0, _LANGS), *meta[-2:]], float).tobytes())
             yield pd.Series(packed, dtype=object)
         release(_codes)
 
@@ -396,13 +400,13 @@ def _none(values: pd.Series) -> list:
 SCORE = "struct<p_text: double, p_meta: double, score: double, kept: boolean>"
 
 
-def judged_rows(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+def judged_rows(docs: DataFrame, labels: DataFrame, *columns: str, labelled: int = LABELLED) -> DataFrame:
     """Two structs a row of ``docs``: ``row``, all its columns or those named, and ``judged``, its scores. No name of a column can clash.
 
     The columns named must hold the doc_id. Rows are written once with what was measured of them, and scored from that table.
     """
     row = F.struct(*(columns or "*"))
-    if (taught := train_and_measure(docs, labels, row)) is None:
+    if (taught := train_and_measure(docs, labels, row, labelled)) is None:
         unknown = F.lit(None).cast("double")
         return docs.select(row.alias("row"), F.struct(unknown.alias("p_text"), unknown.alias("p_meta"), unknown.alias("score"), F.lit(True).alias("kept")).alias("judged"))
     model, _, every = taught
@@ -416,21 +420,21 @@ def judged_rows(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
     return every.select("row", score("x").alias("judged"))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """``docs`` (doc_id, text, lang, source, n_chars) with a struct column ``quality_score``, which replaces one of that name.
 
     Its fields: p_text and p_meta, the calibrated views; score, their combination; kept (score >= THRESHOLD, so a tie is kept).
     Without enough labels of both kinds the numbers are null and every document is kept. Null columns and
     empty texts are measured as such. Rows are scored one by one, so repeats score alike.
     """
-    return judged_rows(docs, labels).select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "quality_score"), F.col("judged").alias("quality_score"))
+    return judged_rows(docs, labels, labelled=labelled).select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "quality_score"), F.col("judged").alias("quality_score"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """The rows of ``docs`` that ``score_quality`` keeps, with their own columns, whatever their names."""
-    return judged_rows(docs, labels).where("judged.kept").select("row.*")
+    return judged_rows(docs, labels, labelled=labelled).where("judged.kept").select("row.*")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
     """A row per document: doc_id, p_text, p_meta, score, kept."""
-    return judged_rows(docs, labels, "doc_id").select("row.doc_id", "judged.*")
+    return judged_rows(docs, labels, "doc_id", labelled=labelled).select("row.doc_id", "judged.*")

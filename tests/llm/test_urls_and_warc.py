@@ -3,11 +3,12 @@
 import hashlib
 import zlib
 from base64 import b32encode
+from urllib.parse import urldefrag, urljoin
 
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import warc
+from tidemark.llm import url_filter, warc
 from tidemark.llm.queries import URL_RULES
 from tidemark.llm.url_filter import Rule, filter_urls
 from tidemark.llm.workspace import Workspace
@@ -109,3 +110,18 @@ def test_a_cut_archive_is_an_error():
 
 def test_no_pages(spark):
     assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_targets_are_resolved_as_urljoin_does(spark):
+    bases = ["http://b.com", "http://b.com/", "http://b.com/p", "https://b.com/p/q", "http://b.com/p/q/", "http://b.com/i?a=1", "http://b.com/i/j?x=/y/../z", "http://b.com:80/a/b/c"]
+    targets = ["x", "./x", "../x", "../../x", "../../../x", "x/../y", "/x", "/x/./y/../z", "/..", "..", ".", "./", "../", "?a=2", "x?b=../c", "//o.org/k", "http://o.org/k/l", "#f", "x#f", "/x?q#f", "a/b/", "..x", "x..", "mailto:a@b", ""]
+    rows = [(b, t) for b in bases for t in targets]
+    got = spark.createDataFrame(rows, "base string, target string").select("base", "target", url_filter.absolute("target", "base").alias("url")).collect()
+    assert [(r.base, r.target, r.url) for r in got] == [(b, t, urldefrag(urljoin(b, t)).url) for b, t in rows]
+
+
+def test_blocks_reach_aliases_by_relative_links(spark):
+    page = lambda target: f'<link rel="canonical" href="{target}">'
+    pages = [(1, "http://m.org/p/q", page("../x")), (2, "http://m.org/x", page("//bad.net/k")), (3, "http://c.com/i?a=1", page("?a=2")), (4, "http://c.com/i?a=2", '<meta http-equiv="refresh" content="0; url=http://bad.net/z">'), (5, "http://c.com/?a=2", None)]
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), [url_filter.Rule("block", "net", "/")])
+    assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}

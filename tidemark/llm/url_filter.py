@@ -52,13 +52,31 @@ def alias_targets(html: Column) -> Column:
     return F.filter(F.transform(tags, target), lambda t: t != "")
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash, without its ``.`` and ``..`` segments."""
+    segments = F.split(path, "/")
+    up = lambda kept: F.when(F.size(kept) > 0, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+    step = lambda kept, s: F.when(s == ".", kept).when(s == "..", up(kept)).otherwise(F.concat(kept, F.array(s)))
+    kept = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"), step)
+    end = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, end), "/"))
+
+
 def absolute(target: str, base: str) -> Column:
-    """A target URL resolved against the page's."""
-    return F.expr(f"""CASE WHEN {target} RLIKE '^[A-Za-z][A-Za-z0-9+.-]*://' THEN {target}
-        WHEN startswith({target}, '//') THEN concat(regexp_extract({base}, '^([^:/?#]*:)', 1), {target})
-        WHEN startswith({target}, '/') THEN concat(regexp_extract({base}, '^([^:/?#]*://[^/?#]*)', 1), {target})
-        WHEN {base} RLIKE '^[^:/?#]*://[^/?#]*/' THEN concat(regexp_extract({base}, '^([^:/?#]*://[^/?#]*/(?:[^?#]*/)?)', 1), {target})
-        ELSE concat(regexp_extract({base}, '^([^:/?#]*://[^/?#]*)', 1), '/', {target}) END""")
+    """A target URL resolved against the page's as RFC 3986 says, without its fragment. One with a scheme is kept as it is."""
+    part = lambda url, pattern: F.regexp_extract(url, pattern, 1)
+    given, page = without_fragment(F.col(target)), without_fragment(F.col(base))
+    scheme, root, path = part(page, "^([^:/?#]*:)"), part(page, "^([^:/?#]*://[^/?#]*)"), part(page, "^[^:/?#]*://[^/?#]*([^?]*)")
+    asked, query = part(given, "^([^?]*)"), part(given, r"^[^?]*(\?.*)$")
+    folder = F.when(path == "", F.lit("/")).otherwise(part(path, "^(.*/)"))
+    merged = F.when(F.startswith(asked, F.lit("/")), asked).otherwise(F.concat(folder, asked))
+    return (
+        F.when(given.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), given)
+        .when(F.startswith(given, F.lit("//")), F.concat(scheme, given))
+        .when(given == "", page)
+        .when(asked == "", F.concat(root, path, query))
+        .otherwise(F.concat(root, without_dots(merged), query))
+    )
 
 
 def decide(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -87,7 +105,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     host, path = split_url("url")
     rows = pages.select("page_id", "url", "html", without_fragment(F.coalesce("url", F.lit(""))).alias("node"), host.alias("host"), path.alias("path"))
     aliases = rows.where("host <> ''").select("node", F.explode(alias_targets(F.col("html"))).alias("target"))
-    edges = ws.save(aliases.select(F.col("node").alias("src"), without_fragment(absolute("target", "node")).alias("dst")).where("src <> dst").distinct())
+    edges = ws.save(aliases.select(F.col("node").alias("src"), absolute("target", "node").alias("dst")).where("src <> dst").distinct())
     groups = ws.save(connected_components(edges, ws))
 
     judged = rows.select("node").union(groups.select("node")).distinct()

@@ -9,7 +9,7 @@ from tidemark.functions import dates as D
 from tidemark.functions import numbers as M
 from tidemark.functions import text as T
 from tidemark.operators import archive, health, jobs, lifecycle, reconcile
-from tidemark.plans.queries import _HISTORY_SQL, _JOBS_SQL, _RUNS_SQL, _SOURCES_SQL, _history, _jobs, _runs, _sources, now, query, table
+from tidemark.plans.queries import _HISTORY_SQL, _JOBS_SQL, _RUNS_SQL, _SOURCES_SQL, _VERDICTS_SQL, _history, _jobs, _runs, _sources, _verdicts, now, query, table
 from tidemark.sources import embedded_state, json_api, json_files
 
 # Functions of records
@@ -87,7 +87,8 @@ def file_listings(spark, sf_dir):
 @query("""
     SELECT 'c' || c_custkey AS external_id, 'https://h.org/_system/listings/c' || c_custkey || '/x' AS url, CAST(c_nationkey AS INT) + 1 AS rent, c_name || ', ' || c_mktsegment AS address_raw,
         CASE WHEN c_custkey % 3 = 0 THEN '4B' END AS unit_raw, CASE WHEN c_custkey % 2 = 0 THEN 'water, gas' ELSE 'none included' END AS utilities,
-        CASE WHEN c_custkey % 5 = 0 THEN 'no cats; dogs ok' ELSE 'dogs ok' END AS pets, DATE '2026-10-01' AS avail_structured_date, 'one' || chr(10) || 'two' AS description
+        CASE WHEN c_custkey % 5 = 0 THEN 'no cats; dogs ok' ELSE 'dogs ok' END AS pets, DATE '2026-10-01' AS avail_structured_date, 'one' || chr(10) || 'two' AS description,
+        CASE WHEN c_custkey % 2 = 0 THEN 'https://h.org/img/' || c_custkey || '|https://x.org/' || c_custkey ELSE '' END AS photos
     FROM customer WHERE c_custkey % 11 <> 0""")
 def api_listings(spark, sf_dir):
     fields = """named_struct('listingID', concat('c', c_custkey), 'url', 'x', 'isActive', if(c_custkey % 11 = 0, '0', '1'), 'rent', concat(c_nationkey + 1, '.00'),
@@ -95,14 +96,16 @@ def api_listings(spark, sf_dir):
         'noUtilitiesIncluded', '1', 'acceptCats', if(c_custkey % 5 = 0, '0', null), 'acceptDogs', '1', 'dateAvailable', '2026-10-01', 'description', 'one<br/>two')"""
     made = F.to_json(F.struct(F.collect_list(F.expr(fields)).alias("listings")))
     pages = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 50").alias("page")).agg(made.cast("binary").alias("body")).withColumn("fetch_id", F.col("page"))
-    photos = spark.createDataFrame([], "listing string, photos array<string>")
-    records = json_api.normalize(json_api.api_records(pages), photos, "https://h.org/", "api")
-    return records.select("external_id", "url", "rent", "address_raw", "unit_raw", "utilities", "pets", "avail_structured_date", "description")
+    images = "named_struct('images', array(named_struct('url', concat('/img/', c_custkey)), named_struct('url', ''), named_struct('url', concat('https://x.org/', c_custkey))))"
+    details = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.expr("concat('c', c_custkey)").alias("listing"), F.to_json(F.expr(images)).cast("binary").alias("body"))
+    records = json_api.normalize(json_api.api_records(pages), json_api.detail_photos(details, "https://h.org/"), "https://h.org/", "api")
+    return records.select("external_id", "url", "rent", "address_raw", "unit_raw", "utilities", "pets", "avail_structured_date", "description", F.concat_ws("|", "photos").alias("photos"))
 
 
 @query("""
     SELECT 'c' || c_custkey AS external_id, c_name || ' & "co"' AS title, CAST(c_nationkey AS INT) * 100 AS rent, CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE c_nationkey END::DOUBLE AS beds,
-        DATE '2025-06-01' AS avail_structured_date, c_mktsegment || ' St, Town, VT 05401' AS address_raw, 'Heat|Lift' AS amenities FROM customer""")
+        DATE '2025-06-01' AS avail_structured_date, c_mktsegment || ' St, Town, VT 05401' AS address_raw, 'Heat|Lift' AS amenities,
+        CASE WHEN c_custkey % 3 = 0 THEN 'https://h.org/t?a=1&k=' || c_custkey || '|https://v.org/' || c_custkey ELSE '' END AS photos FROM customer""")
 def embedded_listings(spark, sf_dir):
     pair = lambda k, v: F.struct(F.lit(k).alias("Key"), v.alias("Value"))
     record = F.array(
@@ -120,10 +123,19 @@ def embedded_listings(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     listings = customer.groupBy(F.expr("c_custkey div 50").alias("fetch_id")).agg(page(F.struct(F.struct(F.collect_list(record).alias("Listings")).alias("ContentViewModel"))).alias("body"))
     details = customer.select(F.expr("concat('c', c_custkey)").alias("listing"), page(F.struct(F.array(pair("rentalFeaturesList", F.lit("<ul><li>Heat</li><li> <b>Lift</b></li><li></li></ul>"))).alias("HtmlContainer"))).alias("body"))
-    photos = spark.createDataFrame([], "listing string, photos array<string>")
+    image = lambda video, url, thumb: F.struct(F.lit(video).alias("IsVideo"), url.alias("VideoUrl"), thumb.alias("LargeThumbUrl"))
+    images = F.array(image(False, F.lit("no"), F.expr("concat('https://h.org/t?a=1&k=', c_custkey)")), image(True, F.expr("concat('https://v.org/', c_custkey)"), F.lit("no")), image(False, F.lit("no"), F.lit("")))
+    photos = embedded_state.image_urls(customer.where("c_custkey % 3 = 0").select(F.expr("concat('c', c_custkey)").alias("listing"), page(F.struct(images.alias("Images"))).alias("body")))
     records = embedded_state.search_records(listings.withColumn("url", F.lit("https://h.org/search")))
     got = embedded_state.normalize(records, embedded_state.detail_fields(details), photos, "https://h.org/", "pages")
-    return got.select("external_id", "title", "rent", "beds", "avail_structured_date", "address_raw", F.concat_ws("|", "amenities").alias("amenities"))
+    return got.select("external_id", "title", "rent", "beds", "avail_structured_date", "address_raw", F.concat_ws("|", "amenities").alias("amenities"), F.concat_ws("|", "photos").alias("photos"))
+
+
+@query("""
+    SELECT c_custkey, c_name || ' caf' || chr(233) || ' ' || chr(8217) || c_mktsegment || chr(8230) || ' ' || chr(8212) || ' &lt; ' || chr(163) || c_nationkey || ' & Co' AS text FROM customer""")
+def html_entities(spark, sf_dir):
+    html = F.concat(F.lit("<p>"), "c_name", F.lit(" caf&eacute; &#8217;"), "c_mktsegment", F.lit("&hellip; &#x2014; &amp;lt; &pound;"), "c_nationkey", F.lit(" &amp; Co</p>"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.html_to_text(html).alias("text"))
 
 
 @query("""
@@ -174,6 +186,16 @@ def runs_of_source(spark, sf_dir):
     return health.source_runs(_runs(spark, sf_dir), "view", 50)
 
 
+@query(_VERDICTS_SQL + """ SELECT run, run % 1000 AS job_id, 'ok' AS status, healthy, CASE WHEN NOT healthy THEN concat_ws('; ', CASE WHEN n < 2 THEN 'count ' || n || ' below expected minimum 2' END,
+        CASE WHEN n > 40 THEN 'count ' || n || ' above expected maximum 40' END, CASE WHEN recent_median >= 4 AND n < 0.5 * recent_median THEN 'sudden drop: ' || n || ' vs recent median ' || format('{:g}', recent_median) END) END AS health_notes,
+        n AS listings_found, NULL::VARCHAR AS error, strftime(make_timestamp(run * 10800000000), '%Y-%m-%dT%H:%M:%SZ') AS started_at, strftime(make_timestamp(run * 10800000000 + 90000000), '%Y-%m-%dT%H:%M:%SZ') AS finished_at
+    FROM fold WHERE source_id = 'view' ORDER BY run DESC LIMIT 50""")
+def run_reports(spark, sf_dir):
+    judged = _verdicts(spark, sf_dir).withColumns({"job_id": F.col("run") % 1000, "status": F.lit("ok"), "error": F.lit(None).cast("string"), "health_notes": F.col("problems"), "listings_found": F.col("n")})
+    started = F.timestamp_micros(F.col("run") * 10_800_000_000).cast("timestamp_ntz")
+    return health.run_reports(judged.withColumns({"started_at": started, "finished_at": started + F.expr("interval 90 seconds")}), "view", 50)
+
+
 @query(_HISTORY_SQL + """,
     changes AS (SELECT run, event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 AS changed FROM e WHERE event_type IN ('view', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY run, event_id)),
     made AS (SELECT run, count(*) FILTER (WHERE changed) AS n FROM changes GROUP BY run),

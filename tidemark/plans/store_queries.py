@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import archive
-from tidemark.plans.queries import _HISTORY_SQL, query, table
+from tidemark.plans.queries import _HISTORY_SQL, _VERDICTS_SQL, _runs, query, table
 from tidemark.sources import json_api, paged
 from tidemark.stores.blobs import BlobStore
 from tidemark.stores.commits import shared_folder
 from tidemark.stores.listings import ListingStore
 from tidemark.streaming.ingest import Ingest
+from tidemark.streaming.lifecycle import ROCKSDB
+from tidemark.streaming.state import VERDICTS, stream_verdicts
 
 
 @query("""
@@ -80,3 +82,21 @@ def streamed_ingest(spark, sf_dir):
         ingest.follow(f"{home}-landed", f"{home}/checkpoint").awaitTermination()
     changed = ingest.listings.snapshots().groupBy("source_id", "listing").agg(F.count("*").alias("snapshots"))
     return ingest.listings.current().join(changed, ["source_id", "listing"])
+
+
+@query(_VERDICTS_SQL + " SELECT source_id, run, n, recent_median, healthy FROM fold")
+def streamed_verdicts(spark, sf_dir):
+    """The verdicts of ``run_health``, from a stream that gets the runs in two deliveries."""
+    runs = _runs(spark, sf_dir).select("source_id", "run", F.expr("if(run % 7 = 0, null, listings)").alias("n"), F.lit(2).alias("expected_min"), F.lit(40).alias("expected_max"), F.lit(True).alias("complete_feed"))
+    home, provider = shared_folder(spark, "verdicts"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        for early in (True, False):
+            middle = runs.agg(F.expr("(min(run) + max(run)) div 2").alias("middle")).first()["middle"]
+            runs.where((F.col("run") < middle) == early).write.mode("append").parquet(f"{home}/runs")
+            judged = stream_verdicts(spark.readStream.schema(runs.schema).parquet(f"{home}/runs"))
+            judged.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start(f"{home}/verdicts").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(VERDICTS).parquet(f"{home}/verdicts").select("source_id", "run", "n", "recent_median", "healthy")

@@ -228,13 +228,22 @@ def retention_keep(spark, sf_dir):
 # Functions
 
 
-_TEXT_SQL = r"""
-    WITH a AS (SELECT page_id, html, regexp_replace(html, '(?i)<br\s*/?>|</p>|</li>', chr(10), 'g') AS t FROM pages),
-    b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<li[^>]*>', '- ', 'g'), '<[^>]+>', '', 'g') AS t FROM a),
-    c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)),
-        '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM b),
-    d AS (SELECT page_id, regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '[ \t\x{00a0}]+', ' ', 'g') AS t FROM c),
-    e AS (SELECT page_id, regexp_replace(t, '\n\s*\n\s*\n+', chr(10) || chr(10), 'g') AS t FROM d)"""
+def _plain_sql(text: str) -> str:
+    """SQL that puts characters for the entities of the test pages, the ampersand last."""
+    for entity, character in T.COMMON_ENTITIES:
+        text = f"replace({text}, '{entity}', chr({ord(character)}))"
+    return text
+
+
+_TEXT_SQL = rf"""
+    WITH tokens AS (SELECT page_id, regexp_extract_all(html, '<[^>]+>|[^<]+|<') AS found FROM pages),
+    shown AS (SELECT page_id, array_to_string(list_transform(found, lambda x: CASE
+        WHEN x[1] <> '<' OR length(x) = 1 THEN x WHEN lower(x) IN ('</p>', '</li>') OR regexp_matches(lower(x), '^<br\s*/?>$') THEN chr(10)
+        WHEN starts_with(lower(x), '<li') THEN '- ' ELSE '' END), '') AS t FROM tokens),
+    lined AS (SELECT page_id, list_transform(string_split(replace({_plain_sql("t")}, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '[ \t\x{{00a0}}]+', ' ', 'g')) AS l FROM shown),
+    marked AS (SELECT page_id, l, list_transform(l, lambda x: regexp_full_match(x, '\s*')) AS bare FROM lined),
+    single AS (SELECT page_id, list_filter(list_transform(l, lambda x, i: CASE WHEN bare[i] AND i > 1 AND bare[i - 1] THEN NULL WHEN bare[i] AND coalesce(bare[i + 1], false) THEN '' ELSE x END), lambda x: x IS NOT NULL) AS l FROM marked),
+    e AS (SELECT page_id, array_to_string(l, chr(10)) AS t FROM single)"""
 
 
 @query(_TEXT_SQL + r" SELECT page_id, nullif(regexp_replace(t, '^\s+|\s+$', '', 'g'), '') AS text FROM e")

@@ -46,7 +46,7 @@ class _Landed:
     def pages(self) -> list[int]:
         filesystem, root = self._fs()
         found = filesystem.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        return sorted(int(m[1]) for f in found if f.type == pafs.FileType.Directory and (m := re.fullmatch(r"page=(\d+)", f.base_name)))
+        return sorted(int(m[1]) for f in found if f.type == pafs.FileType.Directory and (m := re.match(r"page=(\d+)$", f.base_name)))
 
     def body(self, page: int) -> dict:
         """The response of a page, which must have ``listings``."""

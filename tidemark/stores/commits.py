@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        if not re.match(r"local(\[.*\])?$", sc.master):
             raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; {sc.master} needs one")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         named = sc.getCheckpointDir()

@@ -134,7 +134,7 @@ def test_ingest_from_end_to_end(spark):
         runs.append(("s", run, "ok", True, 1, None))
     table = spark.createDataFrame(runs, "source_id string, run long, status string, complete_feed boolean, expected_min int, expected_max int")
     views = ingest.derive(observations, table)
-    assert [(r["run"], r["healthy"], r["problems"]) for r in views.runs.orderBy("run").collect()] == [(1, True, None), (2, True, None), (3, False, "sudden drop"), (4, True, None), (5, True, None), (6, True, None)]
+    assert [(r["run"], r["healthy"], r["problems"]) for r in views.runs.orderBy("run").collect()] == [(1, True, None), (2, True, None), (3, False, "sudden drop: 2 vs recent median 9.5"), (4, True, None), (5, True, None), (6, True, None)]
     assert [(r["run"], r["rent"]) for r in views.snapshots.where("external_id = '1'").orderBy("run").collect()] == [(1, 1500), (2, 1600)]
     assert [(r["run"], r["to_status"]) for r in views.events.where("listing = '9'").orderBy("run").collect()] == [(1, "available"), (5, "gone"), (6, "relisted")]
     assert {r["status"] for r in views.listings.where("listing <> '9'").collect()} == {"available"}

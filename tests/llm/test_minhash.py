@@ -119,3 +119,31 @@ def test_linked_groups():
     for a, b in ((0, 3), (3, 5), (1, 2)):
         linked[a, b] = linked[b, a] = True
     assert [g.tolist() for g in linked_groups(linked)] == [[0, 3, 5], [1, 2]]
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_large_groups_are_connected_by_two_looks(spark, monkeypatch, alone):
+    """Two groups of more than a block, in clusters of one kind of set each, the smallest member with its kind or without; one group of one kind."""
+    monkeypatch.setattr(M, "_BLOCK", 8)
+    rng = random.Random(5)
+    kind = {k: 0 if alone and k % 100 == 0 else rng.choice([1, 1, 1, 1, 2, 2, 3 + k]) for k in [*range(1, 60), *range(100, 140)]} | {k: 1 for k in range(200, 300)}
+    kind[0] = 0 if alone else 1
+    members = spark.createDataFrame([(k // 100, k) for k in kind], "near long, rep long")
+    sets = spark.createDataFrame([(k, [10 * kind[k], 10 * kind[k] + 1]) for k in kind], "rep long, shingles array<long>")
+    ws = M.Workspace(spark, "looks")
+    links = M.connecting_links(members, "near", sets, "shingles", M.as_sets, lambda shared, a, b: shared >= 2, ws)
+    got = {r["node"]: r["component"] for r in M.connected_components(links, ws).collect()}
+    smallest = {}
+    for k in sorted(kind):
+        smallest.setdefault((k // 100, kind[k]), k)
+    assert {k: got.get(k, k) for k in kind} == {k: smallest[k // 100, kind[k]] for k in kind}
+
+
+def test_copies_are_sent_once_to_each_look(spark, monkeypatch):
+    monkeypatch.setattr(M, "_BLOCK", 8)
+    sized = spark.createDataFrame([(1, k, 800, 0) for k in range(800)], "of long, rep long, n long, hub long")
+    first = M.first_look(sized).groupBy("rep").count().collect()
+    assert all(r["count"] == (100 if r["rep"] == 0 else 1) for r in first)
+    linked = spark.createDataFrame([(k, 0) for k in range(790)], "node long, component long")
+    second = M.second_look(sized, linked).groupBy("rep").count().collect()
+    assert {r["rep"] // 790: r["count"] for r in second} == {0: 2, 1: 101}  # 99 blocks of the component, 2 of the others

@@ -14,8 +14,9 @@
 4. Inside each component full sets are compared, which confirms the links, again kept as a spanning forest;
    their components are the result.
 
-Lists and components are dealt out by pairs of blocks, so a group that a third of all documents
-belong to is many tasks of bounded size. t is the largest threshold that a pair at the wanted
+Lists and components of more than a block meet their smallest member first, then only pairs that this did
+not connect are dealt out, by pairs of blocks: a group that a third of all documents
+belong to is many tasks of bounded size, and copies of one text are sent twice, not once a block. t is the largest threshold that a pair at the wanted
 similarity misses with a probability of at most ``MISS``.
 """
 
@@ -150,12 +151,53 @@ def coordinate_values(signatures: pa.Array) -> np.ndarray:
     return values.astype(np.int64) | (np.arange(values.shape[1], dtype=np.int64) << 32)
 
 
-def deal(members: DataFrame, group: str) -> DataFrame:
-    """Members of groups (group, rep) with the pair of blocks (one, two) to be compared; each member once per other block."""
-    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select(F.col(group).alias("member_of"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep")
+DEALT = ("member_of", "one", "two", "block", "rep")
+
+
+def first_look(sized: DataFrame) -> DataFrame:
+    """Members (of, rep, n, hub) of groups as dealt for a first look: groups of one block whole, larger ones as each member with the hub.
+
+    Spokes are dealt to ``ceil(n / _BLOCK)`` groups, to each of which the hub goes too, so a member is sent once.
+    """
+    parts, large = F.ceil(F.col("n") / _BLOCK).cast("int"), F.col("n") > _BLOCK
+    part = F.when(large, 1 + F.pmod(F.xxhash64("rep"), parts)).otherwise(0).cast("int")
+    once = sized.where(~large | (F.col("rep") != F.col("hub"))).select("of", F.lit(0).alias("one"), part.alias("two"), part.alias("block"), "rep")
+    hubs = sized.where(large & (F.col("rep") == F.col("hub"))).distinct()
+    hubs = hubs.select("of", F.lit(0).alias("one"), F.explode(F.sequence(F.lit(1), parts)).alias("two"), F.lit(0).alias("block"), "rep")
+    return once.union(hubs).toDF(*DEALT)
+
+
+def second_look(large: DataFrame, linked: DataFrame) -> DataFrame:
+    """What a first look left open in groups (of, rep, n) of more than a block, given the components (node, component) it found.
+
+    The largest component of a group is connected already: its members meet the others only, which meet all. A group of one component is done.
+    """
+    named = large.join(linked.withColumnsRenamed({"node": "rep", "component": "found"}), "rep", "left").withColumn("found", F.coalesce("found", "rep"))
+    counts = named.groupBy("of", "found").agg(F.count("*").alias("m"))
+    most = counts.groupBy("of").agg(F.max(F.struct("m", "found")).alias("most"))
+    open_groups = named.join(most, "of").where("most.m < n")
+    a, c = F.ceil(F.col("most.m") / _BLOCK).cast("int"), F.ceil((F.col("n") - F.col("most.m")) / _BLOCK).cast("int")
+    inside, place = F.col("found") == F.col("most.found"), F.xxhash64("rep")
+    block = F.when(inside, F.pmod(place, a)).otherwise(a + F.pmod(place, c)).cast("int")
+    other = F.explode(F.sequence(F.when(inside, a).otherwise(0), a + c - 1))
+    dealt = open_groups.select("of", "rep", block.alias("block"), other.alias("other"))
+    return dealt.select("of", F.least("block", "other"), F.greatest("block", "other"), "block", "rep").toDF(*DEALT)
+
+
+def connecting_links(members: DataFrame, group: str, sets: DataFrame, column: str, read: Callable[[pa.Array], list[np.ndarray]], enough: Callable[..., np.ndarray], ws: Workspace) -> DataFrame:
+    """Links (src, dst) that connect whatever all links inside the groups of ``members`` (group, rep) connect.
+
+    A group of up to ``_BLOCK`` members is compared whole. Of a larger one every member meets its smallest first, and only
+    pairs that do not both belong to the largest component found so far are compared afterwards. What is sent then grows with
+    the members, and with the product of those outside the largest component and the blocks of all.
+    """
+    sizes = members.groupBy(group).agg(F.count("*").alias("n"), F.min("rep").alias("hub"))
+    sized = members.join(sizes, group).select(F.col(group).alias("of"), "rep", "n", "hub")
+    first = ws.save(overlap_forest(first_look(sized), sets, column, read, enough))
+    if sizes.where(F.col("n") > _BLOCK).isEmpty():
+        return first
+    rest = second_look(sized.where(F.col("n") > _BLOCK), connected_components(first, ws))
+    return first.union(ws.save(overlap_forest(rest, sets, column, read, enough)))
 
 
 def overlap_forest(dealt: DataFrame, sets: DataFrame, column: str, read: Callable[[pa.Array], list[np.ndarray]], enough: Callable[..., np.ndarray]) -> DataFrame:
@@ -243,14 +285,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction = Frac
     linkable = sketches.where(can_link)
     classes = ws.save(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
 
-    lists = deal(prefix_postings(classes, ws, threshold), "list_id")
-    candidates = ws.save(overlap_forest(lists, classes, "signature", lambda c: list(coordinate_values(c)), lambda shared, a, b: shared >= threshold))
+    lists = prefix_postings(classes, ws, threshold)
+    candidates = connecting_links(lists, "list_id", classes, "signature", lambda c: list(coordinate_values(c)), lambda shared, a, b: shared >= threshold, ws)
     close = ws.save(connected_components(candidates, ws))
 
     wanted = close.select(F.col("node").alias("doc_id"))
     sets = ws.save(full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), words).withColumnRenamed("doc_id", "rep"))
-    members = deal(close.select(F.col("component").alias("near"), F.col("node").alias("rep")), "near")
-    links = ws.save(overlap_forest(members, sets, "shingles", as_sets, lambda shared, a, b: shared * d >= (a + b - shared) * n))
+    members = close.select(F.col("component").alias("near"), F.col("node").alias("rep"))
+    links = connecting_links(members, "near", sets, "shingles", as_sets, lambda shared, a, b: shared * d >= (a + b - shared) * n, ws)
     component = ws.save(connected_components(links, ws))
 
     named = classes.select("set_key", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("linked"))

@@ -125,3 +125,18 @@ def test_blocks_reach_aliases_by_relative_links(spark):
     pages = [(1, "http://m.org/p/q", page("../x")), (2, "http://m.org/x", page("//bad.net/k")), (3, "http://c.com/i?a=1", page("?a=2")), (4, "http://c.com/i?a=2", '<meta http-equiv="refresh" content="0; url=http://bad.net/z">'), (5, "http://c.com/?a=2", None)]
     got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), [url_filter.Rule("block", "net", "/")])
     assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_case_of_scheme_and_host_makes_no_other_url(spark):
+    pages = [
+        (1, "http://www.b.org/fr", '<link rel="canonical" href="HTTP://A.Net/x#top">'),
+        (2, "http://www.b.org/y", '<link rel="canonical" href="HTTPS://Me:Pw@C.example/Q?R=S">'),
+        (3, "http://a.net/x", None),
+        (4, "https://Me:Pw@c.example/Q?R=S", '<link rel="canonical" href="http://bad.net/">'),
+        (5, "HTTP://WWW.b.ORG/y", ""),
+        (6, "http://www.b.org/Y", ""),
+    ]
+    rows = {r["page_id"]: r for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), [Rule("block", "net", "/")]).collect()}
+    assert {k: r["verdict"] for k, r in rows.items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+    assert rows[1]["alias_group"] == rows[3]["alias_group"] == "http://a.net/x"
+    assert rows[2]["alias_group"] == rows[4]["alias_group"] == rows[5]["alias_group"] == "http://bad.net/" and rows[6]["alias_group"] is None

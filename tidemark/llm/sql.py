@@ -19,12 +19,15 @@ WARC = """WITH
     SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
         CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM r"""
 
+_NODE = r"""(SELECT translate(m.scheme, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || m.who || translate(m.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(m.u, length(m.scheme || m.who || m.host) + 1)
+        FROM (SELECT u, regexp_extract(u, '^([^:/?#]*://)', 1) AS scheme, regexp_extract(u, '^[^:/?#]*://([^/?#]*@)', 1) AS who, regexp_extract(u, '^[^:/?#]*://(?:[^/?#]*@)?([^/?#]*)', 1) AS host FROM (SELECT regexp_extract(%s, '^([^#]*)', 1) AS u)) m)"""
+
 URLS = r"""WITH RECURSIVE
-    p AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, regexp_extract(coalesce(url, ''), '^([^#]*)', 1) AS node FROM pages),
+    p AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, """ + _NODE % "coalesce(url, '')" + r""" AS node FROM pages),
     tags AS (SELECT node, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE rest <> ''),
     named AS (SELECT node, CASE WHEN regexp_matches(tag, '(?i)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
         WHEN regexp_matches(tag, '(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1) ELSE '' END AS target FROM tags),
-    e AS (SELECT DISTINCT node AS a, regexp_extract(replace(target, '&amp;', '&'), '^([^#]*)', 1) AS b FROM named WHERE contains(target, '://')),
+    e AS (SELECT DISTINCT node AS a, """ + _NODE % "replace(target, '&amp;', '&')" + r""" AS b FROM named WHERE contains(target, '://')),
     links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     nodes AS (SELECT DISTINCT a AS id FROM links),""" + _CLOSURE + r""",
     every AS (SELECT node FROM p UNION SELECT id FROM nodes),

@@ -27,10 +27,14 @@ class Rule(NamedTuple):
     path: str
 
 
+def lower_ascii(text: Column) -> Column:
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def split_url(url: str) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL column; both empty if null or without ``://``."""
     rest = F.expr(f"if(instr({url}, '://') > 0, substr({url}, instr({url}, '://') + 3), '')")
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), string.ascii_uppercase, string.ascii_lowercase)
+    host = lower_ascii(F.regexp_extract(rest, r"^([^/?#]*)", 1))
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
@@ -38,6 +42,14 @@ def without_fragment(url: Column) -> Column:
     return F.regexp_extract(url, r"^([^#]*)", 1)
 
 
+def as_node(url: Column) -> Column:
+    """A URL as a node of the graph of aliases: without its fragment, scheme and host in lower case, as they do not tell URLs apart."""
+    url = without_fragment(url)
+    scheme, user, host = (F.regexp_extract(url, r"^([^:/?#]*://)([^/?#]*@)?([^/?#]*)", k) for k in (1, 2, 3))
+    rest = F.substring(url, F.length(scheme) + F.length(user) + F.length(host) + 1, F.length(url))
+    return F.concat(lower_ascii(scheme), user, lower_ascii(host), rest)
+
+
 def alias_targets(html: Column) -> Column:
     """Targets of the canonical links and redirects in a page, as written but for ``&amp;``."""
     tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
@@ -98,14 +110,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Judges every row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, alias_group.
 
     Null URLs and those without ``://`` have an empty host and path, fit no rule and are allowed; a null html
-    has no aliases. alias_group is the smallest URL of the component, null for a URL without
-    aliases. Repeated rows are judged alike.
+    has no aliases. URLs that differ in the case of scheme or host, or in their fragment, are one. alias_group is the smallest
+    URL of the component, so written, null for a URL without aliases. Repeated rows are judged alike.
     """
     ws = Workspace(pages.sparkSession, "urls")
     host, path = split_url("url")
-    rows = pages.select("page_id", "url", "html", without_fragment(F.coalesce("url", F.lit(""))).alias("node"), host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", "url", "html", as_node(F.coalesce("url", F.lit(""))).alias("node"), host.alias("host"), path.alias("path"))
     aliases = rows.where("host <> ''").select("node", F.explode(alias_targets(F.col("html"))).alias("target"))
-    edges = ws.save(aliases.select(F.col("node").alias("src"), absolute("target", "node").alias("dst")).where("src <> dst").distinct())
+    edges = ws.save(aliases.select(F.col("node").alias("src"), as_node(absolute("target", "node")).alias("dst")).where("src <> dst").distinct())
     groups = ws.save(connected_components(edges, ws))
 
     judged = rows.select("node").union(groups.select("node")).distinct()

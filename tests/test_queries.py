@@ -40,3 +40,12 @@ def test_query_equals_its_sql(spark, connection, name):
     columns = [d[0] for d in wanted.description]
     assert sorted(columns) == sorted(got.columns)
     assert lines(got.columns, got.collect()) == lines(columns, wanted.fetchall())
+
+
+def test_text_of_entities_without_semicolon_equals_its_sql(spark, tmp_path):
+    pages = [(1, "<p>a&&amp{b}&ampp</p>"), (2, "&eacute;&lt &amp;lt;&nbsp;&#39;"), (3, "<li>&amp;amp;</li>\u00a0"), (4, "&nbsp;"), (5, None)]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+        wanted = con.execute(Q.ORACLE_SQL["html_to_text"]).fetchall()
+    assert sorted(tuple(r) for r in Q.QUERIES["html_to_text"](spark, str(tmp_path)).collect()) == sorted(wanted)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.ingest import derive
 from tidemark.sources import json_api, paged
-from tidemark.streaming.ingest import Ingest
+from tidemark.stores.commits import Store
+from tidemark.streaming.ingest import Ingest, feed_records, landed_fetches
 
 
 def response(page, total, n=3):
@@ -113,3 +114,26 @@ def test_crashes_between_stores_change_nothing(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, views.listings.select(COLUMNS).collect())) == got[3]
     key = ("source_id", "external_id", "run", "seq", "content_hash")
     assert sorted((tuple(r) for r in views.snapshots.select(*key).collect()), key=str) == got[4]
+
+
+def test_records_are_dealt_out_and_never_sent_through_the_driver(spark, tmp_path, monkeypatch):
+    def final(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    for run in (1, 2):
+        land(tmp_path / "landed", run)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "landed"))
+    assert "Broadcast" not in final(feed_records(landed_fetches(files)))
+    joins, write = [], Store.write
+
+    def watched(self, rows, *by):
+        if by == ("bucket",) or "fresh" in rows.columns:
+            joins.append(final(rows).count("SortMergeJoin"))
+        return write(self, rows, *by)
+
+    monkeypatch.setattr(Store, "write", watched)
+    ingest = Ingest(spark, str(tmp_path / "home"), buckets=3)
+    ingest.batch(files, 0)
+    assert len(joins) == 2 and all(joins)  # the sightings with their runs, and the states that stay
+    assert "Broadcast" not in final(ingest.listings.current())

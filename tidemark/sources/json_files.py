@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,15 +44,16 @@ def unknown_fields(record: str, keep_extra: bool) -> Column:
 
 
 @register("json_file")
-def file_records(fetches: DataFrame, keep_extra: bool = False) -> DataFrame:
+def file_records(fetches: DataFrame, keep_extra: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Normalized records of files (fetch_id, body): the schema RECORD, with seq.
 
     Fields that are not known go to ``extra``. A field of that name is itself known and so its content is
-    lost, as in the format's first reader; ``keep_extra`` keeps it. Missing arrays are empty.
+    lost, as in the format's first reader; ``keep_extra`` keeps it. Missing arrays are empty. ``keep`` names columns of
+    ``fetches`` that come first, as they are.
     """
     items = array_items(fetches)
     arrays = {c: F.coalesce(field("record", c, "array<string>"), F.array().cast("array<string>")) for c in ("amenities", "photos")}
     columns = {c: field("record", c) for c in _TEXT}
     columns |= {"rent": field("record", "rent", "int"), "sqft": field("record", "sqft", "int"), "beds": field("record", "beds", "double"), "baths": field("record", "baths", "double")}
     columns |= arrays | {"avail_structured_date": parse_date(field("record", "avail_structured_date")), "extra": unknown_fields("record", keep_extra)}
-    return items.select("seq", *(columns[c].alias(c) for c in CONTENT), F.col("fetch_id").cast("long").alias("raw_fetch_id"))
+    return items.select(*keep, "seq", *(columns[c].alias(c) for c in CONTENT), F.col("fetch_id").cast("long").alias("raw_fetch_id"))

@@ -32,6 +32,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows whose join deals out both sides by key. A side that grows with the input may be small when compressed, and would else go through the driver whole."""
+    return rows.hint("merge")
+
+
 class Folder:
     """A folder of the file system that its URI names, as the driver sees it."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.lifecycle import GONE_AFTER
-from tidemark.stores.commits import Store, done, shared_folder
+from tidemark.stores.commits import Store, dealt, done, shared_folder
 
 BUCKETS = 64
 STATE = "source_id string, listing string, status string, number long, first_seen long, last_seen long, seq long, content_hash string"
@@ -51,9 +51,9 @@ class ListingStore(Store):
         """State of each listing after the last run, as ``lifecycle.current_listings`` gives it."""
         ledger = self.ledger()
         totals = ledger.groupBy("source_id").agg(F.max("number").alias("total"))
-        missed = self.state().join(totals, "source_id").withColumn("misses", F.least(F.col("total") - F.col("number"), F.lit(self.threshold).cast("long")))
+        missed = self.state().join(dealt(totals), "source_id").withColumn("misses", F.least(F.col("total") - F.col("number"), F.lit(self.threshold).cast("long")))
         counting = ledger.where("counts").select("source_id", F.col("number").alias("nth"), "run")
-        dated = missed.withColumn("nth", F.col("number") + F.col("misses")).join(counting, ["source_id", "nth"], "left")
+        dated = missed.withColumn("nth", F.col("number") + F.col("misses")).join(dealt(counting), ["source_id", "nth"], "left")
         gone = F.col("misses") >= self.threshold
         return dated.select(*KEY, F.when(gone, "gone").otherwise(F.col("status")).alias("status"), "misses", "first_seen", "last_seen", F.when(F.col("misses") > 0, F.col("run")).otherwise(F.col("last_seen")).alias("last_verified"))
 
@@ -73,7 +73,7 @@ class ListingStore(Store):
             key = F.struct(F.col("fresh"), "run", "seq")
             state = merged.groupBy(*KEY).agg(F.max_by(F.struct("status", "number", F.col("run").alias("last_seen"), "seq", "content_hash"), key).alias("last"), F.min("first_seen").alias("first_seen"))
             state = state.select(*KEY, "last.status", "last.number", "first_seen", "last.last_seen", "last.seq", "last.content_hash")
-            stay = self._state(content, touched).join(state.select(*KEY), KEY, "left_anti")
+            stay = self._state(content, touched).join(dealt(state.select(*KEY)), KEY, "left_anti")
             whole = state.unionByName(stay).withColumn("bucket", self._bucket())
             names = {
                 "state": self.write(whole.repartition("bucket"), "bucket"),
@@ -99,10 +99,10 @@ class ListingStore(Store):
         """What was kept of the sighted listings and their new sightings, each with the status after it, written for the uses it has; and their buckets."""
         spark = self.spark
         scratch = Store(spark, shared_folder(spark, "listings"))
-        seen = sightings.join(ledger, ["source_id", "run"]).select(*KEY, "run", "seq", F.coalesce("pending", F.lit(False)).alias("pending"), "content_hash", "number", (F.col("number") - F.col("counts").cast("long")).alias("before"))
+        seen = sightings.join(dealt(ledger), ["source_id", "run"]).select(*KEY, "run", "seq", F.coalesce("pending", F.lit(False)).alias("pending"), "content_hash", "number", (F.col("number") - F.col("counts").cast("long")).alias("before"))
         seen = seen.withColumns({"first_seen": F.col("run"), "fresh": F.lit(True), "was": F.lit(None).cast("string")})
         touched = sorted(r["b"] for r in seen.select(self._bucket().alias("b")).distinct().collect())  # at most as many as there are buckets
-        kept = self._state(content, touched).join(seen.select(*KEY).distinct(), KEY, "left_semi")
+        kept = self._state(content, touched).join(dealt(seen.select(*KEY).distinct()), KEY, "left_semi")
         kept = kept.select(*KEY, F.col("last_seen").alias("run"), "seq", F.lit(False).alias("pending"), "content_hash", "number", F.col("number").alias("before"), "first_seen", F.lit(False).alias("fresh"), F.col("status").alias("was"))
         order = ["fresh", "run", "seq"]
         by_key = Window.partitionBy(*KEY).orderBy(*order)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,11 +43,9 @@ def landed_fetches(files: DataFrame) -> DataFrame:
 
 def feed_records(fetches: DataFrame) -> DataFrame:
     """Records of fetched feeds with their run, content_hash and ``bad``: the place of the first record of the run that has no URL."""
-    records = file_records(fetches).withColumn("content_hash", record_hash())
-    placed = fetches.select(F.col("fetch_id").alias("raw_fetch_id"), "source_id", "run").join(records, "raw_fetch_id")
+    records = file_records(fetches, keep=("source_id", "run")).withColumn("content_hash", record_hash())
     missing = F.when(F.coalesce("url", F.lit("")) == "", F.struct("seq", "external_id"))
-    bad = placed.groupBy("source_id", "run").agg(F.min(missing).alias("bad"))
-    return placed.join(bad, ["source_id", "run"])
+    return records.withColumn("bad", F.min(missing).over(Window.partitionBy("source_id", "run")))
 
 
 class Ingest:

@@ -125,15 +125,24 @@ def test_records_are_dealt_out_and_never_sent_through_the_driver(spark, tmp_path
         land(tmp_path / "landed", run)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / "landed"))
     assert "Broadcast" not in final(feed_records(landed_fetches(files)))
-    joins, write = [], Store.write
+    joins, write = {}, Store.write
 
     def watched(self, rows, *by):
         if by == ("bucket",) or "fresh" in rows.columns:
-            joins.append(final(rows).count("SortMergeJoin"))
+            joins[by] = final(rows).count("SortMergeJoin")
         return write(self, rows, *by)
 
     monkeypatch.setattr(Store, "write", watched)
     ingest = Ingest(spark, str(tmp_path / "home"), buckets=3)
-    ingest.batch(files, 0)
-    assert len(joins) == 2 and all(joins)  # the sightings with their runs, and the states that stay
+    for run in (1, 2):
+        ingest.batch(files.where(F.col("path").contains(f"run={run}/")), run)
+    assert len(joins) == 2 and all(joins.values())  # the sightings with their runs, and the states that stay
     assert "Broadcast" not in final(ingest.listings.current())
+
+
+def test_a_task_reads_many_pages(spark, tmp_path):
+    rows = [(p, response(p, 450, 1)) for p in range(1, 451)]
+    paged.land(spark.createDataFrame(rows, "page long, body string").coalesce(1), str(tmp_path))
+    read = paged.read_pages(spark, str(tmp_path))
+    assert sorted(r.page for r in read.select("page").collect()) == list(range(1, 451)) and read.rdd.getNumPartitions() == 150
+    assert [p.value for p in paged.planned(range(0))] == [[]] and [len(p.value) for p in paged.planned(range(100_000))] == [256] * 390 + [160]

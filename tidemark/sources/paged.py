@@ -1,8 +1,8 @@
 """Pages of a JSON API as a data source: ``spark.read.format("paged_json")`` and ``spark.readStream.format("paged_json")``.
 
 Whoever fetches an API lands each response as a folder ``page=<n>`` of files below one place, which hold its body. The source lists them, reads
-``pagination.total_pages`` of the first page that tells it, and plans a partition for each landed page up to there, so pages are read and
-parsed in parallel and those past the end are never opened. A batch read takes the pages that there are. A stream's offset is a page: it
+``pagination.total_pages`` of the first page that tells it, and plans partitions of landed pages up to there, so pages are read and
+parsed in parallel, without a task for each, and those past the end are never opened. A batch read takes the pages that there are. A stream's offset is a page: it
 goes on to the page before the first that is not landed yet, so that every page is read once and in order, and ends at ``total_pages``.
 
 Rows are the records of ``listings``: page, seq and the JSON text of the record. ``api_records`` reads the same of
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -25,11 +25,21 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 NAME, SCHEMA = "paged_json", "page long, seq long, record string"
 _ARROW = pa.schema([("page", pa.int64()), ("seq", pa.int64()), ("record", pa.string())])
 _ROWS = 1_000
+#: Partitions of a read, about, while none has more than so many pages.
+PARTITIONS, PAGES = 200, 256
 
 
-class Page(InputPartition):
-    def __init__(self, number: int):
-        super().__init__(number)
+class Pages(InputPartition):
+    """Some pages, read one after another."""
+
+    def __init__(self, numbers: Sequence[int]):
+        super().__init__(list(numbers))
+
+
+def planned(pages: Sequence[int]) -> list[Pages]:
+    """Partitions of pages in order; one without pages if there are none."""
+    step = min(PAGES, max(1, -(-len(pages) // PARTITIONS)))
+    return [Pages(pages[at : at + step]) for at in range(0, len(pages), step)] or [Pages([])]
 
 
 class _Landed:
@@ -66,7 +76,11 @@ class _Landed:
         told = (self.body(pages[0]).get("pagination") or {}).get("total_pages") if pages else None
         return int(told or 1)
 
-    def records(self, page: int) -> Iterator[pa.RecordBatch]:
+    def records(self, pages: Sequence[int]) -> Iterator[pa.RecordBatch]:
+        for page in pages:
+            yield from self._records(page)
+
+    def _records(self, page: int) -> Iterator[pa.RecordBatch]:
         texts = [json.dumps(r, ensure_ascii=False) for r in self.body(page)["listings"] or []]
         for at in range(0, len(texts), _ROWS):
             some = texts[at : at + _ROWS]
@@ -80,11 +94,10 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         pages = self.landed.pages()
         total = self.landed.total(pages)
-        return [Page(p) for p in pages if 1 <= p <= total] or [Page(0)]
+        return planned([p for p in pages if 1 <= p <= total])
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if partition.value:
-            yield from self.landed.records(partition.value)
+        yield from self.landed.records(partition.value)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -104,7 +117,7 @@ class _StreamReader(DataSourceStreamReader):
         return {"page": last}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [Page(p) for p in range(start["page"] + 1, end["page"] + 1)]
+        return planned(range(start["page"] + 1, end["page"] + 1))
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         yield from self.landed.records(partition.value)

@@ -42,8 +42,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "dedup")
     keyed = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias(ROW))
     rows = ws.save(keyed)  # written, so that a row keeps its key
-    judged = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "row.text"), SHINGLE_WORDS, SIMILARITY)
+    scratch = Workspace(spark, "judged")
+    with scratch.around():
+        judged = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "row.text"), SHINGLE_WORDS, SIMILARITY)
     judged = ws.save(judged.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "row.doc_id"), ROW))
+    scratch.close()  # nothing reads its tables any more, and the next stages need the room
     first = judged.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW].alias(ROW))
     dropped = ws.save(judged.select(ROW).join(first, ROW, "left_anti"))
     return rows.join(dropped, ROW, "left_anti").select("row.*")

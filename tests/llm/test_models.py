@@ -2,6 +2,8 @@
 
 import math
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidemark.llm import cotrain, embed_dedup, minhash, packing
 from tidemark.llm.quality_rules import passing
+from tidemark.llm.workspace import Workspace
 
 VECTORS = "vec_id long, embedding array<float>, n int"
 
@@ -293,3 +296,12 @@ def test_scores_of_labelled_documents_do_not_tell_their_labels(spark):
     scored = cotrain.quality_scores(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).where("doc_id % 2 = 0").toPandas()
     auc = cotrain.measured(scored["score"].to_numpy(), scored["doc_id"].map(labels).to_numpy())["auc"]
     assert 0.35 < auc < 0.65
+
+
+def test_near_dedup_leaves_no_tables_of_the_search(spark):
+    texts = [" ".join(f"w{k}" for k in range(at, at + 30)) for at in (0, 0, 50, 1000)]
+    docs, ws = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Workspace(spark, "test")
+    with ws.around():
+        got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 2, 3]
+    assert [p.name.split("-")[1] for p in Path(urlparse(ws.uri).path).iterdir() if list(p.iterdir())] == ["dedup"]

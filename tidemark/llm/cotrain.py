@@ -362,7 +362,9 @@ def train_and_measure(docs: DataFrame, labels: DataFrame, row: Column, labelled:
     labelled_rows = apart.join(F.broadcast(label), F.col("doc_id") == F.col("known_id"), "left")
     every = ws.save(labelled_rows.select("row", _measure(words)(*columns, "label").alias("x")))  # written, so that texts are measured once and the join below moves none
     pool = ws.save(every.select("row.doc_id", "x").join(known, "doc_id", "left_anti").select("x"))
-    return co_train(views, y, _summed(pool)), words, every
+    model = co_train(views, y, _summed(pool))
+    ws.drop(pool)
+    return model, words, every
 
 
 def _measure(words: Words | None = None):

@@ -114,6 +114,16 @@ def test_connected_components(spark, kind):
     assert got == {n: root(n) for n in parent}
 
 
+@pytest.mark.parametrize("few", [0, 50, 10_000])
+def test_few_edges_are_merged_at_once(spark, monkeypatch, few):
+    monkeypatch.setattr("tidemark.llm.components.FEW", few)
+    ws = Workspace(spark, "few")
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(100, 300) if k % 40], "src string, dst string")
+    got = {r["node"]: r["component"] for r in connected_components(edges, ws).collect()}
+    assert got == {f"n{k}": f"n{max(k - (k - 1) % 40, 100)}" for k in range(100, 301)}
+    assert ws._tables <= 3 or few < 200
+
+
 def test_linked_groups():
     linked = np.zeros((6, 6), bool)
     for a, b in ((0, 3), (3, 5), (1, 2)):
